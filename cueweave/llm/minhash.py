@@ -13,12 +13,11 @@ minimum over windows of one table.
    members are compared with one centre only, the smallest identifier: a bucket of
    m members gives m - 1 pairs, not m squared.  Pairs are confirmed on the full
    sets, and confirmed links are merged into components.
-3. Whatever a centre leaves open in its bucket - members that are not all in one
-   component yet - goes on: Jaccard distance is a metric, so two members whose
-   distances to the centre differ by more than the allowed distance cannot be
-   linked and need no check; small remainders are paired directly, large ones
-   elect their next centre.  The rounds end when no bucket has an open pair, so no
-   link between components is lost to a cap.
+3. Buckets whose members are not all in one component yet form clusters.  Pairs of
+   different components that share a band are checked there in blocks of bounded
+   size: the cluster's largest component is never paired with itself, a task holds
+   two blocks, and only links that join components leave it.  Nothing is capped, so
+   no link between components is lost.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer words than the shingle is one shingle.  Rows with a null
@@ -31,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,7 +42,8 @@ SLOTS = 1 << 20
 BANDS, ROWS = 42, 6
 SEED = 7
 MEMO_WORDS = 200_000
-DIRECT_MEMBERS = 32
+BLOCK_MEMBERS = 256
+DENSE_CELLS = 40_000_000
 BROADCAST_IDS = 200_000
 
 
@@ -151,15 +152,14 @@ def confirm(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(rep, component) of every node with an edge: the smallest identifier that it reaches.
 
     Labels spread along edges and then jump to their label's label until nothing
     changes; each round is written, so a lost executor costs one round at most.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    if labels is None:
-        labels = both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    labels = both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("component")).select("rep", F.least("rep", "component").alias("component"))
     while True:
         labels = materialise(labels, "labels")
         near = both.join(labels, both["b"] == labels["rep"]).groupBy("a").agg(F.min("component").alias("near"))
@@ -171,7 +171,104 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         labels = moved.select("rep", "component")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, direct_members: int = DIRECT_MEMBERS) -> DataFrame:
+def star_components(pairs: DataFrame) -> DataFrame:
+    """(rep, component) of the members b and centres a of star-shaped links.
+
+    A member's centres are connected through it, so it stands for edges between its
+    smallest centre and its others; only that much smaller graph is iterated.
+    """
+    pairs = materialise(pairs.select("a", "b").distinct(), "stars")
+    first = pairs.groupBy("b").agg(F.min("a").alias("first"))
+    centres = pairs.select(F.col("a").alias("centre")).distinct()
+    between = pairs.join(first, "b").filter("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b"))
+    chained = first.join(centres, first["b"] == centres["centre"], "left_semi").select(F.col("first").alias("a"), "b")
+    top = components(between.unionByName(chained)).withColumnRenamed("rep", "first")
+    nodes = first.select(F.col("b").alias("rep"), "first").unionByName(centres.select(F.col("centre").alias("rep"), F.col("centre").alias("first")))
+    found = nodes.join(top, "first", "left").groupBy("rep").agg(F.min(F.coalesce("component", "first")).alias("component"))
+    return materialise(found, "labels")
+
+
+def _cross_links(ids: np.ndarray, sides: np.ndarray, component: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
+    """Links between members of different components that share a band, as few as connect
+    the same components.  ``across``: only between the two sides."""
+    share = np.zeros((len(ids), len(ids)), bool)
+    for band in keys.T:
+        share |= band[:, None] == band[None, :]
+    share &= component[:, None] != component[None, :]
+    if across:
+        share &= sides[:, None] != sides[None, :]
+    first, second = np.nonzero(np.triu(share, 1))
+    if not len(first):
+        return []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    close = 100 * np.minimum(sizes[first], sizes[second]) >= percent * np.maximum(sizes[first], sizes[second])
+    first, second = first[close], second[close]
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(values) * len(ids) <= DENSE_CELLS:
+        holds = np.zeros((len(ids), len(values)), np.float32)
+        holds[np.repeat(np.arange(len(ids)), sizes), at] = 1
+        common = np.rint((holds @ holds.T)[first, second]).astype(np.int64)
+    else:
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(first, second, strict=True)], np.int64)
+    linked = 100 * common >= percent * (sizes[first] + sizes[second] - common)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(first[linked], second[linked], strict=True):
+        a, b = find(int(component[i])), find(int(component[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that the centres have not shown.
+
+    Buckets whose members are in several components form clusters by shared
+    members.  In a cluster only pairs of different components can matter, so its
+    largest component is never paired with itself: the others, in blocks, meet one
+    another and the blocks of the largest.  A task holds two blocks, and gives the
+    links that join components, not the pairs.
+    """
+    placed = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    open_ = materialise(placed.join(mixed.select("key"), "key").select("rep", "centre", "component").distinct(), "open")
+    if open_.isEmpty():
+        return open_.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    cluster = star_components(open_.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")))
+    inside = open_.select("rep", "component").distinct().join(cluster.select("rep", F.col("component").alias("cluster")), "rep")
+    inside = materialise(inside, "clusters")
+    counts = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    blocks = inside.join(main, "cluster").withColumn("own", F.col("component") == F.col("main"))
+    blocks = blocks.withColumn("others", F.ceil((F.col("n") - F.col("n_main")) / block)).withColumn("mains", F.ceil(F.col("n_main") / block))
+    spread = F.xxhash64("rep")
+    blocks = blocks.withColumn("at", F.when(F.col("own"), F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meet = lambda across, i, j: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    units = F.when(F.col("own"), F.transform(upto(F.col("others")), lambda i: meet(True, i, F.col("at")))).otherwise(
+        F.concat(F.transform(upto(F.col("others")), lambda j: meet(False, F.least("at", j), F.greatest("at", j))), F.transform(upto(F.col("mains")), lambda j: meet(True, F.col("at"), j)))
+    )
+    dealt = blocks.join(classes.select("rep", "keys"), "rep").join(table, "rep")
+    dealt = dealt.select("cluster", "rep", "component", "own", "keys", "shingles", F.explode(units).alias("unit")).select("*", "unit.*").drop("unit")
+
+    def test(group: pd.DataFrame) -> pd.DataFrame:
+        links = _cross_links(
+            group["rep"].to_numpy(), group["own"].to_numpy(), group["component"].to_numpy(), np.stack(group["keys"].to_numpy()),
+            [np.asarray(x) for x in group["shingles"]], percent, bool(group["across"].iloc[0]),
+        )
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return materialise(dealt.groupBy("cluster", "across", "i", "j").applyInPandas(test, "a long, b long"), "open-links")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """Components of documents linked by 100 * |intersection| >= percent * |union|.
 
     Returns (doc_id, n_shingles, component_id, kept) with a row for each input
@@ -188,37 +285,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     table = _shingle_table(docs, members.select("rep").distinct(), words)
     pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = materialise(confirm(pairs, table, percent), "tested")
-    labels = components(tested.filter("linked"))
-    open_ = members.select("key", "rep", "centre")
-    allowed = 1 - percent / 100 + 1e-9
-    while True:
-        # Each member's component and its distance to the bucket's centre.
-        known = tested.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "distance").unionByName(tested.select(F.col("b").alias("centre"), F.col("a").alias("rep"), "distance")).dropDuplicates(["centre", "rep"])
-        placed = open_.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(known, ["centre", "rep"], "left")
-        # The centre itself has been compared with all and is done.
-        placed = placed.filter("rep <> centre")
-        spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("next")).filter("low <> high")
-        left = materialise(placed.join(spread.select("key", "n", "next"), "key"), "open")
-        if left.isEmpty():
-            break
-        small = left.filter(F.col("n") <= direct_members)
-        x = small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"))
-        y = small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-        apart = F.abs(F.coalesce(F.col("da") - F.col("db"), F.lit(0.0))) > allowed
-        direct = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~apart).select("a", "b")
-        large = left.filter(F.col("n") > direct_members)
-        first = large.filter("rep = next").select("key", F.col("component").alias("cn"), F.col("distance").alias("dn"))
-        again = large.filter("rep <> next").join(first, "key")
-        apart = F.abs(F.coalesce(F.col("distance") - F.col("dn"), F.lit(0.0))) > allowed
-        again = again.filter((F.col("component") != F.col("cn")) & ~apart).select(F.col("next").alias("a"), F.col("rep").alias("b"))
-        done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = direct.unionByName(again).distinct().join(done, ["a", "b"], "left_anti")
-        new = materialise(confirm(pairs, table, percent), "tested")
-        if not new.filter("linked").isEmpty():
-            found = labels.select(F.col("component").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-            labels = components(found.unionByName(new.filter("linked").select("a", "b")))
-        tested = tested.unionByName(new)
-        open_ = large.select("key", "rep", F.col("next").alias("centre"))
+    labels = star_components(tested.filter("linked"))
+    more = _open_links(members, classes, labels, table, percent, block_members)
+    if not more.isEmpty():
+        # Links between members are links between their components.
+        at = labels.select("rep", "component")
+        ends = more.join(at.toDF("a", "ca"), "a", "left").join(at.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components(ends.filter("a <> b")).toDF("component", "top")
+        alone = ends.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(labels, "rep", "left_anti").select("rep", F.col("rep").alias("component"))
+        labels = labels.unionByName(alone).join(merged, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
 
     whole = classes.select("set_digest", "rep").join(labels, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
     # Rows that repeat an identifier with another text join its classes.
