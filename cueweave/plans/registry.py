@@ -1,9 +1,179 @@
 """Registered queries over the given tables, and their SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cueweave.functions.text import strip_tags
+from cueweave.operators import intervals, jobs, judging, reports, transcript
+from cueweave.plans.fixtures import Fixtures
+from cueweave.sources import media, subtitles
+
+RANGE_GAP, RANGE_TINY = 3600.0, 7200.0
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _ranges(f: Fixtures) -> DataFrame:
+    return f.event_ranges().select("rec_id", "start", "end")
+
+
+def _edl(f: Fixtures) -> DataFrame:
+    return intervals.build_edl(f.decisions(), f.words(), f.recordings())
+
+
+def _spans(f: Fixtures) -> DataFrame:
+    return f.recordings().select("rec_id", F.lit("first minute").alias("label"), F.lit(0.0).alias("start"), F.least(F.lit(60.0), "duration").alias("end"))
+
+
+def _event_runs(f: Fixtures) -> DataFrame:
+    r = transcript.runs(f.table("events"), "user_id", "event_type", ["ts", "event_id"])
+    return r.groupBy("user_id", "run").agg(F.min_by("event_type", "event_id").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+_QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
+    "overlap_flags": lambda f: transcript.flag_overlaps(f.words()).select("rec_id", "ord", "overlap_candidate"),
+    "speaker_turns": lambda f: transcript.speaker_turns(f.words()),
+    "event_runs": _event_runs,
+    "coalesce_ranges": lambda f: intervals.coalesce_ranges(_ranges(f)),
+    "merge_gaps": lambda f: intervals.merge_small_gaps(_ranges(f), RANGE_GAP),
+    "absorb_tiny": lambda f: intervals.absorb_tiny(intervals.coalesce_ranges(_ranges(f)), RANGE_TINY),
+    "snap_ranges": lambda f: intervals.snap_to_words(intervals.keep_ranges(f.decisions()), f.words()),
+    "build_edl": lambda f: intervals.build_edl(f.decisions(), f.words(), f.recordings()),
+    "edl_violations": lambda f: intervals.edl_violations(f.event_ranges()),
+    "nested_edl": lambda f: intervals.nested_edl(_edl(f), f.recordings()).select("rec_id", F.to_json("ranges").alias("ranges"), "source_duration"),
+    "remap_words": lambda f: transcript.remap_words(f.words(), _edl(f)),
+    "kept_words": lambda f: transcript.kept_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
+    "cut_words": lambda f: transcript.cut_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
+    "edl_summary": lambda f: reports.edl_summary(_edl(f), f.recordings()),
+    "span_removed": lambda f: reports.span_removed(_spans(f), _edl(f)),
+    "keyframe_method": lambda f: reports.keyframe_method(_edl(f), f.keyframes()),
+    "render_plan": lambda f: reports.render_plan(_edl(f), f.keyframes()),
+    "caption_cues": lambda f: subtitles.parse_subtitles(f.subtitle_files()).select("rec_id", "ord", "word", "start", "end", "speaker"),
+    "json3_cues": lambda f: subtitles.parse_json3(f.json3_files()).select("rec_id", "ord", "word", "start", "end", "speaker"),
+    "strip_tags": lambda f: f.table("pages").select("page_id", strip_tags(F.col("html")).alias("text")),
+    "sentences": lambda f: transcript.sentences(f.cues()),
+    "segment_batches": lambda f: judging.batches(transcript.speaker_turns(f.words())).select("rec_id", "seg_ord", "chunk_id", "pos"),
+    "batch_payload": lambda f: judging.payloads(judging.batches(transcript.speaker_turns(f.words()))),
+    "judgments_valid": lambda f: judging.check_responses(f.responses()).select("rec_id", "chunk_id", "n_segments", "outcome"),
+    "media_gate": lambda f: media.media_gate(f.probes()),
+    "source_choice": lambda f: subtitles.choose_source(f.source_candidates()),
+    "track_choice": lambda f: subtitles.pick_track(f.tracks()),
+    "job_latest": lambda f: jobs.latest_state(f.job_events()),
+    "stage_progress": lambda f: jobs.stage_progress(f.job_events()),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(Fixtures(spark, sf_dir)))) for name, q in _QUERIES.items()}
+
+
+# ---------------------------------------------------------------- SQL
+_TOK = r"""tok AS (
+    SELECT conv_id AS rec_id, turn, role AS speaker, len(l) AS n, unnest(range(len(l))) AS k, unnest(l) AS word
+    FROM (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS l FROM conversations))"""
+_WORDS = f"""{_TOK}, ms AS (SELECT *, turn * 20000 + k * 250 AS s_ms, turn * 20000 + k * 250 + 200 + (k % 3) * 50 AS e_ms FROM tok),
+  words AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY s_ms, turn, k) - 1 AS ord, word, s_ms / 1000.0::DOUBLE AS start, e_ms / 1000.0::DOUBLE AS "end", speaker FROM ms)"""
+_FLAGS = """SELECT *, coalesce(start < lag("end") OVER w AND speaker <> lag(speaker) OVER w, false)
+    OR coalesce(lead(start) OVER w < "end" AND lead(speaker) OVER w <> speaker, false) AS flagged FROM words WINDOW w AS (PARTITION BY rec_id ORDER BY start, ord)"""
+_TURNS = f"""{_WORDS}, runs AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY start, ord) AS seg_ord FROM (
+    SELECT *, CASE WHEN speaker <> lag(speaker) OVER (PARTITION BY rec_id ORDER BY start, ord) THEN 1 ELSE 0 END AS new FROM words)),
+  turns AS (SELECT rec_id, CAST(seg_ord AS BIGINT) AS seg_ord, arg_min(speaker, ord) AS speaker, arg_min(start, ord) AS start, arg_max("end", ord) AS "end",
+    string_agg(word, ' ' ORDER BY ord) AS text FROM runs GROUP BY rec_id, seg_ord)"""
+_DECISIONS = f"""{_TURNS}, decisions AS (SELECT rec_id, seg_ord, round(start + 0.1, 3) AS start, round("end" - 0.05, 3) AS "end",
+    CASE WHEN (rec_id * 7 + seg_ord * 3) % 5 IN (0, 1) THEN 'remove' ELSE 'keep' END AS decision FROM turns),
+  recordings AS (SELECT rec_id, max("end") + 1.0 AS duration FROM words GROUP BY rec_id UNION ALL SELECT -1, 10.0)"""
+_RANGES = """ranges AS (SELECT user_id AS rec_id, event_id AS range_ord, (epoch_us(ts) - 1704067200000000) / 1e6 AS start,
+    (epoch_us(ts) - 1704067200000000 + CAST(round(value * 100) AS BIGINT) * 6000000) / 1e6 AS "end" FROM events)"""
+
+
+def _merged(source: str, out: str, new: str) -> str:
+    return f"""{out} AS (SELECT rec_id, min(start) AS start, max("end") AS "end" FROM (
+      SELECT *, sum(CASE WHEN latest IS NULL OR {new} THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY start, "end") AS island FROM (
+        SELECT *, max("end") OVER (PARTITION BY rec_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM {source}))
+      GROUP BY rec_id, island)"""
+
+
+def _absorbed(source: str, out: str, least: float) -> str:
+    return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY start, "end") AS i, count(*) OVER (PARTITION BY rec_id) AS n FROM {source}),
+  {out}_f AS (SELECT rec_id, i, n, start AS s, "end" AS e, "end" - start >= {least} AS closed FROM {out}_n WHERE i = 1
+    UNION ALL SELECT r.rec_id, r.i, r.n, CASE WHEN f.closed THEN r.start ELSE f.s END, r."end", r."end" - CASE WHEN f.closed THEN r.start ELSE f.s END >= {least}
+    FROM {out}_f f JOIN {out}_n r ON r.rec_id = f.rec_id AND r.i = f.i + 1),
+  {out} AS (SELECT c.rec_id, c.s AS start, CASE WHEN c.i = max(c.i) OVER (PARTITION BY c.rec_id) AND o.e IS NOT NULL THEN greatest(c.e, o.e) ELSE c.e END AS "end"
+    FROM {out}_f c LEFT JOIN (SELECT rec_id, e FROM {out}_f WHERE i = n AND NOT closed) o USING (rec_id) WHERE c.closed)"""
+
+
+_SNAP = """firsts AS (SELECT rec_id, start, arg_max("end", ord) AS "end" FROM words GROUP BY rec_id, start),
+  snapped AS (SELECT r.rec_id, CASE WHEN a.start < r.start AND r.start < a."end" THEN a.start ELSE r.start END AS start,
+    greatest(CASE WHEN b.start < r."end" AND r."end" < b."end" THEN b."end" ELSE r."end" END, CASE WHEN a.start < r.start AND r.start < a."end" THEN a.start ELSE r.start END) AS "end"
+    FROM {source} r ASOF LEFT JOIN firsts a ON r.rec_id = a.rec_id AND r.start >= a.start ASOF LEFT JOIN firsts b ON r.rec_id = b.rec_id AND r."end" >= b.start)"""
+_EDL = f"""{_DECISIONS}, keeps AS (SELECT rec_id, start, "end" FROM decisions WHERE decision = 'keep' AND "end" > start),
+  {_merged("keeps", "joined", "start > latest")}, {_SNAP.format(source="joined")}, {_merged("snapped", "again", "start > latest")},
+  {_merged("again", "near", "start - latest >= 0.3")}, {_absorbed("near", "solid", 0.5)},
+  edl AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start, "end") - 1 AS range_ord, start, "end" FROM (
+    SELECT r.rec_id, greatest(0.0, coalesce(s.start, 0.0)) AS start, CASE WHEN duration <> 0 THEN least(coalesce(s."end", duration), duration) ELSE coalesce(s."end", duration) END AS "end"
+    FROM recordings r LEFT JOIN solid s USING (rec_id)))"""
+_HELD = """held AS (SELECT w.*, r.range_ord, r.start AS r_start FROM words w ASOF LEFT JOIN edl r ON w.rec_id = r.rec_id AND w.start >= r.start),
+  marked AS (SELECT h.*, e."end" AS r_end FROM held h LEFT JOIN edl e ON e.rec_id = h.rec_id AND e.range_ord = h.range_ord)"""
+_KEY = """cuts AS (SELECT e.*, coalesce((SELECT min(abs(t - e.start)) FROM range(0, 200, 5) k(t) WHERE e.rec_id % 10 <> 0), 'infinity'::DOUBLE) AS distance FROM edl e)"""
+_CUES = r"""cues AS (SELECT conv_id AS rec_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, array_to_string(l, ' ') AS word,
+    turn * 10000 / 1000.0::DOUBLE AS start, (turn * 10000 + len(l) * 80) / 1000.0::DOUBLE AS "end", role AS speaker
+  FROM (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS l FROM conversations) WHERE len(l) > 0)"""
+_JOBS = """log AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'transcribing' WHEN 'click' THEN 'deciding'
+    WHEN 'purchase' THEN 'slicing' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, event_id % 50 AS current, CAST(50 AS BIGINT) AS total FROM events)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {
+        "overlap_flags": f"WITH {_WORDS} SELECT rec_id, ord, flagged AS overlap_candidate FROM ({_FLAGS})",
+        "speaker_turns": f'WITH {_TURNS} SELECT *, false AS overlap_candidate FROM turns',
+        "event_runs": """WITH r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (
+            SELECT *, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new FROM events))
+          SELECT user_id, CAST(run AS BIGINT) AS run, any_value(event_type) AS event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY user_id, run""",
+        "coalesce_ranges": f'WITH {_RANGES}, {_merged("ranges", "o", "start > latest")} SELECT rec_id, round(start, 6) AS start, round("end", 6) AS "end" FROM o',
+        "merge_gaps": f'WITH {_RANGES}, {_merged("ranges", "o", f"start - latest >= {RANGE_GAP}")} SELECT rec_id, round(start, 6) AS start, round("end", 6) AS "end" FROM o',
+        "absorb_tiny": f'WITH RECURSIVE {_RANGES}, {_merged("ranges", "c", "start > latest")}, {_absorbed("c", "o", RANGE_TINY)} SELECT rec_id, round(start, 6) AS start, round("end", 6) AS "end" FROM o',
+        "snap_ranges": f"""WITH {_DECISIONS}, keeps AS (SELECT rec_id, start, "end" FROM decisions WHERE decision = 'keep' AND "end" > start), {_SNAP.format(source="keeps")}
+          SELECT rec_id, round(start, 6) AS start, round("end", 6) AS "end" FROM snapped""",
+        "build_edl": f'WITH RECURSIVE {_EDL} SELECT rec_id, range_ord, round(start, 6) AS start, round("end", 6) AS "end" FROM edl',
+        "edl_violations": f"""WITH {_RANGES} SELECT rec_id, range_ord, kind FROM (SELECT *, CASE WHEN "end" <= start THEN 'empty'
+            WHEN start < lag("end") OVER (PARTITION BY rec_id ORDER BY range_ord) THEN 'overlap' END AS kind FROM ranges) WHERE kind IS NOT NULL""",
+        "kept_words": f'WITH RECURSIVE {_EDL}, {_HELD} SELECT rec_id, ord, word FROM marked WHERE "end" <= r_end',
+        "cut_words": f'WITH RECURSIVE {_EDL}, {_HELD} SELECT rec_id, ord, word FROM marked WHERE "end" > r_end OR r_end IS NULL',
+        "remap_words": f"""WITH RECURSIVE {_EDL}, {_HELD}, off AS (SELECT rec_id, range_ord, coalesce(sum("end" - start) OVER (PARTITION BY rec_id ORDER BY range_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS o FROM edl)
+          SELECT rec_id, ord, word, round((start - r_start) + o, 6) AS start, round(("end" - r_start) + o, 6) AS "end", speaker, false AS overlap_candidate FROM marked JOIN off USING (rec_id, range_ord) WHERE "end" <= r_end""",
+        "edl_summary": f"""WITH RECURSIVE {_EDL} SELECT r.rec_id, count(e.rec_id) AS n_ranges, round(coalesce(sum(e."end" - e.start), 0.0), 6) AS kept_s,
+            round(any_value(duration) - coalesce(sum(e."end" - e.start), 0.0), 6) AS removed_s, round(max(e."end" - e.start), 6) AS longest_s FROM recordings r LEFT JOIN edl e USING (rec_id) GROUP BY r.rec_id""",
+        "span_removed": f"""WITH RECURSIVE {_EDL}, spans AS (SELECT rec_id, 0.0 AS start, least(60.0, duration) AS "end" FROM recordings)
+          SELECT s.rec_id, 'first minute' AS label, round(1 - sum(coalesce(least(s."end", e."end") - greatest(s.start, e.start), 0.0)) / any_value(s."end" - s.start), 6) AS removed_share
+          FROM spans s LEFT JOIN edl e ON e.rec_id = s.rec_id AND e.start < s."end" AND e."end" > s.start GROUP BY s.rec_id""",
+        "keyframe_method": f"""WITH RECURSIVE {_EDL}, {_KEY} SELECT rec_id, range_ord, round(start, 6) AS start, round("end", 6) AS "end", round(distance, 6) AS distance, CASE WHEN distance <= 2.0 THEN 'copy' ELSE 'reencode' END AS method FROM cuts""",
+        "render_plan": f"""WITH RECURSIVE {_EDL}, {_KEY} SELECT rec_id, range_ord, 'clip_' || lpad(CAST(range_ord AS VARCHAR), 4, '0') || '.mp4' AS clip, CASE WHEN distance <= 2.0 THEN 'copy' ELSE 'reencode' END AS method,
+            round(start, 6) AS start, round(greatest("end" - start, 0.0), 6) AS duration, CASE WHEN count(*) OVER (PARTITION BY rec_id) = 1 THEN 'copyfile' ELSE 'concat' END AS join_by FROM cuts""",
+        "caption_cues": f"WITH {_CUES} SELECT * FROM cues",
+        "json3_cues": f"WITH {_CUES} SELECT * REPLACE ('SPEAKER' AS speaker) FROM cues",
+        "strip_tags": "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages",
+        "segment_batches": f"WITH {_TURNS} SELECT rec_id, seg_ord, seg_ord // 40 AS chunk_id, CAST(seg_ord % 40 AS INTEGER) AS pos FROM turns",
+        "judgments_valid": f"""WITH {_TURNS}, b AS (SELECT rec_id, seg_ord // 40 AS chunk_id, count(*) AS n_segments FROM turns GROUP BY ALL)
+          SELECT *, CASE (rec_id + chunk_id) % 6 WHEN 3 THEN 'truncated' WHEN 4 THEN 'malformed' WHEN 5 THEN 'wrong_count' ELSE 'ok' END AS outcome FROM b""",
+        "media_gate": """WITH p AS (SELECT p_partkey AS rec_id, p_retailprice AS v, p_retailprice + (p_partkey % 7 - 3) * 0.4::DOUBLE AS a, p_partkey % 5 AS kind FROM part),
+          d AS (SELECT *, CASE kind WHEN 1 THEN round(v * 1000) / 1000 ELSE v END AS vd, CASE kind WHEN 1 THEN round(a * 1000) / 1000 WHEN 3 THEN v WHEN 4 THEN NULL ELSE a END AS ad FROM p)
+          SELECT rec_id, CASE WHEN kind = 4 OR abs(vd - ad) > 1.0 THEN 'skipped_desync' ELSE 'ok' END AS status,
+            CASE WHEN kind = 4 THEN 'no audio stream' WHEN abs(vd - ad) > 1.0 THEN 'streams drift' END AS reason,
+            round(CASE WHEN kind = 4 OR abs(vd - ad) > 1.0 THEN NULL ELSE v END, 6) AS duration, round(vd, 6) AS video_duration, round(ad, 6) AS audio_duration FROM d""",
+        "source_choice": """SELECT c_custkey AS rec_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'uploaded_transcript'
+            WHEN c_custkey % 2 = 0 AND c_custkey % 7 <> 0 THEN 'youtube_captions' ELSE 'asr' END AS source FROM customer""",
+        "track_choice": """WITH t AS (SELECT n_regionkey AS rec_id, n_nationkey, ['en','en-US','en_GB','fr','eng'][n_nationkey % 5 + 1] AS lang, n_nationkey % 2 = 1 AS manual,
+            CASE WHEN n_nationkey % 3 = 0 THEN 'json3' ELSE 'vtt' END AS ext, n_name AS url FROM nation)
+          SELECT rec_id, lang, ext, url, manual FROM t WHERE lang IN ('en', 'en-US', 'en_GB') QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY manual DESC, n_nationkey) = 1""",
+        "job_latest": f"WITH {_JOBS} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1",
+        "stage_progress": f"""WITH {_JOBS} SELECT job_id, status, current, total, round(100.0::DOUBLE * current / nullif(total, 0)) AS percent FROM log
+          QUALIFY row_number() OVER (PARTITION BY job_id, status ORDER BY seq DESC) = 1""",
+    }
+    sql["speaker_turns"] = f"""WITH {_TURNS}, f AS ({_FLAGS}) SELECT t.* FROM (SELECT *, false AS overlap_candidate FROM turns) t"""
+    return sql

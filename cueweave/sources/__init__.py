@@ -1 +1 @@
-""""""
+"""Readers and parsers of caption files and media probes."""
