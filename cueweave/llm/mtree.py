@@ -9,6 +9,9 @@ an entry of a leaf is a vector with that distance.  The search is best first: th
 page with the smallest lower bound on the distance is next, entries whose stored
 parent distance already rules them out by the triangle inequality are skipped
 before any distance is computed, and it ends when no page can hold a better one.
+The queries of a block advance together: in each round every query takes the next
+page of its own queue, and the queries that take the same page share one matrix
+product.
 
 Shards and blocks of queries meet by a join on the block number; each meeting
 gives a shard's best k for the queries of a block, and these are merged by query.
@@ -24,7 +27,6 @@ identifier.  Null identifiers take no part.  Empty input gives an empty result.
 from __future__ import annotations
 
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,25 +39,49 @@ from cueweave.functions.storage import materialise
 
 SCALE = 64
 SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
-PAGE = 128
+BLOCK_ROWS = 4096
+PAGE = 512
 FANOUT = 24
+NO_ID = np.iinfo(np.int64).max
 
 
 class Node:
     """A page: routing vectors with radii and children, or vectors with their rows."""
 
-    __slots__ = ("children", "leaf", "points", "radii", "rows", "to_parent")
+    __slots__ = ("children", "points", "radii", "rows", "squares", "to_parent")
 
     def __init__(self, points, to_parent, rows=None, radii=None, children=None):
-        self.points, self.to_parent, self.rows, self.radii, self.children = points, to_parent, rows, radii, children
-        self.leaf = children is None
+        self.points, self.to_parent, self.rows, self.children = points, to_parent, rows, children
+        self.radii = radii if children is not None else np.zeros(len(points))
+        self.squares = (points**2).sum(axis=1)
 
 
 def distance(points: np.ndarray, point: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - point) ** 2).sum(axis=1))
 
 
+class Best:
+    """The k best candidates of each query of a block: highest score first, ties to the smaller identifier."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), NO_ID)
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Merge candidates of the queries ``who``; returns the queries concerned."""
+        rows = np.unique(who)
+        who = np.concatenate([np.repeat(rows, self.k), who])
+        scores = np.concatenate([self.scores[rows].ravel(), scores])
+        ids = np.concatenate([self.ids[rows].ravel(), ids])
+        order = np.lexsort((ids, -scores, who))
+        own = np.searchsorted(who[order], rows)
+        first = order[(own[:, None] + np.arange(self.k)).ravel()]
+        self.scores[rows] = scores[first].reshape(len(rows), self.k)
+        self.ids[rows] = ids[first].reshape(len(rows), self.k)
+        return rows
+
+
 class MTree:
     """An M-tree over integer vectors for maximum inner products."""
 
@@ -67,80 +93,79 @@ class MTree:
         self.page, self.fanout = page, fanout
         self.rng = np.random.default_rng(5)
         self.computed = 0
+        self.nodes: list[Node] = []
         self.root = self._load(np.arange(len(ids)), None)
 
-    def _load(self, rows: np.ndarray, parent: np.ndarray | None) -> Node:
+    def _load(self, rows: np.ndarray, parent: np.ndarray | None) -> int:
+        """The number of a node over ``rows``; inner pages have no more entries than fill their leaves."""
         points = self.points[rows]
-        to_parent = distance(points, parent) if parent is not None else np.zeros(len(rows))
         if len(rows) <= self.page:
-            return Node(points, to_parent, rows=rows)
-        routes = points[self.rng.choice(len(rows), self.fanout, replace=False)]
-        routes = np.unique(routes, axis=0)
-        near = ((points[:, None, :] - routes[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) if len(rows) * len(routes) < 50_000 else self._assign(points, routes)
-        if len(routes) == 1 or np.bincount(near).max() == len(rows):  # alike vectors: pages in order
-            near = np.arange(len(rows)) * self.fanout // len(rows)
-            routes = points[[np.flatnonzero(near == i)[0] for i in range(self.fanout)]]
+            to_parent = distance(points, parent) if parent is not None else np.zeros(len(rows))
+            return self._keep(Node(points, to_parent, rows=rows))
+        fanout = min(self.fanout, -(-len(rows) // self.page))
+        routes = np.unique(points[self.rng.choice(len(rows), fanout, replace=False)], axis=0)
+        near = ((routes**2).sum(axis=1) - 2 * points @ routes.T).argmin(axis=1)
+        if np.bincount(near).max() == len(rows):  # alike vectors: pages in order
+            near = np.arange(len(rows)) * fanout // len(rows)
+            routes = points[[np.flatnonzero(near == i)[0] for i in range(fanout)]]
         used = [i for i in range(len(routes)) if (near == i).any()]
-        groups = [rows[near == i] for i in used]
-        routes = routes[used]
+        groups, routes = [rows[near == i] for i in used], routes[used]
         radii = np.array([distance(self.points[g], r).max() for g, r in zip(groups, routes, strict=True)])
         children = [self._load(g, r) for g, r in zip(groups, routes, strict=True)]
-        return Node(routes, distance(routes, parent) if parent is not None else np.zeros(len(routes)), radii=radii, children=children)
-
-    @staticmethod
-    def _assign(points: np.ndarray, routes: np.ndarray) -> np.ndarray:
-        return ((routes**2).sum(axis=1) - 2 * points @ routes.T).argmin(axis=1)
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, identifier), highest score first, ties to the smaller identifier."""
-        point = np.append(query, 0.0)
-        square = float((query**2).sum()) + self.top
-        best: list[tuple[int, int]] = []  # a heap of (score, -identifier)
-
-        def limit() -> float:
-            """No vector further than this can have a score as high as the k-th."""
-            return np.sqrt(max(0.0, square - 2 * (best[0][0] - 0.5))) if len(best) == k else np.inf
-
-        order = itertools.count()
-        queue = [(0.0, next(order), self.root, None)]
-        while queue:
-            low, _, node, from_parent = heapq.heappop(queue)
-            reach = limit()
-            if low > reach:
-                break
-            if from_parent is None:
-                use = np.arange(len(node.to_parent))
-            else:
-                slack = np.abs(from_parent - node.to_parent) - (0 if node.leaf else node.radii)
-                use = np.flatnonzero(slack <= reach + 1e-9)
-            if not len(use):
-                continue
-            self.computed += len(use)
-            if node.leaf:
-                rows = node.rows[use]
-                scores = self.vectors[rows] @ query
-                if len(best) == k:
-                    fit = scores >= best[0][0]
-                    rows, scores = rows[fit], scores[fit]
-                if len(scores) > 4 * k:
-                    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    rows, scores = rows[scores >= cut], scores[scores >= cut]
-                    most = np.lexsort((self.ids[rows], -scores))[: k + 1]
-                    rows, scores = rows[most], scores[most]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i == query_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (int(s), -i))
-                    elif (int(s), -i) > best[0]:
-                        heapq.heapreplace(best, (int(s), -i))
-            else:
-                away = distance(node.points[use], point)
-                for j, d in zip(use.tolist(), away.tolist(), strict=True):
-                    bound = max(0.0, d - node.radii[j])
-                    if bound <= limit() + 1e-9:
-                        heapq.heappush(queue, (bound, next(order), node.children[j], d))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        to_parent = distance(routes, parent) if parent is not None else np.zeros(len(routes))
+        return self._keep(Node(routes, to_parent, radii=radii, children=children))
+
+    def _keep(self, node: Node) -> int:
+        self.nodes.append(node)
+        return len(self.nodes) - 1
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Best:
+        """The k best of every query; a row with the query's own identifier is no candidate."""
+        best = Best(len(queries), k)
+        squares = (queries**2).sum(axis=1)
+        slack = 1e-6 * (1.0 + np.sqrt(squares + self.top))
+        reach = np.full(len(queries), np.inf)  # no vector further than this can have a score as high as the k-th
+        queues: list[list[tuple[float, int, float]]] = [[(0.0, self.root, 0.0)] for _ in queries]
+        active = range(len(queries))
+        while active:
+            visits: dict[int, list[tuple[int, float]]] = {}
+            limits, still = reach.tolist(), []
+            for i in active:
+                if queues[i] and queues[i][0][0] <= limits[i]:
+                    _, number, away = heapq.heappop(queues[i])
+                    visits.setdefault(number, []).append((i, away))
+                    still.append(i)
+            active = still
+            for number, visitors in visits.items():
+                node = self.nodes[number]
+                who = np.array([i for i, _ in visitors], np.int64)
+                away = np.array([d for _, d in visitors])
+                use = np.abs(away[:, None] - node.to_parent) - node.radii <= (reach + slack)[who][:, None]
+                entries = np.flatnonzero(use.any(axis=0))
+                if not len(entries):
+                    continue
+                use = use[:, entries]
+                self.computed += int(use.sum())
+                if node.children is None:
+                    rows = node.rows[entries]
+                    scores = queries[who] @ self.vectors[rows].T
+                    scores[~use | (query_ids[who][:, None] == self.ids[rows])] = -np.inf
+                    floor = best.scores[who, -1]
+                    if len(rows) > k and np.isinf(floor).any():
+                        floor = np.maximum(floor, np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k])
+                    at, entry = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+                    if len(at):
+                        new = best.add(who[at], scores[at, entry], self.ids[rows[entry]])
+                        worst = best.scores[new, -1]
+                        reach[new] = np.sqrt(np.maximum(0.0, squares[new] + self.top - 2 * (worst - 0.5)))
+                else:
+                    far = squares[who][:, None] + node.squares[entries] - 2 * queries[who] @ node.points[entries, :-1].T
+                    far = np.sqrt(np.maximum(0.0, far))
+                    low = np.maximum(0.0, far - node.radii[entries] - slack[who][:, None])
+                    at, entry = np.nonzero(use & (low <= reach[who][:, None]))
+                    for i, bound, j, d in zip(who[at].tolist(), low[at, entry].tolist(), entries[entry].tolist(), far[at, entry].tolist(), strict=True):
+                        heapq.heappush(queues[i], (bound, node.children[j], d))
+        return best
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -152,10 +177,18 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _packed(group: pd.DataFrame) -> bytes:
-    return np.stack(group["x"].to_numpy()).astype("<i8").tobytes()
+    """The vectors of a page in the narrowest integers that hold them."""
+    x = np.stack(group["x"].to_numpy()).astype("<i8")
+    kind = next(t for t in ("<i2", "<i4", "<i8") if x.min() >= np.iinfo(t).min and x.max() <= np.iinfo(t).max)
+    return x.astype(kind).tobytes()
+
+
+def _unpacked(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(data, f"<i{len(data) // (len(ids) * width)}").reshape(-1, width).astype(np.float64)
 
 
-def top_inner_products(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_inner_products(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, page: int = PAGE) -> DataFrame:
     """The k highest inner products of each query among all other vectors.
 
     Returns (query_id, rank, vec_id, score); rank counts from 1.
@@ -189,11 +222,11 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, *, id_col: str =
             for row in batch.to_pylist():
                 if last != (row["width"], row["shard"]):
                     last = (row["width"], row["shard"])
-                    tree = MTree(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["data"], "<i8").reshape(-1, row["width"]).astype(np.float64))
-                ids = np.frombuffer(row["query_ids"], "<i8")
-                points = np.frombuffer(row["query_data"], "<i8").reshape(-1, row["width"]).astype(np.float64)
-                out = [(int(q), i, s) for q, p in zip(ids, points, strict=True) for s, i in tree.search(int(q), p, k)]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
+                    tree = MTree(*_unpacked(row["ids"], row["data"], row["width"]), page)
+                ids, points = _unpacked(row["query_ids"], row["query_data"], row["width"])
+                best = tree.search(ids, points, k)
+                who, place = np.nonzero(best.scores > -np.inf)
+                columns = [ids[who], best.ids[who, place], best.scores[who, place].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     found = meetings.select("width", "shard", "block", "ids", "data", "query_ids", "query_data").mapInArrow(run, "query_id long, vec_id long, score long")

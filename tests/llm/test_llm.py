@@ -142,7 +142,7 @@ def test_tree_against_brute_force(spark):
     rng = np.random.default_rng(3)
     data = [(int(i), rng.normal(0, 0.1, 8).astype(np.float32).tolist()) for i in range(600)] + [(1000 + i, [0.1] * 8) for i in range(40)]
     vectors = spark.createDataFrame([*data, (2000, None), (2001, [float("nan")] * 8), (2002, []), (2020, [None] * 8)], "vec_id long, embedding array<float>")
-    got = mtree.top_inner_products(vectors, vectors.filter("vec_id % 20 = 0"), k=5, shard_rows=200, block_rows=8)
+    got = mtree.top_inner_products(vectors, vectors.filter("vec_id % 20 = 0"), k=5, shard_rows=200, block_rows=8, page=16)
     x = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in data}
     want = {q: [(s, i) for s, i in sorted(((-int(x[q] @ x[i]), i) for i in x if i != q))[:5]] for q in x if q % 20 == 0}
     have = {}
