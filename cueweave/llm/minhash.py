@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise
+from cueweave.llm.memory import release, releasing
 
 SLOTS = 1 << 20
 BANDS, ROWS = 42, 6
@@ -44,6 +45,7 @@ SEED = 7
 MEMO_WORDS = 200_000
 BLOCK_MEMBERS = 256
 DENSE_CELLS = 40_000_000
+CHUNK_CELLS = 8_000_000
 BROADCAST_IDS = 200_000
 
 
@@ -104,6 +106,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_digest, keys) of each document; keys only for documents with an identifier."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, circulant = WordHashes(), Circulant(bands * rows)
         for batch in batches:
@@ -130,6 +133,7 @@ def _shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, docs["doc_id"] == ids["wanted"], "left_semi")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
@@ -205,9 +209,15 @@ def _cross_links(ids: np.ndarray, sides: np.ndarray, component: np.ndarray, keys
     first, second = first[close], second[close]
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     if len(values) * len(ids) <= DENSE_CELLS:
-        holds = np.zeros((len(ids), len(values)), np.float32)
-        holds[np.repeat(np.arange(len(ids)), sizes), at] = 1
-        common = np.rint((holds @ holds.T)[first, second]).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        owner, at = np.repeat(np.arange(len(ids)), sizes)[order], at[order]
+        width, product = max(1, CHUNK_CELLS // len(ids)), np.zeros((len(ids), len(ids)))
+        for low in range(0, len(values), width):
+            i, j = np.searchsorted(at, (low, low + width))
+            holds = np.zeros((len(ids), min(width, len(values) - low)), np.float32)
+            holds[owner[i:j], at[i:j] - low] = 1
+            product += holds @ holds.T
+        common = product[first, second].astype(np.int64)
     else:
         common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(first, second, strict=True)], np.int64)
     linked = 100 * common >= percent * (sizes[first] + sizes[second] - common)
@@ -263,6 +273,7 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table
             group["rep"].to_numpy(), group["own"].to_numpy(), group["component"].to_numpy(), np.stack(group["keys"].to_numpy()),
             [np.asarray(x) for x in group["shingles"]], percent, bool(group["across"].iloc[0]),
         )
+        release()
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return materialise(dealt.groupBy("cluster", "across", "i", "j").applyInPandas(test, "a long, b long"), "open-links")

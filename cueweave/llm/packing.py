@@ -20,6 +20,8 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.llm.memory import releasing
+
 CAPACITY = 2048
 END_ID = 1
 TOLERANCE = 0.02
@@ -47,16 +51,22 @@ class Vocabulary:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        ranks = public_tokenizers.path(os.path.basename(path).replace(".json", ".tiktoken"))
+        self.path = path or public_tokenizers.path("byte_bpe_50k.json")
+        with open(self.path, encoding="utf-8") as file:
+            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
+        ranks = public_tokenizers.path(os.path.basename(self.path).replace(".json", ".tiktoken"))
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizers library's own encoder, loaded when a text holds a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if any(token in text for token in self.special):  # the library gives these strings ids of their own
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -135,6 +145,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     sequence_id, offset), ``ids`` being little-endian unsigned 32-bit token ids.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = Vocabulary(vocabulary), Packer(TaskContext.get().partitionId(), capacity, tolerance)
         rows: list[tuple] = []

@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise
+from cueweave.llm.memory import releasing
 
 MAX_EXAMPLES = 4000
 MAX_TERMS = 2000
@@ -40,7 +42,8 @@ NEIGHBOURS = 25
 POWER = 4.0
 BLOCK = 64
 PREFIXES = (4, 5, 6, 7)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
+MEMO_SCORES = 20_000
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -98,7 +101,7 @@ class ExampleIndex:
         self.weights = [np.array([w for _, w in x], np.float64) for x in postings]
         self.starts = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
         self.edges, self.shares = np.array([]), np.array([])
-        self.memo: dict[tuple, tuple] = {}
+        self.memo: dict[bytes, tuple] = {}  # by digest of the counts, for copies
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
@@ -165,7 +168,7 @@ class ExampleIndex:
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]]]:
         """(probability, evidence): the nearest examples as (identifier, similarity, label)."""
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(np.array(sorted(counts.items()), np.int64).tobytes())
         if key in self.memo:
             return self.memo[key]
         terms, weights = self.vector(counts)
@@ -176,7 +179,7 @@ class ExampleIndex:
             vote = self.vote(at, sim)
             share = float(np.interp(vote, self.edges, self.shares)) if len(self.edges) else vote
             out = share, [(int(self.ids[i]), float(s), int(self.labels[i])) for i, s in zip(at[:5], sim[:5], strict=True)]
-        if len(self.memo) >= 100_000:
+        if len(self.memo) >= MEMO_SCORES:
             self.memo.clear()
         self.memo[key] = out
         return out
@@ -220,6 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         found = found.filter(F.col("pos") + F.col("neg") >= MIN_EXAMPLES).withColumn("ratio", _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg))
         terms = sorted(r["term"] for r in found.filter(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect())
 
+    @releasing
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, seen, n = Vocabulary(terms), Counter(), 0
         for batch in batches:
@@ -252,6 +256,7 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = sent.value
         vocabulary = Vocabulary(examples.terms)
