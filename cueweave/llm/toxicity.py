@@ -1,29 +1,30 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings.  The labelled examples (a bounded sample)
-choose the vocabulary: the terms whose document frequency differs most between the
-labels by the log-likelihood ratio.  Inverse document frequencies of these terms
-are counted over all documents.  The examples' vectors form an inverted index
-whose postings are cut into blocks of examples, each with the largest weight a
-term has in it; a query adds up those maxima for a bound on every block, visits
-blocks from the highest bound down, and stops when no block can hold a nearer
-example, so the nearest examples are exact.  They vote with weights that rise
-with similarity, and the vote is turned into a probability by the share of toxic
-examples at that vote, measured on the examples themselves with each left out.
-
-Defined results: a text without any vocabulary term (also empty and null ones) is
-compared with the examples that have none either, and gets their toxic share;
-without usable labels every score is 0.  A document that is labelled twice counts
-as toxic if one label says so.  Null labels and null identifiers teach nothing.
-Repeated rows give repeated results.  Other columns are ignored.
+Terms are words and word beginnings.  Every term of the labelled examples (a bounded
+sample) is indexed; none is dropped.  A term weighs (1 + log count) x inverse document
+frequency x sqrt(1 + log-likelihood ratio of the term against the label); the ratio is
+0 for a term that no example holds.  Document frequencies are counted over all
+documents, and a text's norm covers all its terms: those outside the examples are
+looked up by a join on their 63-bit hash, because their number is not bounded.  A text
+is compared with all examples: common terms by a matrix product, the others by
+postings, so the nearest examples are exact.  They vote with weights that rise with
+similarity, and the vote is turned into a probability by the share of toxic examples
+at that vote, measured on the examples themselves with each left out.
+
+Defined results: a text without any term (also empty and null ones) is compared with
+the examples that have none either, and gets their toxic share; a text that shares no
+term with an example has no evidence and the share of an empty vote; without usable
+labels every score is 0.  A document that is labelled twice counts as toxic if one
+label says so.  Null labels and null identifiers teach nothing.  Repeated rows give
+repeated results.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,13 @@ from cueweave.functions.storage import materialise
 from cueweave.llm.memory import releasing
 
 MAX_EXAMPLES = 4000
-MAX_TERMS = 2000
-MIN_EXAMPLES = 4
-MIN_RATIO = 15.0
 NEIGHBOURS = 25
 POWER = 4.0
-BLOCK = 64
+COMMON = 0.1
+BLOCK_TEXTS, BLOCK_TERMS = 64, 1000
+FLUSH_TERMS = 200_000
 PREFIXES = (4, 5, 6, 7)
 MEMO_WORDS = 100_000
-MEMO_SCORES = 20_000
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -57,78 +56,134 @@ def text_words(text: str | None) -> Counter:
 
 
 class Vocabulary:
-    """Numbers of the chosen terms, with a bounded memory of words seen before."""
+    """Numbers of terms, with a bounded memory of words seen before: the place of a
+    term of the examples, or a negative hash for any other."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    def numbers(self, word: str) -> tuple[int, ...]:
+        return tuple(i if (i := self.number.get(t)) is not None else -1 - (xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1) for t in word_terms(word))
+
+    def known(self, word: str) -> tuple[int, ...]:
+        ids = self.memo.get(word)
+        if ids is None:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo.clear()
+            ids = self.memo[word] = self.numbers(word)
+        return ids
+
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         memo = self.memo
         for word, n in text_words(text).items():
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                ids = memo[word] = tuple(i for t in word_terms(word) if (i := self.number.get(t)) is not None)
-            for i in ids:
+            for i in memo.get(word) or self.known(word):
                 out[i] = out.get(i, 0) + n
         return out
 
+    def present(self, text: str | None) -> set[int]:
+        memo = self.memo
+        return set().union(*[memo.get(word) or self.known(word) for word in set(_word.findall((text or "").lower()))])
+
 
 class ExampleIndex:
-    """Block-max inverted index over example vectors of unit length."""
+    """Inverted index over example vectors of unit length."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], counts: list[dict[int, int]]):
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]]):
         self.terms, self.idf = terms, idf
         vectors = [self.vector(c) for c in counts]
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], tuple(sorted(counts[i])), ids[i]))  # alike examples share blocks
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
         filled = [i for i in order if len(vectors[i][0])]
         empty = [i for i in order if not len(vectors[i][0])]
         self.ids = np.array([ids[i] for i in filled], np.int64)
         self.labels = np.array([labels[i] for i in filled], np.float64)
         self.empty_toxic, self.empty_all = sum(labels[i] for i in empty), len(empty)
         self.base = (sum(labels) + 1) / (len(labels) + 2)
-        self.blocks = -(-len(filled) // BLOCK)
-        self.maxima = np.zeros((len(terms), self.blocks), np.float64)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for place, i in enumerate(filled):
-            for t, w in zip(*vectors[i], strict=True):
-                postings[t].append((place, w))
-                self.maxima[t, place // BLOCK] = max(self.maxima[t, place // BLOCK], w)
-        self.places = [np.array([p for p, _ in x], np.int64) for x in postings]
-        self.weights = [np.array([w for _, w in x], np.float64) for x in postings]
-        self.starts = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
+        held = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in filled]])
+        by_term = np.argsort(held, kind="stable")
+        self.place = np.repeat(np.arange(len(filled), dtype=np.int32), [len(vectors[i][0]) for i in filled])[by_term]
+        self.weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in filled]])[by_term]
+        self.starts = np.searchsorted(held[by_term], np.arange(len(terms) + 1))
         self.edges, self.shares = np.array([]), np.array([])
-        self.memo: dict[bytes, tuple] = {}  # by digest of the counts, for copies
+        self.other, self.total = None, 0  # document frequencies of all other terms; number of documents
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "matrix")}
+
+    @property
+    def places(self) -> list[np.ndarray]:
+        return np.split(self.place, self.starts[1:-1])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return np.split(self.weight, self.starts[1:-1])
+
+    @cached_property
+    def common(self) -> np.ndarray:
+        """The row of ``matrix`` of each term that many examples hold, else -1."""
+        many = np.diff(self.starts) > COMMON * len(self.ids)
+        return np.where(many, np.cumsum(many) - 1, -1)
+
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        out = np.zeros((int(self.common.max(initial=-1)) + 1, len(self.ids)))
+        for t in np.flatnonzero(self.common >= 0):
+            a, b = self.starts[t], self.starts[t + 1]
+            out[self.common[t], self.place[a:b]] = self.weight[a:b]
+        return out
+
+    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(terms, weights of unit length, norm) of the terms of the examples in a text."""
+        terms = np.fromiter(counts, np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(terms)
+        order = order[terms[order] >= 0]
+        terms = terms[order]
+        weights = (1 + np.log(times[order])) * self.idf[terms]
+        norm = float(np.sqrt((weights**2).sum()))
+        return (terms, weights / norm, norm) if norm > 0 else (terms[:0], weights[:0], 0.0)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weights = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms], np.float64)
-        norm = math.sqrt(float((weights**2).sum()))
-        return (terms, weights / norm) if norm > 0 else (terms[:0], weights[:0])
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, similarities) of the k nearest examples, nearest first, ties by place."""
-        bounds = weights @ self.maxima[terms]
-        best_at, best_sim = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best_at) == k and bounds[block] < best_sim[-1] - 1e-12:
-                break
-            low = block * BLOCK
-            scores = np.zeros(min(BLOCK, len(self.ids) - low))
-            for t, w in zip(terms, weights, strict=True):
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                if a < b:
-                    scores[self.places[t][a:b] - low] += w * self.weights[t][a:b]
-            found = np.flatnonzero(scores > 0)
-            at, sim = np.append(best_at, found + low), np.append(best_sim, scores[found])
-            if without is not None:
-                at, sim = at[at != without], sim[at != without]
-            first = np.lexsort((at, -sim))[:k]
-            best_at, best_sim = at[first], sim[first]
-        return best_at, best_sim
+        return self.weigh(counts)[:2]
+
+    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Inner products of the vectors with all examples."""
+        n = len(self.ids)
+        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        column = self.common[terms]
+        dense = column >= 0
+        asked = np.zeros((len(vectors), len(self.matrix)))
+        asked[row[dense], column[dense]] = weights[dense]
+        row, terms, weights = row[~dense], terms[~dense], weights[~dense]
+        out = asked @ self.matrix
+        starts, stops = self.starts[terms], self.starts[terms + 1]
+        cuts = np.searchsorted(row, np.arange(len(vectors) + 1))
+        for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            for low in range(low, high, BLOCK_TERMS):
+                some = slice(low, min(low + BLOCK_TERMS, high))
+                parts = [slice(a, b) for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True)]
+                held = np.repeat(weights[some], stops[some] - starts[some])
+                held *= np.concatenate([self.weight[p] for p in parts])
+                out[i] += np.bincount(np.concatenate([self.place[p] for p in parts]), held, minlength=n)
+        return out
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, *, without_own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, similarities) of the k nearest examples of each vector, nearest first, ties by place."""
+        for first in range(0, len(vectors), BLOCK_TEXTS):
+            found = self.similarities(vectors[first : first + BLOCK_TEXTS])
+            if without_own:
+                found[np.arange(len(found)), np.arange(first, first + len(found))] = 0
+            least = np.partition(found, -k, axis=1)[:, -k] if k < found.shape[1] else np.zeros(len(found))
+            for sims, low in zip(found, least, strict=True):
+                at = np.flatnonzero(sims >= max(low - 1e-9, 1e-12))
+                sims = np.round(sims[at], 12)  # equal examples tie, whatever the order of sums
+                best = np.lexsort((at, -sims))[:k]
+                yield at[best], sims[best]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_of([(terms, weights)], k))
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         """Weighted share of toxic neighbours, drawn to the base rate when nothing is close."""
@@ -137,15 +192,11 @@ class ExampleIndex:
 
     def calibrate(self) -> None:
         """Shares of toxic examples by leave-one-out vote, made monotone by pooling neighbours."""
-        votes = []
-        seen: dict[tuple, float] = {}
-        for place in range(len(self.ids)):
-            own = [(t, float(self.weights[t][np.searchsorted(self.places[t], place)])) for t in self.members[place]]
-            key = (tuple(own), self.labels[place])
-            if key not in seen:
-                terms = np.array([t for t, _ in own], np.int64)
-                seen[key] = self.vote(*self.nearest(terms, np.array([w for _, w in own]), without=place))
-            votes.append(seen[key])
+        order = np.argsort(self.place, kind="stable")
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))[order]
+        cuts = np.searchsorted(self.place[order], np.arange(1, len(self.ids)))
+        own = list(zip(np.split(term, cuts), np.split(self.weight[order], cuts), strict=True)) if len(self.ids) else []
+        votes = [self.vote(at, sim) for at, sim in self.nearest_of(own, without_own=True)]
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []
         for i in order:
@@ -157,50 +208,33 @@ class ExampleIndex:
         self.edges = np.array([p[0] for p in pools])
         self.shares = np.array([(p[1] + self.base) / (p[2] + 1) for p in pools])
 
-    @property
-    def members(self) -> list[list[int]]:
-        if not hasattr(self, "_members"):
-            self._members: list[list[int]] = [[] for _ in self.ids]
-            for t, places in enumerate(self.places):
-                for p in places:
-                    self._members[p].append(t)
-        return self._members
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, at: np.ndarray, sim: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
         """(probability, evidence): the nearest examples as (identifier, similarity, label)."""
-        key = xxhash.xxh3_128_digest(np.array(sorted(counts.items()), np.int64).tobytes())
-        if key in self.memo:
-            return self.memo[key]
-        terms, weights = self.vector(counts)
-        if not len(terms) or not len(self.ids):
-            out = ((self.empty_toxic + self.base) / (self.empty_all + 1) if self.empty_all or len(self.ids) else 0.0), []
-        else:
-            at, sim = self.nearest(terms, weights)
-            vote = self.vote(at, sim)
-            share = float(np.interp(vote, self.edges, self.shares)) if len(self.edges) else vote
-            out = share, [(int(self.ids[i]), float(s), int(self.labels[i])) for i, s in zip(at[:5], sim[:5], strict=True)]
-        if len(self.memo) >= MEMO_SCORES:
-            self.memo.clear()
-        self.memo[key] = out
-        return out
+        vote = self.vote(at, sim)
+        share = float(np.interp(vote, self.edges, self.shares)) if len(self.edges) else vote
+        return share, [(int(self.ids[i]), float(s), int(self.labels[i])) for i, s in zip(at[:5], sim[:5], strict=True)]
+
+    @property
+    def empty_score(self) -> float:
+        return (self.empty_toxic + self.base) / (self.empty_all + 1) if self.empty_all or len(self.ids) else 0.0
 
 
-def _ratio(pos, neg, n_pos: int, n_neg: int):
-    """Log-likelihood ratio of a term's presence against the label, as a column."""
-    total = F.lit(float(n_pos + n_neg))
+def _ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log-likelihood ratio of each term's presence against the label."""
+    total = n_pos + n_neg
 
     def part(observed, row, column):
-        expected = row * column / total
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+        expected = np.where(observed > 0, row * column / total, 1.0)
+        return observed * np.log(np.where(observed > 0, observed, 1.0) / expected)
 
     with_, without = pos + neg, total - pos - neg
-    p, n = F.lit(float(n_pos)), F.lit(float(n_neg))
-    return 2 * (part(pos, with_, p) + part(neg, with_, n) + part(p - pos, without, p) + part(n - neg, without, n))
+    out = part(pos, with_, n_pos) + part(neg, with_, n_neg) + part(n_pos - pos, without, n_pos) + part(n_neg - neg, without, n_neg)
+    return np.maximum(2 * out, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> ExampleIndex:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> ExampleIndex:
     """The index of at most ``max_examples`` labelled documents (chosen by a hash of the
-    identifier) over at most ``max_terms`` terms."""
+    identifier) over all their terms."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
@@ -217,25 +251,38 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             both = list(pos.keys() | neg.keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([pos[t] for t in both], pa.int64()), pa.array([neg[t] for t in both], pa.int64())], ["term", "pos", "neg"])
 
-    terms: list[str] = []
-    if n_pos and n_neg:
-        found = texts.select("toxic", "text").mapInArrow(terms_of, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg"))
-        found = found.filter(F.col("pos") + F.col("neg") >= MIN_EXAMPLES).withColumn("ratio", _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg))
-        terms = sorted(r["term"] for r in found.filter(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(max_terms).select("term").collect())
+    found = texts.select("toxic", "text").mapInArrow(terms_of, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    held = found.toArrow().sort_by("term")  # bounded by max_examples
+    terms = held["term"].to_pylist()
+    ratio = _ratio(held["pos"].to_numpy().astype(float), held["neg"].to_numpy().astype(float), n_pos, n_neg)
 
     @releasing
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, seen, n = Vocabulary(terms), Counter(), 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64()), pa.array([n] + [0] * (len(seen) - 1), pa.int64())], ["term", "n", "docs"])
+
         for batch in batches:
             for text in batch.column(0):
-                seen.update(vocabulary.counts(text.as_py()).keys())
+                seen.update(vocabulary.present(text.as_py()))
                 n += 1
-        seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
-    total = df.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+                if len(seen) >= FLUSH_TERMS:
+                    yield told()
+                    seen, n = Counter(), 0
+        if n:
+            seen[0] += 0  # a row for the number of documents
+            yield told()
+
+    known_df, total, other = np.zeros(len(terms)), 0, None
+    if terms:
+        counted = docs.select("text").mapInArrow(frequencies, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        counted = materialise(counted, "frequencies")
+        total = counted.agg(F.sum("docs")).first()[0] or 0
+        own = counted.filter("term >= 0").select("term", "n").toArrow()
+        known_df[own["term"].to_numpy()] = own["n"].to_numpy()
+        other = counted.filter("term < 0").select("term", "n")
+    idf = (np.log((1 + total) / (1 + known_df)) + 1) * np.sqrt(1 + ratio)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
@@ -243,27 +290,67 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             counts = [vocabulary.counts(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    index = ExampleIndex(terms, idf, [r["doc_id"] for r in rows], [r["toxic"] for r in rows], [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows])
+    rows = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    counts = (dict(zip(t.as_py(), n.as_py(), strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True))
+    index = ExampleIndex(terms, idf, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), counts)
     index.calibrate()
-    index.memo.clear()
+    index.other, index.total = other, total
     return index
 
 
 def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, evidence) of every document; one map without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
+    """(doc_id, score, evidence) of every document.  Texts are searched in one map; the
+    weights of terms outside the examples join its written result by hash."""
+    other, index.other = index.other, None  # a table cannot be sent
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples
+    total, index.other = index.total, other
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = sent.value
         vocabulary = Vocabulary(examples.terms)
-        for batch in batches:
-            found = [examples.score(vocabulary.counts(text.as_py())) for text in batch.column(1)]
-            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                texts: dict[str | None, int] = {}  # copies are searched once
+                which = [texts.setdefault(t, len(texts)) for t in batch.column(2).to_pylist()]
+                vectors, norms, hashes, times = [], [], [], []
+                for text in texts:
+                    counts = vocabulary.counts(text)
+                    terms, weights, norm = examples.weigh(counts)
+                    vectors.append((terms, weights))
+                    norms.append(norm)
+                    hashes.append([t for t in counts if t < 0])
+                    times.append([n for t, n in counts.items() if t < 0])
+                near = list(examples.nearest_of(vectors)) if len(examples.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+                kinds = [pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                columns = [norms, [a for a, _ in near], [s for _, s in near], hashes, times]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([c[i] for i in which], k) for c, k in zip(columns, kinds, strict=True)]], ["row", "doc_id", "norm", "at", "sim", "hashes", "times"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")
+    @releasing
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = sent.value
+        for batch in batches:
+            scores, evidence = [], []
+            for norm, rest, at, sim in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
+                if norm == 0 and rest == 0 or not len(examples.ids):
+                    found = examples.empty_score, []
+                else:
+                    found = examples.score(np.array(at, np.int64), np.array(sim) * (norm / np.sqrt(norm**2 + rest)))
+                scores.append(found[0])
+                evidence.append([{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in found[1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Written, so that row numbers hold.
+    found = materialise(docs.mapInArrow(search, "row long, doc_id long, norm double, at array<int>, sim array<double>, hashes array<bigint>, times array<int>"), "nearest")
+    if other is None:
+        found = found.withColumn("rest", F.lit(0.0))
+    else:
+        terms = found.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("t")).select("row", F.col("t.hashes").alias("term"), F.col("t.times").alias("times"))
+        idf = F.log(F.lit(1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
+        rest = terms.join(other, "term", "left").withColumn("weight", (1 + F.log("times")) * idf)
+        rest = rest.groupBy("row").agg(F.sum(F.col("weight") * F.col("weight")).alias("rest"))
+        found = found.drop("hashes", "times").join(rest, "row", "left").fillna(0.0, ["rest"])
+    return found.select("doc_id", "norm", "rest", "at", "sim").mapInArrow(finish, "doc_id long, score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")

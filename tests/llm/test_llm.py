@@ -1,5 +1,8 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -200,3 +203,32 @@ def test_empty_tables(docs):
 def test_base_digest(docs):
     row = pii.digest_spans(pii.find_personal_data(docs)).first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest() and row.spans == ""
+
+
+def test_toxicity_covers_all_terms(spark):
+    rows = [(i, f"shared{i % 2} own{i} " + ("bad" if i % 4 == 0 else "good") + " rare" * (i % 3)) for i in range(24)]
+    rows += [(100, "own3"), (101, "own4 unseen unseen"), (102, "own4 unseen other"), (103, "own4 unseen other"), (104, "nothing"), (105, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(24)], "doc_id long, toxic int")
+    counts = {}
+    for i, text in rows:
+        counts[i] = {}
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            for t in [word, *(word[:n] + "-" for n in (4, 5, 6, 7) if len(word) > n)]:
+                counts[i][t] = counts[i].get(t, 0) + 1
+    df = Counter(t for c in counts.values() for t in c)
+
+    def ratio(term):
+        cells = [[sum((term in counts[i]) == held and (i % 4 == 0) == bad for i in range(24)) for bad in (0, 1)] for held in (0, 1)]
+        return 2 * sum(n * math.log(n * 24 / (sum(row) * (18, 6)[bad])) for row in cells for bad, n in enumerate(row) if n)
+
+    factor = {t: (math.log((1 + len(rows)) / (1 + n)) + 1) * math.sqrt(1 + max(0, ratio(t))) for t, n in df.items()}
+    weights = {i: {t: (1 + math.log(n)) * factor[t] for t, n in c.items()} for i, c in counts.items()}
+    norms = {i: math.sqrt(sum(w * w for w in c.values())) for i, c in weights.items()}
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert set(got) == set(counts)
+    for i, r in got.items():
+        sims = {j: sum(w * weights[j].get(t, 0) for t, w in weights[i].items()) / norms[i] / norms[j] for j in range(24) if norms[i]}
+        best = sorted((s for s in sims.values() if s > 0), reverse=True)[:5]
+        assert np.allclose([e.similarity for e in r.evidence], best) and all(math.isclose(e.similarity, sims[e.doc_id]) for e in r.evidence)
+    assert got[100].evidence and got[103].evidence and not got[104].evidence
