@@ -105,20 +105,35 @@ REPEATS = {"double": 2, "triple": 3}
 AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba"), ("dot", "point", "punkt", "punto")
 
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_unit = rf"(?:(?:{'|'.join(REPEATS)})[\s-]+)?(?:{_digit}|[0-9])"
+_unit = rf"(?:(?:{'|'.join(REPEATS)})[\s-]+)?(?:{_digit}|[0-9]++)"
 _gap = r"[ \t,-]{1,3}"
 _dotted = rf"(?:[ \t]*[\[({{<][ \t]*(?:{'|'.join(DOT_WORDS)}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+)"
 _atted = rf"(?:[ \t]*[\[({{<][ \t]*(?:{'|'.join(AT_WORDS)}|@)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{'|'.join(AT_WORDS)})[ \t]+)"
-# At least seven spelled or single digits in a row, with one word at least, or four groups joined by "dot".
-SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?{_unit}(?:(?:{_gap}|{_dotted}){_unit}){{3,}}(?!\w)", re.IGNORECASE)
-WORDS = re.compile(rf"(?P<repeat>{'|'.join(REPEATS)})[\s-]+|(?P<digit>{_digit})|(?P<plus>plus)[\s-]*|(?P<dot>{_dotted})|(?P<gap>{_gap})", re.IGNORECASE)
+# Digit words and groups of digits in a row, two at least and one of them (or a plus or dot) spelled.
+SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?{_unit}(?:(?:{_gap}|{_dotted}){_unit})+(?!\w)", re.IGNORECASE)
+WORDS = re.compile(rf"(?P<repeat>{'|'.join(REPEATS)})[\s-]+|(?P<digit>{_digit})|(?P<figures>[0-9]+)|(?P<plus>plus)[\s-]*|(?P<dot>{_dotted})|(?P<gap>{_gap})", re.IGNORECASE)
 DISGUISED_AT = re.compile(_atted, re.IGNORECASE)
 DISGUISED_DOT = re.compile(rf"(?<=[\w]){_dotted}(?=\w)", re.IGNORECASE)
 # An address with at least one disguise: local, at, labels joined by dots.
 ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_atted}|@)[A-Za-z0-9-]+(?:(?:{_dotted}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+# What follows every disguised at of an address; found before the costlier ADDRESS is tried.
+AFTER_AT = re.compile(rf"(?:\b(?:{'|'.join(AT_WORDS)})\b|@)[ \t]*[\])}}>]?[ \t]*[A-Za-z0-9-]+(?:{_dotted}|\.)[A-Za-z0-9-]", re.IGNORECASE)
 DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_dotted}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_marks = bytes(32 if chr(i) in "-,.;:[](){}<>" else i for i in range(256))
-_units = frozenset(w.encode() for w in [*DIGIT_WORDS, *"0123456789", *REPEATS, *DOT_WORDS])
+_token = re.compile(r"\w+")
+_spoken = frozenset([*DIGIT_WORDS, *REPEATS, *DOT_WORDS, "plus"])
+_figures = re.compile(r"(?:plus)?[0-9]+")
+
+
+def may_be_spelled(low: str) -> bool:
+    """Whether a spelled unit stands beside another unit."""
+    tokens = _token.findall(low)
+    spoken = bytes(map(_spoken.__contains__, tokens))
+    at = spoken.find(1)
+    while at >= 0:
+        if any(t in _spoken or _figures.fullmatch(t) for t in tokens[max(at - 1, 0) : at] + tokens[at + 1 : at + 2]):
+            return True
+        at = spoken.find(1, at + 1)
+    return False
 
 
 @lru_cache(maxsize=4096)
@@ -198,7 +213,7 @@ def spelled_out(text: str) -> list[tuple[int, int, str]]:
         edits.setdefault(start, (start, end, new))
 
     low = text.lower()
-    if b"\1\1\1\1" in bytes(map(_units.__contains__, low.encode("utf-8", "surrogatepass").translate(_marks).split())):
+    if may_be_spelled(low):
         for run in SPELLED.finditer(text):
             if not any(c.isalpha() for c in run[0]):
                 continue
@@ -210,14 +225,20 @@ def spelled_out(text: str) -> list[tuple[int, int, str]]:
                 elif m["digit"]:
                     put(m.start(), m.end(), DIGIT_WORDS[m["digit"].lower()] * repeat)
                     repeat = 1
+                elif m["figures"]:
+                    if repeat > 1 and len(m[0]) == 1:
+                        put(m.start(), m.end(), m[0] * repeat)
+                    repeat = 1
                 else:
                     put(m.start(), m.end(), "+" if m["plus"] else "." if m["dot"] else "")
+    whole = [ADDRESS] if AFTER_AT.search(text) else []
     if any(w in low for w in DOT_WORDS) or any(c in low for c in "[({<"):
-        for whole in (ADDRESS, DOTTED_IP):
-            for found in whole.finditer(text):
-                for pattern, new in ((DISGUISED_DOT, "."), (DISGUISED_AT, "@")):
-                    for m in pattern.finditer(text, *found.span()):
-                        put(m.start(), m.end(), new)
+        whole.append(DOTTED_IP)
+    for pattern in whole:
+        for found in pattern.finditer(text):
+            for part, new in ((DISGUISED_DOT, "."), (DISGUISED_AT, "@")):
+                for m in part.finditer(text, *found.span()):
+                    put(m.start(), m.end(), new)
     out, at = [], 0
     for start, end, new in sorted(edits.values()):
         if start >= at:

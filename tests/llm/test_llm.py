@@ -232,3 +232,17 @@ def test_toxicity_covers_all_terms(spark):
         best = sorted((s for s in sims.values() if s > 0), reverse=True)[:5]
         assert np.allclose([e.similarity for e in r.evidence], best) and all(math.isclose(e.similarity, sims[e.doc_id]) for e in r.evidence)
     assert got[100].evidence and got[103].evidence and not got[104].evidence
+
+
+@pytest.mark.parametrize("around", ["{}", "{} (see below)", "[1] {}"])
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write to john at example.com today", "email", "john at example.com"),
+        ("call +1 415 five five five 2671 now", "phone", "+1 415 five five five 2671"),
+        ("call plus 1 415 triple 5 2671 now", "phone", "plus 1 415 triple 5 2671"),
+    ],
+)
+def test_disguises_do_not_need_other_characters(around, text, kind, found):
+    text = around.format(text)
+    assert [(s.kind, text[s.start : s.end]) for s in pii.all_spans(text)[1]] == [(kind, found)]
