@@ -32,3 +32,13 @@ def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    Few and unsplittable input files would leave cores idle in a costly map; input that
+    comes in enough splits already is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
