@@ -1,15 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings.  Every term of the labelled examples (a bounded
-sample) is indexed; none is dropped.  A term weighs (1 + log count) x inverse document
-frequency x sqrt(1 + log-likelihood ratio of the term against the label); the ratio is
-0 for a term that no example holds.  Document frequencies are counted over all
+Terms are words (runs of letters, lower-cased) and their first four letters.  Every term
+of the labelled examples (a bounded sample) is indexed; none is dropped.  A term weighs
+(1 + log count) x inverse document frequency x (1 + r) ** 0.75, r being its
+log-likelihood ratio against the label, which is 0 for a term that no example holds.  Document frequencies are counted over all
 documents, and a text's norm covers all its terms: those outside the examples are
-looked up by a join on their 63-bit hash, because their number is not bounded.  A text
-is compared with all examples: common terms by a matrix product, the others by
-postings, so the nearest examples are exact.  They vote with weights that rise with
-similarity, and the vote is turned into a probability by the share of toxic examples
-at that vote, measured on the examples themselves with each left out.
+looked up by a join on their 63-bit hash, because their number is not bounded.
+
+The examples are kept as a block-max inverted index.  They are ordered by their nearest
+pivot and their length and cut into blocks; each block stores, for every common term,
+the largest weight among its members.  A text's rare terms are summed exactly from their
+postings; those sums plus the block maxima of its common terms bound the score of every
+block.  The most promising blocks are scored first, and of the others only those whose
+bound reaches the k-th score found so far, so the nearest examples are exact.  They vote
+with weights that rise with similarity, and the vote is turned into a probability by the
+share of toxic examples at that vote, measured on the examples themselves with each left
+out.
 
 Defined results: a text without any term (also empty and null ones) is compared with
 the examples that have none either, and gets their toxic share; a text that shares no
@@ -24,7 +30,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,158 +37,155 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.functions.storage import materialise
+from cueweave.functions.storage import materialise, spread
 from cueweave.llm.memory import releasing
 
 MAX_EXAMPLES = 4000
 NEIGHBOURS = 25
 POWER = 4.0
-COMMON = 0.1
-BLOCK_TEXTS, BLOCK_TERMS = 64, 1000
+RATIO_POWER = 0.75
+BEGINNING = 4
+COMMON = 0.03
+BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
+BATCH_TEXTS = 128
 FLUSH_TERMS = 200_000
-PREFIXES = (4, 5, 6, 7)
 MEMO_WORDS = 100_000
 _word = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    """A word and its beginnings (marked with a trailing hyphen)."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
+def text_terms(text: str | None) -> list[str]:
+    """The words of a text and, marked with a hyphen, the beginnings of the longer ones."""
+    words = _word.findall((text or "").lower())
+    return words + [w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING]
 
 
-def text_words(text: str | None) -> Counter:
-    return Counter(_word.findall((text or "").lower()))
-
-
-class Vocabulary:
-    """Numbers of terms, with a bounded memory of words seen before: the place of a
-    term of the examples, or a negative hash for any other."""
+class Vocabulary(dict):
+    """Numbers of terms: the place of a term of the examples, or a negative hash for any
+    other.  Hashes of words seen before are remembered up to a bound."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        return tuple(i if (i := self.number.get(t)) is not None else -1 - (xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1) for t in word_terms(word))
+        super().__init__((t, i) for i, t in enumerate(terms))
+        self.limit = len(self) + MEMO_WORDS
+        self.others: list[str] = []
 
-    def known(self, word: str) -> tuple[int, ...]:
-        ids = self.memo.get(word)
-        if ids is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            ids = self.memo[word] = self.numbers(word)
-        return ids
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            for known in self.others:
+                del self[known]
+            self.others = []
+        number = self[word] = -1 - (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1)
+        self.others.append(word)
+        return number
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        memo = self.memo
-        for word, n in text_words(text).items():
-            for i in memo.get(word) or self.known(word):
-                out[i] = out.get(i, 0) + n
-        return out
-
-    def present(self, text: str | None) -> set[int]:
-        memo = self.memo
-        return set().union(*[memo.get(word) or self.known(word) for word in set(_word.findall((text or "").lower()))])
+    def counts(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The terms of a text and how often each occurs."""
+        found = Counter(text_terms(text))
+        return [self[t] for t in found], list(found.values())
 
 
 class ExampleIndex:
-    """Inverted index over example vectors of unit length."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]]):
-        self.terms, self.idf = terms, idf
-        vectors = [self.vector(c) for c in counts]
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        filled = [i for i in order if len(vectors[i][0])]
-        empty = [i for i in order if not len(vectors[i][0])]
+    """Block-max inverted index over example vectors of unit length."""
+
+    def __init__(self, terms: list[str], weights: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[tuple[list[int], list[int]]]):
+        self.terms, self.factor = terms, weights
+        vectors = [self.weigh(*c)[:2] for c in counts]
+        filled = [i for i in np.argsort(np.array(ids, np.int64), kind="stable") if len(vectors[i][0])]
+        filled = [filled[i] for i in self._alike([vectors[i] for i in filled])]
+        empty = [i for i in range(len(ids)) if not len(vectors[i][0])]
         self.ids = np.array([ids[i] for i in filled], np.int64)
         self.labels = np.array([labels[i] for i in filled], np.float64)
         self.empty_toxic, self.empty_all = sum(labels[i] for i in empty), len(empty)
         self.base = (sum(labels) + 1) / (len(labels) + 2)
+        self.blocks = -(-len(filled) // BLOCK)
         held = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in filled]])
-        by_term = np.argsort(held, kind="stable")
-        self.place = np.repeat(np.arange(len(filled), dtype=np.int32), [len(vectors[i][0]) for i in filled])[by_term]
-        self.weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in filled]])[by_term]
-        self.starts = np.searchsorted(held[by_term], np.arange(len(terms) + 1))
+        place = np.repeat(np.arange(len(filled)), [len(vectors[i][0]) for i in filled])
+        weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in filled]])
+        number = np.bincount(held, minlength=len(terms))
+        often = number > COMMON * len(filled)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)  # rows of the common terms
+        self.common = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        dense = often[held]
+        self.common[self.row[held[dense]], place[dense]] = weight[dense]
+        self.maxima = self.common.reshape(len(self.common), self.blocks, BLOCK).max(axis=2) if self.blocks else self.common
+        by_term = np.argsort(held[~dense], kind="stable")
+        self.place, self.weight = place[~dense][by_term].astype(np.int32), weight[~dense][by_term]
+        self.starts = np.searchsorted(held[~dense][by_term], np.arange(len(terms) + 1))
+        self.own = [vectors[i] for i in filled]  # for the calibration only
         self.edges, self.shares = np.array([]), np.array([])
         self.other, self.total = None, 0  # document frequencies of all other terms; number of documents
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("common", "matrix")}
-
-    @property
-    def places(self) -> list[np.ndarray]:
-        return np.split(self.place, self.starts[1:-1])
-
-    @property
-    def weights(self) -> list[np.ndarray]:
-        return np.split(self.weight, self.starts[1:-1])
-
-    @cached_property
-    def common(self) -> np.ndarray:
-        """The row of ``matrix`` of each term that many examples hold, else -1."""
-        many = np.diff(self.starts) > COMMON * len(self.ids)
-        return np.where(many, np.cumsum(many) - 1, -1)
-
-    @cached_property
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((int(self.common.max(initial=-1)) + 1, len(self.ids)))
-        for t in np.flatnonzero(self.common >= 0):
-            a, b = self.starts[t], self.starts[t + 1]
-            out[self.common[t], self.place[a:b]] = self.weight[a:b]
-        return out
-
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        return {k: v for k, v in self.__dict__.items() if k not in ("own", "other", "factor")} | {"factor": self.factor.astype(np.float64)}
+
+    @staticmethod
+    def _alike(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """An order that puts alike examples together: by the nearest of a few pivots, then by length."""
+        if not vectors:
+            return np.zeros(0, np.int64)
+        at = np.concatenate([t for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors])
+        starts = np.cumsum([0, *[len(t) for t, _ in vectors]])[:-1]
+        near = []
+        for i in np.random.default_rng(5).choice(len(vectors), min(PIVOTS, len(vectors)), replace=False):
+            pivot = np.zeros(int(at.max()) + 1)
+            pivot[vectors[i][0]] = vectors[i][1]
+            near.append(np.add.reduceat(pivot[at] * weight, starts))
+        return np.lexsort(([len(t) for t, _ in vectors], np.argmax(near, axis=0)))
+
+    def weigh(self, terms: list[int], times: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
         """(terms, weights of unit length, norm) of the terms of the examples in a text."""
-        terms = np.fromiter(counts, np.int64, len(counts))
-        times = np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(terms)
-        order = order[terms[order] >= 0]
-        terms = terms[order]
-        weights = (1 + np.log(times[order])) * self.idf[terms]
+        found = np.array(terms, np.int64)
+        known = found >= 0
+        found = found[known]
+        weights = (1 + np.log(np.array(times, np.float64)[known])) * self.factor[found]
         norm = float(np.sqrt((weights**2).sum()))
-        return (terms, weights / norm, norm) if norm > 0 else (terms[:0], weights[:0], 0.0)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh(counts)[:2]
-
-    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Inner products of the vectors with all examples."""
-        n = len(self.ids)
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
-        column = self.common[terms]
-        dense = column >= 0
-        asked = np.zeros((len(vectors), len(self.matrix)))
-        asked[row[dense], column[dense]] = weights[dense]
-        row, terms, weights = row[~dense], terms[~dense], weights[~dense]
-        out = asked @ self.matrix
-        starts, stops = self.starts[terms], self.starts[terms + 1]
-        cuts = np.searchsorted(row, np.arange(len(vectors) + 1))
-        for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            for low in range(low, high, BLOCK_TERMS):
-                some = slice(low, min(low + BLOCK_TERMS, high))
-                parts = [slice(a, b) for a, b in zip(starts[some].tolist(), stops[some].tolist(), strict=True)]
-                held = np.repeat(weights[some], stops[some] - starts[some])
-                held *= np.concatenate([self.weight[p] for p in parts])
-                out[i] += np.bincount(np.concatenate([self.place[p] for p in parts]), held, minlength=n)
-        return out
-
-    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, *, without_own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, similarities) of the k nearest examples of each vector, nearest first, ties by place."""
-        for first in range(0, len(vectors), BLOCK_TEXTS):
-            found = self.similarities(vectors[first : first + BLOCK_TEXTS])
-            if without_own:
-                found[np.arange(len(found)), np.arange(first, first + len(found))] = 0
-            least = np.partition(found, -k, axis=1)[:, -k] if k < found.shape[1] else np.zeros(len(found))
-            for sims, low in zip(found, least, strict=True):
-                at = np.flatnonzero(sims >= max(low - 1e-9, 1e-12))
+        return (found, weights / norm, norm) if norm > 0 else (found[:0], weights[:0], 0.0)
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, *, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, similarities) of the k nearest examples of each vector, nearest first, ties by
+        identifier.  ``without`` gives a place that is no candidate for each vector."""
+        for low in range(0, len(vectors), BATCH_TEXTS):
+            part = vectors[low : low + BATCH_TEXTS]
+            scores = self._scores(part, k, None if without is None else without[low : low + len(part)])
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(len(part))
+            for sims, floor in zip(scores, least, strict=True):
+                at = np.flatnonzero(sims >= max(floor - 1e-9, 1e-12))
                 sims = np.round(sims[at], 12)  # equal examples tie, whatever the order of sums
-                best = np.lexsort((at, -sims))[:k]
+                best = np.lexsort((self.ids[at], -sims))[:k]
                 yield at[best], sims[best]
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_of([(terms, weights)], k))
+    def _scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> np.ndarray:
+        """Similarities of the vectors with the examples of all blocks that can matter; 0 elsewhere."""
+        texts, width = len(vectors), self.blocks * BLOCK
+        text = np.repeat(np.arange(texts), [len(t) for t, _ in vectors])
+        terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        row = self.row[terms]
+        asked = np.zeros((texts, len(self.common)))
+        asked[text[row >= 0], row[row >= 0]] = weights[row >= 0]
+        text, terms, weights = text[row < 0], terms[row < 0], weights[row < 0]
+        lengths = self.starts[terms + 1] - self.starts[terms]
+        at = np.arange(lengths.sum()) + np.repeat(self.starts[terms] - np.cumsum(lengths) + lengths, lengths)
+        where = np.repeat(text * width, lengths) + self.place[at]
+        scores = np.bincount(where, np.repeat(weights, lengths) * self.weight[at], minlength=texts * width).astype(np.float64, copy=False).reshape(texts, self.blocks, BLOCK)
+        bound = scores.max(axis=2) + asked @ self.maxima
+        done = np.zeros((texts, self.blocks), bool)
+
+        def finish(todo: np.ndarray) -> None:
+            for block in np.flatnonzero(todo.any(axis=0)):
+                who = np.flatnonzero(todo[:, block])
+                scores[who, block] += asked[who] @ self.common[:, block * BLOCK : (block + 1) * BLOCK]
+            done[todo] = True
+            if without is not None:
+                scores.reshape(texts, width)[np.arange(texts), without] = 0
+
+        first = min(self.blocks, FIRST_BLOCKS + -(-k // BLOCK))
+        todo = np.zeros_like(done)
+        np.put_along_axis(todo, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        finish(todo)
+        reached = np.where(done[:, :, None], scores, 0).reshape(texts, width)
+        floor = np.partition(reached, -k, axis=1)[:, -k] if k < width else np.zeros(texts)
+        finish(~done & (bound >= floor[:, None] - 1e-9) & (bound > 0))
+        return np.where(done[:, :, None], scores, 0).reshape(texts, width)[:, : len(self.ids)]
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         """Weighted share of toxic neighbours, drawn to the base rate when nothing is close."""
@@ -192,11 +194,7 @@ class ExampleIndex:
 
     def calibrate(self) -> None:
         """Shares of toxic examples by leave-one-out vote, made monotone by pooling neighbours."""
-        order = np.argsort(self.place, kind="stable")
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))[order]
-        cuts = np.searchsorted(self.place[order], np.arange(1, len(self.ids)))
-        own = list(zip(np.split(term, cuts), np.split(self.weight[order], cuts), strict=True)) if len(self.ids) else []
-        votes = [self.vote(at, sim) for at, sim in self.nearest_of(own, without_own=True)]
+        votes = [self.vote(at, sim) for at, sim in self.nearest_of(self.own, without=np.arange(len(self.ids)))]
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []
         for i in order:
@@ -247,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             pos, neg = Counter(), Counter()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (pos if toxic else neg).update({t for w in text_words(text) for t in word_terms(w)})
+                (pos if toxic else neg).update(set(text_terms(text)))
             both = list(pos.keys() | neg.keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([pos[t] for t in both], pa.int64()), pa.array([neg[t] for t in both], pa.int64())], ["term", "pos", "neg"])
 
@@ -265,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(vocabulary.present(text.as_py()))
+                seen.update([vocabulary[t] for t in set(text_terms(text.as_py()))])
                 n += 1
                 if len(seen) >= FLUSH_TERMS:
                     yield told()
@@ -276,23 +274,23 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     known_df, total, other = np.zeros(len(terms)), 0, None
     if terms:
-        counted = docs.select("text").mapInArrow(frequencies, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        counted = materialise(counted, "frequencies")
+        counted = spread(docs.select("text")).mapInArrow(frequencies, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # A term outside the examples that one document holds needs no row: whoever asks for it is that document.
+        counted = materialise(counted.filter("term >= 0 or n > 1 or docs > 0"), "frequencies")
         total = counted.agg(F.sum("docs")).first()[0] or 0
         own = counted.filter("term >= 0").select("term", "n").toArrow()
         known_df[own["term"].to_numpy()] = own["n"].to_numpy()
         other = counted.filter("term < 0").select("term", "n")
-    idf = (np.log((1 + total) / (1 + known_df)) + 1) * np.sqrt(1 + ratio)
+    weights = (np.log((1 + total) / (1 + known_df)) + 1) * (1 + ratio) ** RATIO_POWER
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
         for batch in batches:
             counts = [vocabulary.counts(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in counts], pa.list_(pa.int32())), pa.array([n for _, n in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     rows = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    counts = (dict(zip(t.as_py(), n.as_py(), strict=True)) for t, n in zip(rows["terms"], rows["counts"], strict=True))
-    index = ExampleIndex(terms, idf, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), counts)
+    index = ExampleIndex(terms, weights, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), zip(rows["terms"].to_pylist(), rows["counts"].to_pylist(), strict=True))
     index.calibrate()
     index.other, index.total = other, total
     return index
@@ -301,9 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) of every document.  Texts are searched in one map; the
     weights of terms outside the examples join its written result by hash."""
-    other, index.other = index.other, None  # a table cannot be sent
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples
-    total, index.other = index.total, other
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     @releasing
@@ -317,12 +313,12 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
                 which = [texts.setdefault(t, len(texts)) for t in batch.column(2).to_pylist()]
                 vectors, norms, hashes, times = [], [], [], []
                 for text in texts:
-                    counts = vocabulary.counts(text)
-                    terms, weights, norm = examples.weigh(counts)
-                    vectors.append((terms, weights))
+                    terms, numbers = vocabulary.counts(text)
+                    found, weights, norm = examples.weigh(terms, numbers)
+                    vectors.append((found, weights))
                     norms.append(norm)
-                    hashes.append([t for t in counts if t < 0])
-                    times.append([n for t, n in counts.items() if t < 0])
+                    hashes.append([t for t in terms if t < 0])
+                    times.append([n for t, n in zip(terms, numbers, strict=True) if t < 0])
                 near = list(examples.nearest_of(vectors)) if len(examples.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
                 kinds = [pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 columns = [norms, [a for a, _ in near], [s for _, s in near], hashes, times]
@@ -342,15 +338,16 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
                 evidence.append([{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in found[1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # Written, so that row numbers hold.
     found = materialise(docs.mapInArrow(search, "row long, doc_id long, norm double, at array<int>, sim array<double>, hashes array<bigint>, times array<int>"), "nearest")
-    if other is None:
+    if index.other is None:
         found = found.withColumn("rest", F.lit(0.0))
     else:
         terms = found.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("t")).select("row", F.col("t.hashes").alias("term"), F.col("t.times").alias("times"))
-        idf = F.log(F.lit(1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
-        rest = terms.join(other, "term", "left").withColumn("weight", (1 + F.log("times")) * idf)
+        idf = F.log(F.lit(1.0 + index.total) / (1 + F.coalesce("n", F.lit(1)))) + 1
+        rest = terms.join(index.other, "term", "left").withColumn("weight", (1 + F.log("times")) * idf)
         rest = rest.groupBy("row").agg(F.sum(F.col("weight") * F.col("weight")).alias("rest"))
         found = found.drop("hashes", "times").join(rest, "row", "left").fillna(0.0, ["rest"])
     return found.select("doc_id", "norm", "rest", "at", "sim").mapInArrow(finish, "doc_id long, score double, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")

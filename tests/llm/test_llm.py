@@ -122,16 +122,22 @@ def test_personal_data(text, kind, found):
 
 
 def test_nearest_examples_are_exact():
-    rng = random.Random(2)
-    counts = [{rng.randrange(40): rng.randrange(1, 4) for _ in range(rng.randrange(1, 8))} for _ in range(300)]
-    index = toxicity.ExampleIndex([str(i) for i in range(40)], np.linspace(1, 3, 40), list(range(300)), [i % 3 == 0 for i in range(300)], counts)
-    dense = np.zeros((len(index.ids), 40))
-    for t, (p, w) in enumerate(zip(index.places, index.weights, strict=True)):
-        dense[p, t] = w
-    for c in counts[:40]:
-        terms, weights = index.vector(c)
-        sims = dense[:, terms] @ weights
-        assert np.allclose(index.nearest(terms, weights, 10)[1], np.sort(sims)[::-1][:10])
+    rng = np.random.default_rng(2)
+    counts = []
+    for _ in range(400):
+        terms = np.unique(rng.zipf(1.3, rng.integers(1, 40)) % 200)
+        counts.append((terms.tolist(), rng.integers(1, 5, len(terms)).tolist()))
+    factor = np.linspace(1, 3, 200)
+    index = toxicity.ExampleIndex([str(i) for i in range(200)], factor, list(range(400)), [i % 3 == 0 for i in range(400)], counts)
+    assert 0 < len(index.common) < 200 and index.blocks == 25
+    dense = np.zeros((400, 200))
+    for i, (terms, times) in enumerate(counts):
+        dense[i, terms] = (1 + np.log(times)) * factor[terms]
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    for k in (1, 10, 500):
+        for i, (at, sims) in enumerate(index.nearest_of([index.weigh(*c)[:2] for c in counts[:150]], k)):
+            want = dense @ dense[i]
+            assert np.allclose(sims, np.sort(want[want > 0])[::-1][:k]) and np.allclose(sims, want[index.ids[at]])
 
 
 def test_toxicity_edges(spark, docs):
@@ -210,27 +216,43 @@ def test_toxicity_covers_all_terms(spark):
     rows += [(100, "own3"), (101, "own4 unseen unseen"), (102, "own4 unseen other"), (103, "own4 unseen other"), (104, "nothing"), (105, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(24)], "doc_id long, toxic int")
-    counts = {}
-    for i, text in rows:
-        counts[i] = {}
-        for word in re.findall(r"[^\W\d_]+", text or ""):
-            for t in [word, *(word[:n] + "-" for n in (4, 5, 6, 7) if len(word) > n)]:
-                counts[i][t] = counts[i].get(t, 0) + 1
+    terms = lambda text: [t for w in re.findall(r"[^\W\d_]+", text or "") for t in [w, *([w[:4] + "-"] if len(w) > 4 else [])]]
+    counts = {i: Counter(terms(text)) for i, text in rows}
     df = Counter(t for c in counts.values() for t in c)
 
     def ratio(term):
         cells = [[sum((term in counts[i]) == held and (i % 4 == 0) == bad for i in range(24)) for bad in (0, 1)] for held in (0, 1)]
         return 2 * sum(n * math.log(n * 24 / (sum(row) * (18, 6)[bad])) for row in cells for bad, n in enumerate(row) if n)
 
-    factor = {t: (math.log((1 + len(rows)) / (1 + n)) + 1) * math.sqrt(1 + max(0, ratio(t))) for t, n in df.items()}
+    factor = {t: (math.log((1 + len(rows)) / (1 + n)) + 1) * (1 + max(0, ratio(t))) ** 0.75 for t, n in df.items()}
     weights = {i: {t: (1 + math.log(n)) * factor[t] for t, n in c.items()} for i, c in counts.items()}
     norms = {i: math.sqrt(sum(w * w for w in c.values())) for i, c in weights.items()}
+    base = 7 / 26
+
+    def near(i):
+        sims = {j: sum(w * weights[j].get(t, 0) for t, w in weights[i].items()) / norms[i] / norms[j] for j in range(24) if norms[i] and j != i}
+        return sims if i >= 24 else sims | {i: 1.0}
+
+    def vote(sims):
+        best = sorted(sims.items(), key=lambda x: (-round(x[1], 12), x[0]))[:25]
+        return (sum(s**4 * (j % 4 == 0) for j, s in best) + 0.05 * base) / (sum(s**4 for _, s in best) + 0.05)
+
+    own = sorted((vote({j: s for j, s in near(i).items() if j != i}), i) for i in range(24))
+    toxic = [int(i % 4 == 0) for _, i in own]
+    level = [max(min(sum(toxic[a : b + 1]) / (b + 1 - a) for b in range(k, 24)) for a in range(k + 1)) for k in range(24)]  # the best rising curve
+    edges, shares = [], []
+    for low in sorted(set(level)):
+        pool = [k for k in range(24) if level[k] == low]
+        edges.append(own[pool[0]][0])
+        shares.append((sum(toxic[k] for k in pool) + base) / (len(pool) + 1))
     got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
     assert set(got) == set(counts)
     for i, r in got.items():
-        sims = {j: sum(w * weights[j].get(t, 0) for t, w in weights[i].items()) / norms[i] / norms[j] for j in range(24) if norms[i]}
+        sims = near(i)
         best = sorted((s for s in sims.values() if s > 0), reverse=True)[:5]
         assert np.allclose([e.similarity for e in r.evidence], best) and all(math.isclose(e.similarity, sims[e.doc_id]) for e in r.evidence)
+        if norms[i]:
+            assert math.isclose(r.score, np.interp(vote(sims), edges, shares), abs_tol=1e-9)
     assert got[100].evidence and got[103].evidence and not got[104].evidence
 
 
