@@ -67,12 +67,41 @@ def test_exact_groups(docs, rows, bits):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("bits", [256, 8])
+def test_index_of_several_batches(spark, rows, bits, keep, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 4)  # small tables have few rows to a hot group otherwise
+    monkeypatch.setattr(exact_dedup, "TEXTS_PER_SALT", 2)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", 3)
+    index = exact_dedup.MergeIndex(spark, keep=keep, memtable_rows=4, digest_bits=bits)
+    parts = [rows[:12], [(x[0] + 200, x[1], x[2]) for x in rows[5:20]], [*rows[8:], (None, rows[10][1], "a"), (7, rows[10][1], "a"), (7, rows[10][1], "a")]]
+    for i, part in enumerate(parts):
+        index.flush(spark.createDataFrame(part, "doc_id long, text string, source string").select("doc_id", "text"))
+        if i < 2:
+            index.compact()
+    every, groups = [(x[0], i, (x[1] or "").translate(ASCII)) for i, part in enumerate(parts) for x in part], {}
+    for doc, _, text in every:
+        groups.setdefault(text, []).append(doc)
+    best = {t: (max if keep == "largest" else min)((d for d in g if d is not None), default=None) for t, g in groups.items()}
+    got = index.report().collect()
+    assert sorted(((r.doc_id or -1, r.batch, r.keep_id, r.group_size) for r in got), key=str) == sorted(((d or -1, i, best[t], len(groups[t])) for d, i, t in every), key=str)
+    assert Counter(r.keep_id for r in got if r.kept) == Counter(best.values()) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    if bits == 256:
+        asked = spark.createDataFrame([(bytes(32),), (hashlib.sha256(rows[10][1].translate(ASCII).encode()).digest(),)], "digest binary")
+        assert [(r.keep_id, r.n) for r in index.lookup(asked).collect()] == [(best[rows[10][1].translate(ASCII)], len(groups[rows[10][1].translate(ASCII)]))]
+
+
 def test_repeated_rows_and_columns_stay_single(docs):
     kept = exact_dedup.drop_duplicates(docs.unionByName(docs.filter("doc_id in (2, 5)")))
     assert kept.columns == docs.columns
     assert kept.filter("doc_id in (2, 5)").count() == 2
 
 
+def test_rows_that_share_an_identifier_are_judged_one_by_one(spark):
+    docs = spark.createDataFrame([(3, "A"), (7, "a"), (7, "C"), (None, "c"), (None, "D"), (None, "d")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text.lower()) for r in exact_dedup.drop_duplicates(docs).collect()), key=str) == [(3, "a"), (7, "c"), (None, "d")]
+
+
 def test_packing_round_trip(docs, rows):
     words = packing.Vocabulary()
     pieces = packing.pack(docs).collect()
