@@ -10,16 +10,18 @@ rewrite made possible is mapped back to source positions and added unless it
 overlaps a base span of its kind.
 
 Rewriting is only tried near a trigger, so that texts without disguises cost one
-search.  Defined results: a null text is empty and has no spans; positions are
-code points, end exclusive; rows are independent of each other, so repeated rows
-give repeated results.  Other columns are ignored.
+search, and every pattern reads a text a bounded number of times, however long its
+runs of letters, digits or blanks are.  Defined results: a null text is empty and has
+no spans; positions are code points, end exclusive; rows are independent of each
+other, so repeated rows and null identifiers give results like any other.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -28,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.functions.storage import spread
+
 KINDS = ("email", "ip", "card", "phone")
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Runs of digits are taken whole: a match that starts inside a run could not do better than one at its start.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -52,13 +56,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def run_start(text: str, end: int, least: int) -> int:
+    """Where the run of local characters that ends at ``end`` begins, not before ``least``."""
+    while end > least and LOCAL.match(text, end - 1):
+        end -= 1
+    return end
+
+
 def find_emails(text: str) -> Iterator[Span]:
     """Leftmost matches of local@domain: the run of local characters before each @."""
     done, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > done and LOCAL.match(text[start - 1]):
-            start -= 1
+        start = run_start(text, at, done)
         if start < at and (m := DOMAIN.match(text, at)):
             yield Span("email", start, m.end())
             done = m.end()
@@ -107,17 +116,17 @@ AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba"), ("dot", "point", "punkt", "pu
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _unit = rf"(?:(?:{'|'.join(REPEATS)})[\s-]+)?(?:{_digit}|[0-9]++)"
 _gap = r"[ \t,-]{1,3}"
-_dotted = rf"(?:[ \t]*[\[({{<][ \t]*(?:{'|'.join(DOT_WORDS)}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{'|'.join(DOT_WORDS)})[ \t]+)"
-_atted = rf"(?:[ \t]*[\[({{<][ \t]*(?:{'|'.join(AT_WORDS)}|@)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{'|'.join(AT_WORDS)})[ \t]+)"
+# White space is taken whole and only from where it begins, so that long runs of it are read once.
+_dotted = rf"(?<![ \t])(?:[ \t]*+[\[({{<][ \t]*+(?:{'|'.join(DOT_WORDS)}|\.)[ \t]*+[\])}}>][ \t]*+|[ \t]++(?:{'|'.join(DOT_WORDS)})[ \t]++)"
+_atted = rf"(?<![ \t])(?:[ \t]*+[\[({{<][ \t]*+(?:{'|'.join(AT_WORDS)}|@)[ \t]*+[\])}}>][ \t]*+|[ \t]++(?:{'|'.join(AT_WORDS)})[ \t]++)"
 # Digit words and groups of digits in a row, two at least and one of them (or a plus or dot) spelled.
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?{_unit}(?:(?:{_gap}|{_dotted}){_unit})+(?!\w)", re.IGNORECASE)
 WORDS = re.compile(rf"(?P<repeat>{'|'.join(REPEATS)})[\s-]+|(?P<digit>{_digit})|(?P<figures>[0-9]+)|(?P<plus>plus)[\s-]*|(?P<dot>{_dotted})|(?P<gap>{_gap})", re.IGNORECASE)
 DISGUISED_AT = re.compile(_atted, re.IGNORECASE)
 DISGUISED_DOT = re.compile(rf"(?<=[\w]){_dotted}(?=\w)", re.IGNORECASE)
-# An address with at least one disguise: local, at, labels joined by dots.
-ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_atted}|@)[A-Za-z0-9-]+(?:(?:{_dotted}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
-# What follows every disguised at of an address; found before the costlier ADDRESS is tried.
-AFTER_AT = re.compile(rf"(?:\b(?:{'|'.join(AT_WORDS)})\b|@)[ \t]*[\])}}>]?[ \t]*[A-Za-z0-9-]+(?:{_dotted}|\.)[A-Za-z0-9-]", re.IGNORECASE)
+# What joins the parts of an address, and the labels after it.
+ANY_AT = re.compile(rf"{_atted}|@", re.IGNORECASE)
+LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_dotted}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_dotted}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _token = re.compile(r"\w+")
 _spoken = frozenset([*DIGIT_WORDS, *REPEATS, *DOT_WORDS, "plus"])
@@ -194,7 +203,39 @@ class Edits:
         return left, right
 
     def touched(self, start: int, end: int) -> bool:
-        return any(a < end and b > start or a == b and start < a < end for a, b in self.changed)
+        """Whether a rewrite lies in a span of the rewritten text."""
+        i = bisect_left(self.changed, (start, start))
+        if i and self.changed[i - 1][1] > start:
+            return True
+        return any(a < b or start < a for a, b in self.changed[i : i + 2] if a < end)
+
+
+class Taken:
+    """Disjoint spans, kept in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = [(s.start, s.end) for s in spans]
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a span; False if it overlaps one that is taken."""
+        i = bisect_left(self.spans, (start, end))
+        if i < len(self.spans) and self.spans[i][0] < end or i and self.spans[i - 1][1] > start:
+            return False
+        self.spans.insert(i, (start, end))
+        return True
+
+
+def disguised_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses whose at or dots may be spelled or bracketed: from every at,
+    local characters to the left and labels to the right."""
+    done = 0
+    for at in ANY_AT.finditer(text):
+        if at.start() < done:
+            continue
+        start = run_start(text, at.start(), done)
+        if start < at.start() and (m := LABELS.match(text, at.end())):
+            yield start, m.end()
+            done = m.end()
 
 
 def plain_characters(text: str) -> list[tuple[int, int, str]]:
@@ -231,14 +272,13 @@ def spelled_out(text: str) -> list[tuple[int, int, str]]:
                     repeat = 1
                 else:
                     put(m.start(), m.end(), "+" if m["plus"] else "." if m["dot"] else "")
-    whole = [ADDRESS] if AFTER_AT.search(text) else []
+    found = list(disguised_addresses(text)) if any(w in low for w in AT_WORDS) or "@" in low else []
     if any(w in low for w in DOT_WORDS) or any(c in low for c in "[({<"):
-        whole.append(DOTTED_IP)
-    for pattern in whole:
-        for found in pattern.finditer(text):
-            for part, new in ((DISGUISED_DOT, "."), (DISGUISED_AT, "@")):
-                for m in part.finditer(text, *found.span()):
-                    put(m.start(), m.end(), new)
+        found += [m.span() for m in DOTTED_IP.finditer(text)]
+    for start, end in found:
+        for part, new in ((DISGUISED_DOT, "."), (DISGUISED_AT, "@")):
+            for m in part.finditer(text, start, end):
+                put(m.start(), m.end(), new)
     out, at = [], 0
     for start, end, new in sorted(edits.values()):
         if start >= at:
@@ -255,7 +295,7 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
     if not first and not second:
         return []
     two = Edits.of(one.text, second) if second else None
-    taken = {k: [(s.start, s.end) for s in base if s.kind == k] for k in KINDS}
+    taken = {k: Taken([s for s in base if s.kind == k]) for k in KINDS}
     out = []
     for edits in filter(None, (two, one if first else None)):
         for span in find_spans(edits.text):
@@ -268,9 +308,8 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
             else:
                 fresh = one.touched(span.start, span.end)
                 start, end = one.source(span.start, span.end)
-            if fresh and not any(a < end and b > start for a, b in taken[span.kind]):
+            if fresh and taken[span.kind].add(start, end):
                 out.append(Span(span.kind, start, end))
-                taken[span.kind].append((start, end))
     return out
 
 
@@ -297,7 +336,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 found.append([{**s._asdict(), "disguised": s not in plain} for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SPAN_SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SPAN_SCHEMA)
 
 
 def digest_spans(found: DataFrame) -> DataFrame:

@@ -1,16 +1,20 @@
 """WARC derivatives: metadata and plain-text conversion records from responses.
 
-A response record is taken apart into its WARC header, HTTP header and payload.
-It yields two linked records: a ``metadata`` record, whose block lists what was
-found (status, content type, title, length, outgoing links), and a ``conversion``
-record, whose block is the payload as plain text.  Both carry WARC-Refers-To with
-the response's record identifier, its target URI and date, and the digest of the
-source payload; each has its own block digest.  Identifiers are name-based, so a
-rerun gives the same records.  One map over the responses; no shuffle.
+A response record is taken apart into its WARC header, HTTP header and payload;
+chunked, gzip and deflate bodies are undone.  It yields two linked records: a
+``metadata`` record, whose block lists what was found (status, content type, title,
+length, outgoing links) and every header of the source, WARC and HTTP, and a
+``conversion`` record, whose block is the payload as plain text.  Both carry
+WARC-Refers-To with the response's record identifier, its target URI and date, and the
+digest of the source payload; each has its own block digest.  Identifiers are
+name-based, so a rerun gives the same records.  One map over the responses; no shuffle.
+Pages are read a bounded number of times, whatever they leave unclosed.
 
 Defined results: a null or empty record yields nothing that can refer to it, so it
 gives no rows; a record that is no response gives no rows; bad bytes are replaced;
-an HTTP response without a body gives an empty text.  A page with a null address
+an HTTP response without a body gives an empty text, and so does a body that is no
+text (by its content type) or whose coding is unknown or broken, which the metadata
+tells.  An element or comment that hides text but is never closed hides nothing.  A page with a null address
 has the target URI ``about:blank``, a null page is empty.  Repeated rows give
 repeated records.  Other columns are ignored.
 """
@@ -22,6 +26,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,11 +36,14 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
-_hidden = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
+_hiding = re.compile(r"<!--|<(script|style|template|noscript)\b", re.IGNORECASE)
+_closing = {"": re.compile("-->")} | {k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style", "template", "noscript")}
 _break = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.IGNORECASE)
 _tag = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
-_link = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_title, _title_end = re.compile(r"<title\b[^>]*>", re.IGNORECASE), re.compile(r"</title\s*>", re.IGNORECASE)
+_anchor = re.compile(r"<a\b([^>]*)>", re.IGNORECASE)
+_href = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_textual = re.compile(r"text/|html|xml|json|javascript", re.IGNORECASE)
 _charset = re.compile(r"charset=\"?([\w-]+)", re.IGNORECASE)
 _blank = re.compile(r"[^\S\n]+")
 
@@ -81,13 +89,81 @@ def parse(record: bytes | None) -> Record | None:
     return Record(headers, rest[: int(length)] if length.isascii() and length.isdigit() else rest)
 
 
+def shown(page: str) -> str:
+    """A page without comments and elements that are not shown.
+
+    What has no end after one place has none after a later one, so each kind of end
+    is missed once at most.
+    """
+    parts, done, at, missing = [], 0, 0, set()
+    while m := _hiding.search(page, at):
+        kind, at = (m[1] or "").lower(), m.end()
+        if kind not in missing:
+            if end := _closing[kind].search(page, at):
+                parts += [page[done : m.start()], " "]
+                done = at = end.end()
+            else:
+                missing.add(kind)
+    return "".join([*parts, page[done:]])
+
+
+def halves(page: str) -> tuple[str, str]:
+    """What tags can be in, up to the last ">", and the rest."""
+    last = page.rfind(">") + 1
+    return page[:last], page[last:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: hidden elements dropped, block elements end lines, entities resolved."""
-    page = _tag.sub("", _break.sub("\n", _hidden.sub(" ", page)))
+    tagged, rest = halves(shown(page))
+    page = _tag.sub("", _break.sub("\n", tagged)) + rest
     lines = (_blank.sub(" ", x).strip() for x in entities.unescape(page).replace("\r", "\n").split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str:
+    tagged, _ = halves(page)
+    start = _title.search(tagged)
+    end = start and _title_end.search(tagged, start.end())
+    return one_line(entities.unescape(_tag.sub("", tagged[start.end() : end.start()]))) if end else ""
+
+
+def links_of(page: str) -> list[str]:
+    """The address of every anchor that has one."""
+    found = (_href.search(tag) for tag in _anchor.findall(halves(shown(page))[0]))
+    return [entities.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a chunked body; what is left of a broken one stays as it is."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            return b"".join(parts) + body[at:]
+        if size <= 0:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def uncoded(body: bytes, codings: str) -> bytes | None:
+    """The content of a payload after its content codings; None if one is unknown or broken."""
+    for coding in reversed([c.strip().lower() for c in codings.split(",") if c.strip()]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = zlib.decompressobj(31).decompress(body)
+            elif coding == "deflate":
+                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
+            elif coding != "identity":
+                return None
+        except zlib.error:
+            return None
+    return body
+
+
 def response_of(page_id: int | None, url: str | None, page: str | None) -> bytes:
     """The response record of a stored page."""
     body = (page or "").encode("utf-8", "surrogatepass")
@@ -106,30 +182,35 @@ def derive(record: bytes | None) -> list[tuple[str, str, str, str, str, str, str
     if source is None or source.headers.get("warc-type", "").lower() != "response":
         return []
     own = source.headers
-    head, _, body = source.block.partition(b"\r\n\r\n")
+    head, _, sent = source.block.partition(b"\r\n\r\n")
     lines = head.decode("iso-8859-1").split("\r\n")
     status = lines[0].split(" ")[1] if lines[0].startswith("HTTP/") and " " in lines[0] else ""
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = [(k.strip().lower(), v.strip()) for k, sep, v in (x.partition(":") for x in lines[1:]) if sep]
+    http = dict(reversed(fields))  # the first of repeated headers counts
+    body = unchunked(sent) if "chunked" in http.get("transfer-encoding", "").lower() else sent
+    content = uncoded(body, http.get("content-encoding", ""))
     kind = http.get("content-type", "")
     charset = m[1] if (m := _charset.search(kind)) else "utf-8"
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    text = plain_text(page) if "html" in kind.lower() or not kind else page
-    title = one_line(entities.unescape(_tag.sub("", m[1]))) if (m := _title.search(page)) else ""
-    links = [entities.unescape(a or b or c) for a, b, c in _link.findall(_hidden.sub(" ", page))]
+    page = ""
+    if content is not None and (not kind or _textual.search(kind)):
+        try:
+            page = content.decode(charset, "replace")
+        except LookupError:
+            page = content.decode("utf-8", "replace")
+    is_page = "html" in kind.lower() or not kind
+    text, title, links = (plain_text(page), title_of(page), links_of(page)) if is_page else (page, "", [])
     refers, uri = own.get("warc-record-id", ""), own.get("warc-target-uri", "")
     payload = digest(body)
     claimed = own.get("warc-payload-digest", "")
     fields = [("status", status), ("content-type", kind), ("payload-length", str(len(body))), ("payload-digest", payload),
-              ("source-payload-digest", claimed), ("digest-agrees", str(claimed == payload).lower()), ("title", title), *(("outlink", x) for x in links)]
+              ("source-payload-digest", claimed), ("digest-agrees", str(claimed in (payload, digest(sent))).lower()), ("content-decoded", str(content is not None).lower()), ("title", title),
+              *((f"source-warc-{k}", v) for k, v in own.items()), *((f"source-http-{k}", v) for k, v in fields), *(("outlink", x) for x in links)]
     about = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8", "replace")
     out = []
-    for what, block, content in (("metadata", about, "application/warc-fields"), ("conversion", text.encode("utf-8", "replace"), "text/plain; charset=utf-8")):
+    for what, block, made in (("metadata", about, "application/warc-fields"), ("conversion", text.encode("utf-8", "replace"), "text/plain; charset=utf-8")):
         headers = {"WARC-Type": what, "WARC-Record-ID": record_id(f"{what} {refers}"), "WARC-Date": own.get("warc-date", DATE), "WARC-Target-URI": uri,
                    "WARC-Refers-To": refers, "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": own.get("warc-date", DATE),
-                   "WARC-Source-Payload-Digest": claimed or payload, "WARC-Block-Digest": digest(block), "Content-Type": content}
+                   "WARC-Source-Payload-Digest": claimed or payload, "WARC-Block-Digest": digest(block), "Content-Type": made}
         out.append((what, headers["WARC-Record-ID"], refers, uri, headers["WARC-Date"], headers["WARC-Source-Payload-Digest"], headers["WARC-Block-Digest"], len(block), len(links), title, build(headers, block)))
     return out
 

@@ -1,7 +1,10 @@
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -297,3 +300,75 @@ def test_toxicity_covers_all_terms(spark):
 def test_disguises_do_not_need_other_characters(around, text, kind, found):
     text = around.format(text)
     assert [(s.kind, text[s.start : s.end]) for s in pii.all_spans(text)[1]] == [(kind, found)]
+
+
+def timed(run, limit=10.0):
+    began = time.process_time()
+    out = run()
+    assert time.process_time() - began < limit
+    return out
+
+
+LONG_RUNS = [
+    "<" + "a" * 1_000_000, "x dot " + "a" * 1_000_000, "at" + " " * 1_000_000 + "x", " " * 1_000_000, "a at " * 200_000, "(" * 1_000_000, "@" * 1_000_000,
+    "a@" * 300_000, "1 " * 500_000 + "one", "one " * 250_000, "+1 " + "(" * 1_000_000, "a (at) b (dot) c " * 60_000, "1." * 500_000, "plus" + " " * 1_000_000, "\u0430" * 300_000 + " at b",
+]
+
+
+@pytest.mark.parametrize("text", LONG_RUNS, ids=range(len(LONG_RUNS)))
+def test_long_runs_take_linear_time(text):
+    timed(lambda: pii.all_spans(text))
+
+
+def base_spans(text):
+    """The contract's patterns, plainly."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    for kind, pattern in patterns.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0, "phone": 8 <= len(digits) <= 15}
+            if good[kind]:
+                yield kind, *m.span()
+
+
+def test_base_spans_and_their_digest_against_the_patterns(spark):
+    rng, rows = random.Random(8), []
+    parts = ["@", ".", "+", "-", " ", "(", ")", "a", "b.c", "x@y.z", "4111111111111111", "192.168.0.1", "256", "1", "0", "55", "+1 (415) 555-2671", "\n", "\u0430", "_", "%"]
+    for i in range(3000):
+        rows.append((i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))))
+    rows += [(5000, None), (5001, ""), (None, "x@y.z"), (7, "x@y.z"), (7, "x@y.z")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, spans string, kind int")
+    got = pii.digest_spans(pii.find_personal_data(docs)).collect()
+    want = [(i, hashlib.sha256(",".join(":".join(map(str, x)) for x in base_spans(t or "")).encode()).hexdigest()) for i, t in rows]
+    assert sorted(((r.doc_id, r.base_sha256) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_email >= r.n_base_email and r.n_card >= r.n_base_card for r in got) and sum(r.n_base_ip + r.n_base_card + r.n_base_phone > 0 for r in got) > 300
+
+
+@pytest.mark.parametrize("part", ["<script", "<!--", "<a href", "<a ", "<title>", "</p", "<p", "<style>x", "<a href='", "&#", "<template></script>"])
+def test_unclosed_pages_take_linear_time(part):
+    for end in ("", ">"):
+        page = ("<html>" + part * 100_000 + end).encode()
+        record = warc.build({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page)
+        assert len(timed(lambda record=record: warc.derive(record))) == 2
+
+
+def test_codings_and_source_headers():
+    page = "<title>T</title><p>gr\u00fc\u00dfe <a class=x href=\"/one\">1</a><!-- no --><a name=y>2</a><a href='/two'>3</a>".encode()
+    packed = gzip.compress(page)
+    chunks = b"".join(b"%x;e=1\r\n%s\r\n" % (len(packed[i : i + 20]), packed[i : i + 20]) for i in range(0, len(packed), 20)) + b"0\r\n\r\n"
+    bodies = {"gzip": (packed, ""), "deflate": (zlib.compress(page), ""), "gzip ": (chunks, "Transfer-Encoding: chunked\r\n"), "": (page, ""), "br": (b"\x01\x02", ""), "gzip  ": (b"broken", "")}
+    for coding, (body, more) in bodies.items():
+        http = f"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=utf-8\r\nX-One: a: b\r\nSet-Cookie: c\r\nSet-Cookie: d\r\n{more}Content-Encoding: {coding}\r\n\r\n".encode()
+        record = warc.build({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-IP-Address": "1.2.3.4"}, http + body)
+        about, text = (warc.parse(r[-1]) for r in warc.derive(record))
+        told = about.block.decode().split("\r\n")
+        assert {"status: 404", "source-warc-warc-ip-address: 1.2.3.4", "source-http-x-one: a: b", "source-http-set-cookie: c", "source-http-set-cookie: d"} <= set(told)
+        good = coding.strip() != "br" and body != b"broken"
+        assert ("content-decoded: true" in told) == good and text.block.decode() == ("T\ngr\u00fc\u00dfe 1 23" if good else "")
+        assert [x for x in told if x.startswith("outlink")] == (["outlink: /one", "outlink: /two"] if good else [])
+    image = warc.build({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n<p>no text</p>")
+    assert warc.parse(warc.derive(image)[1][-1]).block == b""
