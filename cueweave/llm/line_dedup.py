@@ -14,10 +14,12 @@ shuffled at all.  Beyond that, 24-byte probes travel to their shard (salted, so
 that one very frequent line does not meet in one task) and stream past its
 arrays; only hits return to the documents.  Lines are never joined.
 
-Defined results: a null text is one empty line; rows are counted as they are, so
-a repeated row counts twice; rows whose identifier is null count towards the
-threshold, and a line that only such rows hold is left alone because nobody can
-be named to keep it.  Other columns are ignored.
+Defined results, the same on both ways: a null text is one empty line; rows are counted
+as they are, so a repeated row counts twice.  Rows whose identifier is null count
+towards the threshold and lose a frequent line like any other, since a named document
+keeps it; a line that only such rows hold is left alone, because nobody can be named to
+keep it.  Rows that repeat the largest identifier of a line all keep it.  Empty input
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.functions.storage import materialise
+from cueweave.functions.storage import materialise, spread
 
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEYS_PER_SHARD = 65_536
 PROBE_SALTS = 16
 GAMMA = 2.0
 MAX_LEVELS = 48
-SHARD_SCHEMA = "shard int, sizes array<int>, words binary, fingerprints binary, counts binary, keepers binary, spare binary"
+SHARD_SCHEMA = "shard int, shards int, sizes array<int>, words binary, fingerprints binary, counts binary, keepers binary, spare binary"
 
 
 def line_key(line: bytes) -> bytes:
@@ -133,22 +135,22 @@ class Shard:
         self.fingerprints = np.frombuffer(fingerprints, "<u8")
         self.counts, self.keepers = np.frombuffer(counts, "<u4"), np.frombuffer(keepers, "<i8")
 
-    def drops(self, hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
-        """Whether the document (given by identifier) loses the line of this hash."""
+    def drops(self, hi: np.ndarray, lo: np.ndarray, doc: np.ndarray, named: np.ndarray, min_docs: int) -> np.ndarray:
+        """Whether the document (given by identifier, if it is named) loses the line of this hash."""
         at = self.hash.lookup(hi, lo)
         known = at >= 0
         at = np.where(known, at, 0)
-        return known & (self.fingerprints[at] == lo) & (self.counts[at] >= min_docs) & (self.keepers[at] != doc)
+        return known & (self.fingerprints[at] == lo) & (self.counts[at] >= min_docs) & (~named | (self.keepers[at] != doc))
 
 
-def build_shard(shard: int, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, keeper: np.ndarray) -> tuple:
+def build_shard(shard: int, shards: int, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, keeper: np.ndarray) -> tuple:
     table = PerfectHash.build(hi, lo)
     at = table.lookup(hi, lo)
     arrays = [np.zeros(len(hi), kind) for kind in ("<u8", "<u4", "<i8")]
     for array, values in zip(arrays, (lo, np.minimum(n, 2**32 - 1), keeper), strict=True):
         array[at] = values
     spare = np.array(list(table.spare), "<u8").tobytes()
-    return (shard, table.sizes, table.words.tobytes(), *(a.tobytes() for a in arrays), spare)
+    return (shard, shards, table.sizes, table.words.tobytes(), *(a.tobytes() for a in arrays), spare)
 
 
 # ---------------------------------------------------------------- the Spark job
@@ -181,7 +183,7 @@ def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         hi, lo = frame["hi"].to_numpy().astype("<u8"), frame["lo"].to_numpy().astype("<u8")
-        row = build_shard(int(frame["shard"].iloc[0]), hi, lo, frame["n"].to_numpy(), frame["keeper"].to_numpy())
+        row = build_shard(int(frame["shard"].iloc[0]), shards, hi, lo, frame["n"].to_numpy(), frame["keeper"].to_numpy())
         return pd.DataFrame([row], columns=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
     shard = F.expr(f"cast(shiftrightunsigned(hi, 33) % {shards} as int)")
@@ -202,22 +204,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 OUT_SCHEMA = "doc_id long, n_lines long, n_dropped long, text string"
 
 
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers (0 for none) and whether there is one."""
+    return column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+
+
 def _probe_broadcast(docs: DataFrame, index: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: tuple(r)[1:] for r in index.collect()})
-    shards = max(sent.value, default=0) + 1
+    rows = index.collect()
+    sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: tuple(r)[2:] for r in rows})
+    shards = rows[0]["shards"] if rows else 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {k: Shard(*v) for k, v in sent.value.items()}
         for batch in batches:
             split = [(doc, text, *hashed_lines(text, min_chars)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             hi, lo = halves([d for *_, digests in split for d in digests])
-            ids = np.array([-1 if x[0] is None else x[0] for x in split], np.int64)
-            doc = np.repeat(ids, [len(x[3]) for x in split])
+            doc, named = (np.repeat(x, [len(own[3]) for own in split]) for x in _ids(batch.column(0)))
             gone, shard = np.zeros(len(hi), bool), _shard_of(hi, shards)
             for k in np.unique(shard):
                 if k in tables:
                     mine = np.flatnonzero(shard == k)
-                    gone[mine] = tables[k].drops(hi[mine], lo[mine], doc[mine], min_docs)
+                    gone[mine] = tables[k].drops(hi[mine], lo[mine], doc[mine], named[mine], min_docs)
             rows, start = [], 0
             for doc_id, text, lines, at, _ in split:
                 own = gone[start : start + len(at)]
@@ -228,22 +235,28 @@ def _probe_broadcast(docs: DataFrame, index: DataFrame, min_chars: int, min_docs
     return docs.mapInArrow(probe, OUT_SCHEMA)
 
 
-def _probe_routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
+def _probe_routed(docs: DataFrame, index: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """Probes travel to the shards; a row's hits come back by its identifier and text hash, so
+    that neither rows without an identifier nor rows that repeat one meet in one group."""
+    shards = index.first()["shards"]
+    docs = docs.withColumn("tag", F.xxhash64(docs[1]))
+
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, docs_of = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(hashed_lines(text, min_chars)[2]) if doc is not None else ()
+            digests, row = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = set(hashed_lines(text, min_chars)[2])
                 digests.extend(own)
-                docs_of.extend([doc] * len(own))
+                row.extend([i] * len(own))
             hi, lo = halves(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(hi, shards)), pa.array(hi.view("<i8")), pa.array(lo.view("<i8")), pa.array(docs_of, pa.int64())], ["shard", "hi", "lo", "doc"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(hi, shards)), pa.array(hi.view("<i8")), pa.array(lo.view("<i8")), batch.column(0).take(at), batch.column(2).take(at)], ["shard", "hi", "lo", "doc", "tag"])
 
-    probes = docs.mapInArrow(requests, "shard int, hi long, lo long, doc long")
-    probes = probes.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc), {PROBE_SALTS}) as int)")).withColumn("side", F.lit(1))
-    arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PROBE_SALTS - 1)))).withColumn("side", F.lit(0))
+    probes = docs.mapInArrow(requests, "shard int, hi long, lo long, doc long, tag long")
+    probes = probes.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc, tag), {PROBE_SALTS}) as int)")).withColumn("side", F.lit(1))
+    arrays = index.drop("shards").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PROBE_SALTS - 1)))).withColumn("side", F.lit(0))
     both = arrays.unionByName(probes, allowMissingColumns=True)
-    names = ["shard", "salt", "side", "hi", "lo", "doc", "sizes", "words", "fingerprints", "counts", "keepers", "spare"]
+    names = ["shard", "salt", "side", "hi", "lo", "doc", "tag", "sizes", "words", "fingerprints", "counts", "keepers", "spare"]
     dealt = both.select(*names).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,21 +266,22 @@ def _probe_routed(docs: DataFrame, index: DataFrame, shards: int, min_chars: int
             start = 0
             while start < len(side):
                 if side[start] == 0:
-                    at, table = shard[start], Shard(*(batch.column(i)[start].as_py() for i in range(6, 12)))
+                    at, table = shard[start], Shard(*(batch.column(i)[start].as_py() for i in range(7, 13)))
                     start += 1
                     continue
                 end = start
                 while end < len(side) and side[end] == 1 and shard[end] == shard[start]:
                     end += 1
                 if table is not None and at == shard[start]:
-                    hi, lo, doc = (batch.column(i).slice(start, end - start).to_numpy() for i in (3, 4, 5))
-                    gone = table.drops(hi.astype("<u8"), lo.astype("<u8"), doc, min_docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (doc, hi, lo)], ["doc", "hi", "lo"])
+                    own = batch.slice(start, end - start)
+                    gone = table.drops(*(own.column(i).to_numpy().astype("<u8") for i in (3, 4)), *_ids(own.column(5)), min_docs)
+                    yield pa.RecordBatch.from_arrays([own.column(i).filter(pa.array(gone)) for i in (5, 6, 3, 4)], ["doc", "tag", "hi", "lo"])
                 start = end
 
-    hits = dealt.mapInArrow(stream, "doc long, hi long, lo long")
-    hits = hits.groupBy("doc").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
-    paired = docs.join(hits, docs[0] == hits["doc"], "left").select(docs[0], docs[1], "his", "los")
+    hits = dealt.mapInArrow(stream, "doc long, tag long, hi long, lo long").groupBy("doc", "tag").agg(F.collect_set(F.struct("hi", "lo")).alias("hits"))
+    hits = hits.withColumnRenamed("tag", "hit_tag")
+    paired = docs.join(hits, docs[0].eqNullSafe(hits["doc"]) & (docs["tag"] == hits["hit_tag"]), "left")
+    paired = paired.select(docs[0], docs[1], F.col("hits.hi").alias("his"), F.col("hits.lo").alias("los"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,10 +302,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Only lines whose key has ``min_chars`` code points or more can be dropped.
     Returns (doc_id, n_lines, n_dropped, text) with a row for each input row.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     index = build_index(docs, min_chars, min_docs)
-    size = index.agg(F.count(F.lit(1)), F.sum(sum(F.octet_length(c) for c in ("words", "fingerprints", "counts", "keepers", "spare"))), F.max("shard")).first()
-    if size[0] and size[1] > broadcast_bytes:
-        shards = max(1, math.ceil(size[0]))
-        return _probe_routed(docs, index, max(shards, size[2] + 1), min_chars, min_docs)
-    return _probe_broadcast(docs, index, min_chars, min_docs)
+    size = index.agg(F.sum(sum(F.octet_length(c) for c in ("words", "fingerprints", "counts", "keepers", "spare")))).first()[0]
+    return (_probe_routed if size and size > broadcast_bytes else _probe_broadcast)(docs, index, min_chars, min_docs)

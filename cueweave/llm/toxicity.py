@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ NEIGHBOURS = 25
 POWER = 4.0
 RATIO_POWER = 0.75
 BEGINNING = 4
-COMMON = 0.03
+COMMON = 0.08
 BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
 BATCH_TEXTS = 128
 FLUSH_TERMS = 200_000
@@ -98,24 +99,38 @@ class ExampleIndex:
         self.base = (sum(labels) + 1) / (len(labels) + 2)
         self.blocks = -(-len(filled) // BLOCK)
         held = np.concatenate([np.zeros(0, np.int64), *[vectors[i][0] for i in filled]])
+        by_term = np.argsort(held, kind="stable")
         place = np.repeat(np.arange(len(filled)), [len(vectors[i][0]) for i in filled])
-        weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in filled]])
-        number = np.bincount(held, minlength=len(terms))
-        often = number > COMMON * len(filled)
-        self.row = np.where(often, np.cumsum(often) - 1, -1)  # rows of the common terms
-        self.common = np.zeros((int(often.sum()), self.blocks * BLOCK))
-        dense = often[held]
-        self.common[self.row[held[dense]], place[dense]] = weight[dense]
-        self.maxima = self.common.reshape(len(self.common), self.blocks, BLOCK).max(axis=2) if self.blocks else self.common
-        by_term = np.argsort(held[~dense], kind="stable")
-        self.place, self.weight = place[~dense][by_term].astype(np.int32), weight[~dense][by_term]
-        self.starts = np.searchsorted(held[~dense][by_term], np.arange(len(terms) + 1))
+        self.place = place[by_term].astype(np.min_scalar_type(len(filled)))
+        self.weight = np.concatenate([np.zeros(0), *[vectors[i][1] for i in filled]])[by_term]
+        self.starts = np.searchsorted(held[by_term], np.arange(len(terms) + 1)).astype(np.int32)
         self.own = [vectors[i] for i in filled]  # for the calibration only
         self.edges, self.shares = np.array([]), np.array([])
         self.other, self.total = None, 0  # document frequencies of all other terms; number of documents
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("own", "other", "factor")} | {"factor": self.factor.astype(np.float64)}
+        """What is sent to the tasks: the postings, from which the dense parts are made again."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("own", "other", "row", "common", "maxima")}
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """The row of ``common`` of each term that many examples hold, else -1."""
+        often = np.diff(self.starts) > COMMON * len(self.ids)
+        return np.where(often, np.cumsum(often) - 1, -1)
+
+    @cached_property
+    def common(self) -> np.ndarray:
+        """The weights of the common terms in all examples, block by block."""
+        out = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * BLOCK))
+        for term in np.flatnonzero(self.row >= 0):
+            own = slice(self.starts[term], self.starts[term + 1])
+            out[self.row[term], self.place[own]] = self.weight[own]
+        return out
+
+    @cached_property
+    def maxima(self) -> np.ndarray:
+        """The largest weight of each common term in each block."""
+        return self.common.reshape(len(self.common), self.blocks, BLOCK).max(axis=2, initial=0.0)
 
     @staticmethod
     def _alike(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -163,8 +178,9 @@ class ExampleIndex:
         asked = np.zeros((texts, len(self.common)))
         asked[text[row >= 0], row[row >= 0]] = weights[row >= 0]
         text, terms, weights = text[row < 0], terms[row < 0], weights[row < 0]
-        lengths = self.starts[terms + 1] - self.starts[terms]
-        at = np.arange(lengths.sum()) + np.repeat(self.starts[terms] - np.cumsum(lengths) + lengths, lengths)
+        first = self.starts[terms].astype(np.int64)
+        lengths = self.starts[terms + 1] - first
+        at = np.arange(lengths.sum()) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
         where = np.repeat(text * width, lengths) + self.place[at]
         scores = np.bincount(where, np.repeat(weights, lengths) * self.weight[at], minlength=texts * width).astype(np.float64, copy=False).reshape(texts, self.blocks, BLOCK)
         bound = scores.max(axis=2) + asked @ self.maxima

@@ -53,6 +53,16 @@ def test_lines_by_both_ways(docs, rows, limit):
     assert got == dropped(rows)
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_lines_of_unnamed_and_repeated_rows(spark, limit):
+    often, unnamed = LONG + "often", LONG + "unnamed"
+    rows = [(i, often) for i in range(-5, 0)] + [(None, often + "\nx"), (None, often + "\ny"), (None, None), (-1, often), (-1, "z\n" + often)] + [(None, unnamed)] * 6
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=limit).collect()
+    want = [(i, "") for i in range(-5, -1)] + [(-1, often), (-1, often), (-1, "z\n" + often), (None, "x"), (None, "y"), (None, "")] + [(None, unnamed)] * 6
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_lines >= r.n_dropped for r in got)
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(0, 2**63, (2, 5000)).astype(np.uint64)
