@@ -4,23 +4,27 @@ Documents are aggregated by membership pattern (the set of sources that hold
 them), so the flow network has a node for each pattern and each source, however
 many documents there are.  A pattern can give its words once for free, a second
 time at a cost, a third time at a higher cost and so on (convex repetition
-costs); sources take words up to their quota.  Successive shortest paths route
-the capacity, and each pattern's flow is then spread over its documents: whole
-passes for all, and the rest for the documents that come first in a seeded hash
-order.  The order is cut by a histogram of hash buckets, summed before it is
-shuffled, so only the documents of the one bucket in which the cut falls are
-ever sorted together; there the last document may be taken in part.
+costs); sources take words up to their quota.  The capacity is routed along shortest
+paths, all paths of one cost at a time, and each pattern's flow is then spread over its
+documents: whole passes for all, and the rest for the documents that come first in a
+seeded hash order.  Where the order is cut is found level by level with histograms of
+256 hash buckets, summed before they are shuffled, so only the documents that share the
+leading bits of the cut are ever sorted together; there the last document may be taken
+in part.  ``routes`` tells how many of a pattern's words count for each of its sources.
 
 Defined results: a null text has size 0; documents of size 0 are never taken.  A
-null source is a source of its own, ordered last.  Repeated rows count and are
-taken independently of one another only through their identifier's hash, so rows
-with one identifier are neighbours in the order.  Empty input gives an empty
-result.  Other columns are ignored.
+null source is a source of its own, ordered last; a null array of sources is none, and
+such documents are not taken.  Repeated rows count and are taken like any others; rows
+with one identifier have one hash and are neighbours in the order, and null identifiers
+count as -1 there.  More than ``max_patterns`` patterns are an error, because their flow
+is routed on the driver (100,000 patterns of two sources take about a minute).  Empty
+input gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from cueweave.functions.storage import materialise
 
 WEIGHTS = (3, 1, 2)
-BUCKET_BITS = 16
+LEVEL_BITS, LEVELS = 8, 3
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,77 +60,141 @@ def target_words(sizes: Sequence[int], weights: Sequence[int], share: Fraction =
     return targets
 
 
+class Network:
+    """Arcs with capacities and costs; arc i and its way back, i ^ 1, lie side by side."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+        self.price = [0] * nodes
+
+    def arc(self, a: int, b: int, room: int, cost: int) -> int:
+        for start, end, own, price in ((a, b, room, cost), (b, a, 0, -cost)):
+            self.out[start].append(len(self.to))
+            self.to.append(end)
+            self.room.append(own)
+            self.cost.append(price)
+        return len(self.to) - 2
+
+    def reprice(self, root: int, sink: int) -> bool:
+        """Raise prices by the distances from the root, so that cheapest paths cost nothing."""
+        distance, heap = {root: 0}, [(0, root)]
+        while heap:
+            d, a = heapq.heappop(heap)
+            if d > distance[a]:
+                continue
+            for i in self.out[a]:
+                b = self.to[i]
+                if self.room[i] and (new := d + self.cost[i] + self.price[a] - self.price[b]) < distance.get(b, float("inf")):
+                    distance[b] = new
+                    heapq.heappush(heap, (new, b))
+        if sink not in distance:
+            return False
+        most = distance[sink]
+        for a in range(len(self.out)):
+            self.price[a] += min(distance.get(a, most), most)
+        return True
+
+    def levels(self, root: int, sink: int) -> list[int] | None:
+        """Steps from the root along arcs that cost nothing; None if they do not reach the sink."""
+        level, queue = [-1] * len(self.out), deque([root])
+        level[root] = 0
+        while queue:
+            a = queue.popleft()
+            for i in self.out[a]:
+                b = self.to[i]
+                if level[b] < 0 and self.room[i] and self.cost[i] + self.price[a] == self.price[b]:
+                    level[b] = level[a] + 1
+                    queue.append(b)
+        return level if level[sink] >= 0 else None
+
+    def fill(self, root: int, sink: int, level: list[int]) -> None:
+        """Send what goes along paths that rise by one level with each arc."""
+        at, path, a = [0] * len(self.out), [], root
+        while True:
+            if a == sink:
+                amount = min(self.room[i] for i in path)
+                for i in path:
+                    self.room[i] -= amount
+                    self.room[i ^ 1] += amount
+                full = next(k for k, i in enumerate(path) if not self.room[i])
+                a = self.to[path[full] ^ 1]
+                del path[full:]
+                continue
+            for k in range(at[a], len(self.out[a])):
+                i = self.out[a][k]
+                b = self.to[i]
+                if self.room[i] and level[b] == level[a] + 1 and self.cost[i] + self.price[a] == self.price[b]:
+                    at[a] = k
+                    path.append(i)
+                    a = b
+                    break
+            else:
+                at[a] = len(self.out[a])
+                if not path:
+                    return
+                a = self.to[path.pop() ^ 1]
+                at[a] += 1
+
+
 def route(supplies: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], repeats: int) -> list[dict[int, int]]:
     """Minimum-cost maximum flow from patterns to the sources that hold them.
 
     Pattern p may give ``supplies[p]`` words ``repeats`` times, pass r at cost r.
     Returns for each pattern the words that it gives to each source.
     """
-    sink, first = len(quotas) + len(supplies), len(quotas)
+    first, sink = len(quotas), len(quotas) + len(supplies)
     root = sink + 1
-    graph: list[list[list]] = [[] for _ in range(root + 1)]
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        graph[a].append([b, capacity, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
+    net, given = Network(root + 1), []
     for s, quota in enumerate(quotas):
-        arc(s, sink, quota, 0)
+        net.arc(s, sink, quota, 0)
     for p, supply in enumerate(supplies):
         for level in range(repeats):
-            arc(root, first + p, supply, level)
-        for s in members[p]:
-            arc(first + p, s, supply * repeats, 0)
-    price = [0] * len(graph)
-    while True:
-        distance, back = {root: 0}, {}
-        heap = [(0, root)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > distance[a]:
-                continue
-            for i, (b, capacity, cost, _) in enumerate(graph[a]):
-                if capacity and (new := d + cost + price[a] - price[b]) < distance.get(b, float("inf")):
-                    distance[b], back[b] = new, (a, i)
-                    heapq.heappush(heap, (new, b))
-        if sink not in distance:
-            break
-        for a, d in distance.items():
-            price[a] += min(d, distance[sink])
-        for a in range(len(graph)):
-            if a not in distance:
-                price[a] += distance[sink]
-        amount, b = float("inf"), sink
-        while b != root:
-            a, i = back[b]
-            amount, b = min(amount, graph[a][i][1]), a
-        b = sink
-        while b != root:
-            a, i = back[b]
-            graph[a][i][1] -= amount
-            graph[b][graph[a][i][3]][1] += amount
-            b = a
-    return [{b: graph[b][j][1] for b, _, cost, j in graph[first + p] if b < first and graph[b][j][1]} for p in range(len(supplies))]
-
-
-def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 20_240_501, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+            net.arc(root, first + p, supply, level)
+        given.append({s: net.arc(first + p, s, supply * repeats, 0) for s in members[p]})
+    while net.reprice(root, sink):
+        while (level := net.levels(root, sink)) is not None:
+            net.fill(root, sink, level)
+    return [{s: net.room[i ^ 1] for s, i in arcs.items() if net.room[i ^ 1]} for arcs in given]
+
+
+SOURCE = "struct<none:boolean,name:string>"
+
+
+def _cut(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(pattern, cut, before): the leading bits of the hash at which each pattern's rest ends,
+    and the words of the documents with lesser bits."""
+    cut = plan.filter("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before"))
+    for level in range(1, LEVELS + 1):
+        prefix = F.shiftrightunsigned("order", 64 - LEVEL_BITS * level)
+        inside = sized.join(F.broadcast(cut), "pattern").filter(F.shiftright(prefix, LEVEL_BITS) == F.col("cut"))
+        histogram = inside.groupBy("pattern", prefix.alias("cut")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        upto = Window.partitionBy("pattern").orderBy("cut")  # at most 2 ** LEVEL_BITS rows
+        histogram = histogram.withColumn("before", F.col("start") + F.sum("words").over(upto) - F.col("words"))
+        cut = histogram.filter("before < rest and before + words >= rest").select("pattern", "rest", "cut", "before")
+    return cut.drop("rest")
+
+
+def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 20_240_501, max_patterns: int = MAX_PATTERNS, carry: Sequence[str] = ()) -> DataFrame:
     """Choose how many words the mix takes of each document.
 
     ``sources`` gives the array of a document's sources (null elements allowed).
     Sources are ordered by code point, null last, and get ``weights`` in turn.
-    Returns (doc_id, pattern, size, source_size, target, taken); for a document in
-    several sources, source_size and target are sums over them.
+    Returns (doc_id, pattern, size, source_size, target, taken, routes) and the columns
+    in ``carry``; for a document in several sources, source_size and target are sums
+    over them.
     """
     spark = docs.sparkSession
     marked = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name")))))
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(marked, F.array().cast("array<struct<none:boolean,name:string>>")).alias("pattern"),
-        word_count(F.col(text_col)).alias("size"),
-    )
+        F.coalesce(marked, F.array().cast(f"array<{SOURCE}>")).alias("pattern"),
+        word_count(F.col(text_col)).alias("size"), *carry,
+    )
     order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
     sized = materialise(sized.withColumn("order", order), "mix-sizes")
-    bucket = F.shiftrightunsigned("order", 64 - BUCKET_BITS)
 
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words"))
     found = totals.limit(max_patterns + 1).collect()
@@ -146,35 +214,31 @@ def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: s
     for (pattern, words), flow in zip(found, flows, strict=True):
         passes, rest = divmod(sum(flow.values()), words) if words else (0, 0)
         ours = [number[s] for s in pattern]
-        rows.append(([{"none": n, "name": s} for n, s in pattern], sum(sizes[i] for i in ours), float(sum(targets[i] for i in ours)), passes, rest))
-    plan = spark.createDataFrame(rows, "pattern array<struct<none:boolean,name:string>>, source_size long, target double, passes long, rest long")
+        routes = [{"source": None if s[0] else s[1], "words": flow.get(number[s], 0)} for s in pattern]
+        rows.append(([{"none": n, "name": s} for n, s in pattern], sum(sizes[i] for i in ours), float(sum(targets[i] for i in ours)), passes, rest, routes))
+    plan = spark.createDataFrame(rows, f"pattern array<{SOURCE}>, source_size long, target double, passes long, rest long, routes array<struct<source:string,words:long>>")
     plan = F.broadcast(plan)  # at most max_patterns rows
 
-    histogram = sized.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("pattern").orderBy("bucket")
-    cut = histogram.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
-    cut = cut.join(plan.select("pattern", "rest"), "pattern").filter("before < rest and before + words >= rest")
-    cut = F.broadcast(cut.select("pattern", F.col("bucket").alias("cut_bucket"), "before"))  # a row for each pattern
-
-    placed = sized.withColumn("bucket", bucket).join(plan, "pattern", "left").join(cut, "pattern", "left")
-    inside = F.col("bucket") == F.col("cut_bucket")
+    cut = F.broadcast(_cut(sized, plan))  # a row for each pattern
+    placed = sized.withColumn("bucket", F.shiftrightunsigned("order", 64 - LEVEL_BITS * LEVELS)).join(plan, "pattern", "left").join(cut, "pattern", "left")
+    inside = F.col("bucket") == F.col("cut")
     whole = placed.filter(~F.coalesce(inside, F.lit(False)))
-    extra = F.when(F.col("bucket") < F.col("cut_bucket"), F.col("size")).otherwise(F.lit(0))
-    whole = whole.withColumn("extra", extra)
+    whole = whole.withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
     in_order = Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.filter(inside).withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("done")))).drop("done")
     taken = F.col("passes") * F.col("size") + F.col("extra")
-    return whole.unionByName(edge).select("doc_id", "pattern", "size", "source_size", "target", taken.alias("taken"))
+    return whole.unionByName(edge).select("doc_id", "pattern", "size", "source_size", "target", taken.alias("taken"), "routes", *carry)
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix as documents: each as often as it is taken whole, and once more cut to
-    the words that are taken in part.  Identifiers should be unique."""
-    take = mixed.filter("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part")).dropDuplicates(["__id"])
-    joined = docs.join(take, docs[id_col].eqNullSafe(take["__id"]))
+def apply_mix(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as documents: each as often as it is taken whole, and once more cut after
+    the last word that is taken in part, with its white space as it is.  ``key`` names
+    a column of both tables that tells their rows apart."""
+    take = mixed.filter("taken > 0").select(F.col(key).alias("__key"), F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part"))
+    joined = docs.join(take, docs[key].eqNullSafe(take["__key"]))
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
     copies = joined.withColumn("__words", F.explode(parts))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1), 1, F.col("__words").cast("int")), " ")
-    text = F.when(F.col("__words") > 0, first).otherwise(F.col(text_col))
+    spaced = F.regexp_extract_all(F.col(text_col), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1)  # words with the white space before them
+    text = F.when(F.col("__words") > 0, F.array_join(F.slice(spaced, 1, F.col("__words").cast("int")), "")).otherwise(F.col(text_col))
     return copies.withColumn(text_col, text).select(*docs.columns)

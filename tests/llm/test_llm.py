@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -143,7 +144,7 @@ def test_mixing_targets_and_flow(docs):
         assert 0 <= r.taken <= 2 * r.size
         by.setdefault(str(r.pattern), [0, r.target])[0] += r.taken
     assert all(abs(taken - target) <= 1 for taken, target in by.values())
-    mixed = mixing.mix(docs, F.array("source"))
+    mixed = mixing.mix(docs, F.array("source")).cache()
     total = mixing.apply_mix(docs, mixed).select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert total == mixed.filter("doc_id is not null").agg(F.sum("taken")).first()[0]
     assert Fraction(3, 2) * sum(r.size for r in got) - total < 5
@@ -382,3 +383,73 @@ def test_codings_and_source_headers():
         assert [x for x in told if x.startswith("outlink")] == (["outlink: /one", "outlink: /two"] if good else [])
     image = warc.build({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n<p>no text</p>")
     assert warc.parse(warc.derive(image)[1][-1]).block == b""
+
+
+def cheapest(supplies, members, quotas, repeats):
+    """(most words, least cost of giving them), by trying all flows of a small case."""
+    best = {0: 0}
+    states = {(tuple(quotas), 0): 0}
+    for supply, own in zip(supplies, members, strict=True):
+        after = {}
+        for (left, moved), cost in states.items():
+            for gives in itertools.product(*[range(min(left[s], supply * repeats) + 1) for s in own]):
+                if sum(gives) <= supply * repeats:
+                    rest = list(left)
+                    for s, g in zip(own, gives, strict=True):
+                        rest[s] -= g
+                    more = sum((i // supply) for i in range(sum(gives)))
+                    key = (tuple(rest), moved + sum(gives))
+                    after[key] = min(after.get(key, cost + more), cost + more)
+        states = after
+    for (_, moved), cost in states.items():
+        best[moved] = min(best.get(moved, cost), cost)
+    return max(best), best[max(best)]
+
+
+def test_flow_against_all_flows():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randrange(1, 4)
+        quotas = [rng.randrange(5) for _ in range(n)]
+        supplies = [rng.randrange(1, 4) for _ in range(rng.randrange(1, 4))]
+        members = [sorted(rng.sample(range(n), rng.randrange(1, n + 1))) for _ in supplies]
+        flow = mixing.route(supplies, members, quotas, 2)
+        assert all(set(f) <= set(m) for f, m in zip(flow, members, strict=True)) and all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quotas))
+        assert (sum(sum(f.values()) for f in flow), sum(i // w for f, w in zip(flow, supplies, strict=True) for i in range(sum(f.values())))) == cheapest(supplies, members, quotas, 2)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(7)
+    members = [sorted(rng.sample(range(100), 2)) for _ in range(20_000)]
+    supplies = [rng.randrange(1, 1000) for _ in members]
+    quotas = [rng.randrange(50_000, 150_000) for _ in range(100)]
+    flow = timed(lambda: mixing.route(supplies, members, quotas, 2), 60)
+    assert [sum(f.get(s, 0) for f in flow) for s in range(100)] == quotas
+
+
+def test_mix_of_overlapping_sources(spark):
+    held = [["a"], ["b"], ["a", "b"], ["b", "c"], [None], None, ["a", None]]
+    rows = [(i, f" w{i}\n" * (i % 9), held[i % 7], "x", 1) for i in range(210)] + [(None, "n n", ["a"], "x", 1), (8, "r  r\tr", ["b"], "x", 1), (8, "r  r\tr", ["b"], "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>, pattern string, size int").withColumn("row", F.monotonically_increasing_id())
+    mixed = mixing.mix(docs, F.col("sources"), carry=["row"]).cache()
+    got = mixed.collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got) and all(r.taken == 0 for r in got if not r.pattern)
+    sizes = {s: sum(len((t or "").split()) for _, t, own, *_ in rows if own and s in own) for s in ("a", "b", "c", None)}
+    targets = dict(zip(sizes, mixing.target_words(list(sizes.values()), [3, 1, 2, 3]), strict=True))
+    by_pattern = {}
+    for r in got:
+        key = tuple(None if x.none else x.name for x in r.pattern)
+        assert r.source_size == sum(sizes[s] for s in key) and math.isclose(r.target, sum(targets[s] for s in key))
+        own = by_pattern.setdefault(key, [0, r.routes])
+        own[0] += r.taken
+    for key, (taken, routes) in by_pattern.items():
+        assert taken == sum(x.words for x in routes) and {x.source for x in routes} == set(key)
+    for s, target in targets.items():
+        assert abs(sum(x.words for _, routes in by_pattern.values() for x in routes if x.source == s) - target) <= 1
+    parts = [r for r in got if r.taken % max(1, r.size)]
+    assert 0 < len(parts) <= len(by_pattern)
+    made = mixing.apply_mix(docs, mixed, key="row").groupBy("row").agg(F.collect_list("text").alias("texts"), F.sum(mixing.word_count(F.col("text"))).alias("words"))
+    made = {r.row: r for r in made.collect()}
+    texts = {r.row: r.text for r in docs.collect()}
+    assert {i: r.words for i, r in made.items()} == {r.row: r.taken for r in got if r.taken}
+    assert all(texts[i].startswith(t) for i, r in made.items() for t in r.texts)
