@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -87,7 +87,7 @@ class Vocabulary(dict):
 class ExampleIndex:
     """Block-max inverted index over example vectors of unit length."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[tuple[list[int], list[int]]]):
+    def __init__(self, terms: list[str], weights: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[tuple]):
         self.terms, self.factor = terms, weights
         vectors = [self.weigh(*c)[:2] for c in counts]
         filled = [i for i in np.argsort(np.array(ids, np.int64), kind="stable") if len(vectors[i][0])]
@@ -147,7 +147,7 @@ class ExampleIndex:
             near.append(np.add.reduceat(pivot[at] * weight, starts))
         return np.lexsort(([len(t) for t, _ in vectors], np.argmax(near, axis=0)))
 
-    def weigh(self, terms: list[int], times: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    def weigh(self, terms: Sequence[int], times: Sequence[int]) -> tuple[np.ndarray, np.ndarray, float]:
         """(terms, weights of unit length, norm) of the terms of the examples in a text."""
         found = np.array(terms, np.int64)
         known = found >= 0
@@ -306,7 +306,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in counts], pa.list_(pa.int32())), pa.array([n for _, n in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     rows = texts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    index = ExampleIndex(terms, weights, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), zip(rows["terms"].to_pylist(), rows["counts"].to_pylist(), strict=True))
+    lists = [[x.values.to_numpy(zero_copy_only=False) for x in rows[c]] for c in ("terms", "counts")]
+    index = ExampleIndex(terms, weights, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), zip(*lists, strict=True))
     index.calibrate()
     index.other, index.total = other, total
     return index
