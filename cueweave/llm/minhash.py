@@ -22,7 +22,8 @@ minimum over windows of one table.
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer words than the shingle is one shingle.  Rows with a null
 identifier are linked with nothing (their component is null).  Rows that repeat an
-identifier are one node.  Other columns are ignored.
+identifier are one node, whatever their texts: what one of them is linked with, all are.
+Empty input gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueweave.functions.storage import materialise
+from cueweave.functions.storage import materialise, spread
 from cueweave.llm.memory import release, releasing
 
 SLOTS = 1 << 20
@@ -279,13 +280,24 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table
     return materialise(dealt.groupBy("cluster", "across", "i", "j").applyInPandas(test, "a long, b long"), "open-links")
 
 
+def _repeated(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, a, b) of identifiers whose rows are not all in one class: a is the least of
+    their classes' representatives, b each of them."""
+    rows = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high"), F.count("set_digest").alias("filled"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(rows.filter("low <> high or (filled > 0 and filled < n)").select("doc_id"), "repeated-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    held = sketch.filter("set_digest is not null").join(wanted, "doc_id").select("doc_id", "set_digest").distinct()
+    held = held.join(classes.select("set_digest", "rep"), "set_digest").select("doc_id", F.col("rep").alias("b"))
+    return held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("doc_id", "a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """Components of documents linked by 100 * |intersection| >= percent * |union|.
 
     Returns (doc_id, n_shingles, component_id, kept) with a row for each input
     row; the smallest identifier of each component is kept.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     sketch = materialise(sketches(docs, words, bands, rows), "sketches")
     classes = sketch.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))
     classes = materialise(classes, "classes")
@@ -298,6 +310,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = materialise(confirm(pairs, table, percent), "tested")
     labels = star_components(tested.filter("linked"))
     more = _open_links(members, classes, labels, table, percent, block_members)
+    several = materialise(_repeated(sketch, classes), "repeated")
+    more = more.unionByName(several.filter("a <> b").select("a", "b"))
     if not more.isEmpty():
         # Links between members are links between their components.
         at = labels.select("rep", "component")
@@ -307,6 +321,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = labels.unionByName(alone).join(merged, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
 
     whole = classes.select("set_digest", "rep").join(labels, "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
-    # Rows that repeat an identifier with another text join its classes.
-    out = sketch.join(whole, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sketch.join(whole, "set_digest", "left")
+    if not several.isEmpty():  # rows without shingles go with the other rows of their identifier
+        named = several.select("doc_id", F.col("a").alias("rep")).distinct().join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("named"))
+        out = out.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "named"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -243,6 +243,14 @@ def test_near_duplicates_against_all_pairs(docs, rows):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), top[i], top[i] == i) for i, s in sets.items()}
 
 
+def test_rows_that_repeat_an_identifier_are_one_node(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(9)) for k in "ABCDE"} | {"B+": " ".join(f"B{i}" for i in range(10)), "": ""}
+    rows = [(3, "A"), (7, "A"), (7, "B"), (4, "B"), (9, "B+"), (9, "C"), (8, ""), (9, ""), (5, "D"), (5, "D"), (None, "A"), (None, "E"), (10, "E"), (2, "")]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, text[k], "x") for i, k in rows], "doc_id long, text string, rep string"), words=4)
+    want = {3: 3, 7: 3, 4: 3, 9: 3, 8: 8, 5: 5, 10: 10, 2: 2, None: None}
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=str) == sorted(((i, want[i]) for i, _ in rows), key=str)
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert line_dedup.dedup_lines(none).isEmpty() and exact_dedup.find_duplicates(none).isEmpty() and packing.pack(none).isEmpty()
