@@ -16,17 +16,23 @@ from cueweave.functions.storage import materialise
 from cueweave.llm import exact_dedup, minhash, mixing, packing, toxicity
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, so that decisions meet rows and not
+    identifiers, which may repeat.  ``docs`` is a written table: every reading numbers alike."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose identifier is not in ``gone``; a null identifier always stays."""
-    gone = gone.select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows whose number is not in ``gone``."""
+    return docs.join(gone, docs["__row"] == gone["__gone"], "left_anti").drop("__row")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity score is 0.5 or more; all labels teach."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.learn(docs, labels))
-    return without(docs, materialise(scored.filter("score >= 0.5").select("doc_id"), "toxic"))
+    index = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = numbered(docs)
+    scored = toxicity.score(rows, index, id_col="__row")
+    return without(rows, materialise(scored.filter("score >= 0.5").select(F.col("doc_id").alias("__gone")), "toxic"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +41,20 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest identifier of each near-duplicate group."""
-    found = minhash.near_duplicates(docs)
-    return without(docs, materialise(found.filter("not kept").select("doc_id"), "near-copies"))
+    """Keep the document with the smallest identifier of each near-duplicate group (null the largest)."""
+    rows = numbered(docs)
+    found = minhash.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__found"), "component_id")
+    ranked = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("rank")).join(found, F.col("__row") == F.col("__found"))
+    ranked = materialise(ranked.select("__row", "rank", "component_id"), "near-copies")
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best")).select(F.col("best.__row").alias("__best"))
+    gone = ranked.join(best, ranked["__row"] == best["__best"], "left_anti").select(F.col("__row").alias("__gone"))
+    return without(rows, materialise(gone, "near-gone"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.apply_mix(docs, mixing.mix(docs, F.array("source")))
+    rows = numbered(docs)
+    return mixing.apply_mix(rows, mixing.mix(rows, F.array("source"), carry=["__row"]), key="__row").drop("__row")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
