@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import time
@@ -203,6 +204,31 @@ def test_tree_against_brute_force(spark):
     assert have == want
 
 
+def test_tree_skips_shards_and_splits_copies(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (6, 6))
+    data = [(i, (centres[i % 6] + rng.normal(0, 0.02, 6)).tolist()) for i in range(1200)] + [(5000 + i, [0.5] * 6) for i in range(700)]
+    data += [(7000 + i, [0.25, 1.0]) for i in range(3)] + [(20, [9.0] * 6), (7000, [float("inf"), 1.0]), (7020, [1.0])]
+    vectors = spark.createDataFrame([(i, v, 1, "x") for i, v in data] + [(None, [0.1] * 6, 1, "x")], "vec_id long, embedding array<double>, width int, x string")
+    sizes = []
+    keep = mtree._shards
+    monkeypatch.setattr(mtree, "_shards", lambda *a: sizes.append(keep(*a)) or sizes[-1])
+    got = mtree.top_inner_products(vectors, vectors.filter("vec_id % 20 = 0"), k=4, shard_rows=100, block_rows=16, page=16).collect()
+    x = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in data if np.isfinite(v).all()]
+    asked = {}
+    for i, v in x:
+        if i % 20 == 0:
+            asked[i] = min(asked.get(i, (len(v), v.tolist())), (len(v), v.tolist()))
+    want = {q: sorted((-int(np.dot(v, y)), i) for i, y in x if i != q and len(y) == w)[:4] for q, (w, v) in asked.items()}
+    have = {q: [] for q in asked}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        have[r.query_id].append((-r.score, r.vec_id))
+    assert have == want
+    rows = [len(pickle.loads(r.tree).ids) for r in sizes[0].collect()]
+    assert sum(rows) == len(x) and max(rows) < 300
+    assert mtree.top_inner_products(vectors.limit(0), vectors.limit(0)).isEmpty()
+
+
 def test_records_round_trip(spark):
     page = "<html><title>A &amp; B</title><script>x</script><p>One<br>two <a href='u'>l</a></p></html>"
     pages = spark.createDataFrame([(1, "http://e.org/", page), (2, None, None)], "page_id long, url string, html string")
