@@ -32,9 +32,14 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG, "")
 
 
-def seconds(line: Column, first: int) -> Column:
-    """The time whose hours are group ``first`` of a timing line."""
-    part = [F.regexp_extract(line, TIMING, first + i).cast("double") for i in range(4)]
+def clock(line: Column) -> Column:
+    """The eight numbers of a timing line, in order."""
+    return F.regexp_extract_all(F.regexp_extract(line, TIMING, 0), F.lit(r"([0-9]+)"), 1)
+
+
+def seconds(numbers: Column, first: int) -> Column:
+    """The time whose hours are the number at ``first``."""
+    part = [F.get(numbers, F.lit(first + i)).cast("double") for i in range(4)]
     return part[0] * 3600 + part[1] * 60 + part[2] + part[3] / F.lit(1000.0)
 
 

@@ -39,8 +39,8 @@ def merge_small_gaps(ranges: DataFrame, min_gap: float = MIN_GAP) -> DataFrame:
 def absorb_tiny(ranges: DataFrame, min_duration: float = MIN_SEGMENT) -> DataFrame:
     """Join ranges shorter than ``min_duration`` to the next one, the last to the one before.
 
-    A recording's ranges are few (they are its final cuts), so one fold over their
-    array does it.
+    A range that is long enough ends whatever is open before it, so only the run of
+    short ranges up to it is folded, never all ranges of a recording.
     """
     item = "struct<start:double,end:double>"
     start = F.struct(F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast(item).alias("open"))
@@ -50,14 +50,16 @@ def absorb_tiny(ranges: DataFrame, min_duration: float = MIN_SEGMENT) -> DataFra
         full = cur["end"] - cur["start"] >= min_duration
         return F.struct(F.when(full, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"]).alias("done"), F.when(~full, cur).alias("open"))
 
-    def finish(acc: Column) -> Column:
-        last = F.element_at(acc["done"], -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], acc["open"]["end"]).alias("end"))
-        extend = acc["open"].isNotNull() & (F.size(acc["done"]) > 0)
-        return F.when(extend, F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(longer))).otherwise(acc["done"])
-
-    listed = ranges.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("list"))
-    return listed.select("rec_id", F.explode(F.aggregate("list", start, step, finish)).alias("r")).select("rec_id", "r.*")
+    order = Window.partitionBy("rec_id").orderBy("start", "end")
+    long = (F.col("end") - F.col("start") >= min_duration).cast("int")
+    marked = ranges.select("rec_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    marked = marked.withColumn("run", F.coalesce(F.sum(long).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    folded = marked.groupBy("rec_id", "run").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("start", "end"))), start, step).alias("f"))
+    # What a recording's last run leaves open goes to the range before it, or away if there is none.
+    rows = folded.select("rec_id", F.explode(F.concat(F.transform("f.done", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(False).alias("left"))),
+        F.when(F.col("f.open").isNotNull(), F.array(F.struct("f.open.start", "f.open.end", F.lit(True).alias("left")))).otherwise(F.array().cast("array<struct<start:double,end:double,left:boolean>>")))).alias("r")).select("rec_id", "r.*")
+    after = F.lead(F.when(F.col("left"), F.col("end"))).over(order)
+    return rows.select("rec_id", "start", F.greatest("end", after).alias("end"), "left").filter("not left").drop("left")
 
 
 def word_at(points: DataFrame, words: DataFrame) -> DataFrame:
@@ -102,6 +104,14 @@ def build_edl(decisions: DataFrame, words: DataFrame, recordings: DataFrame, min
     return number_ranges(ranges)
 
 
+def checked_edl(decisions: DataFrame, words: DataFrame, recordings: DataFrame, min_gap: float = MIN_GAP, min_duration: float = MIN_SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """(ranges, violations): the kept ranges of the recordings whose ranges are sound, and what
+    is wrong with those of the others."""
+    ranges = build_edl(decisions, words, recordings, min_gap, min_duration)
+    wrong = edl_violations(ranges)
+    return ranges.join(wrong.select("rec_id").distinct(), "rec_id", "left_anti"), wrong
+
+
 def edl_violations(ranges: DataFrame, strict: bool = False) -> DataFrame:
     """Ranges (in the order of range_ord) without a length, or that start before the one before ends."""
     before = F.lag("end").over(Window.partitionBy("rec_id").orderBy("range_ord"))

@@ -12,15 +12,32 @@ from cueweave import schemas
 from cueweave.functions.storage import materialise
 
 BATCH = 40
-MODES = ("crosstalk", "highlights")
+#: What a judge is asked for in each mode.
+INSTRUCTIONS = {
+    "crosstalk": "Mark a segment remove if it is small talk, a false start or people talking over one another, else keep.",
+    "highlights": "Mark a segment keep if it holds a decision, a result or a main point, else remove.",
+}
+MODES = tuple(INSTRUCTIONS)
 
 
-def require_mode(jobs: DataFrame, mode: str = "mode") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows by the allowed modes."""
+def require_mode(jobs: DataFrame, mode: str = "mode", *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows by the allowed modes; a null mode is rejected.
+
+    ``strict``: an unknown mode fails the query that reads the accepted rows instead.
+    """
     good = F.coalesce(F.col(mode).isin(*MODES), F.lit(False))
+    if strict:
+        known = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown mode: "), F.coalesce(F.col(mode), F.lit("null")))).cast("boolean"))
+        return jobs.filter(known), jobs.limit(0)
     return jobs.filter(good), jobs.filter(~good)
 
 
+def with_instructions(jobs: DataFrame, mode: str = "mode", instructions: dict[str, str] | None = None) -> DataFrame:
+    """Jobs with the ``instructions`` of their mode; jobs of an unknown mode are left out."""
+    table = jobs.sparkSession.createDataFrame(sorted((instructions or INSTRUCTIONS).items()), f"`{mode}` string, instructions string")
+    return jobs.join(F.broadcast(table), mode)  # a row for each mode
+
+
 def batches(segments: DataFrame, size: int = BATCH) -> DataFrame:
     """Segments with their batch and place: consecutive batches of ``size`` (1 at least)."""
     place = F.row_number().over(Window.partitionBy("rec_id").orderBy("seg_ord")) - 1
@@ -57,32 +74,41 @@ def check_responses(responses: DataFrame) -> DataFrame:
 RESPONSE = "rec_id long, chunk_id long, part string, raw string, finish_reason string, error_code int"
 
 
-def judge(segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch_size: int = BATCH) -> tuple[DataFrame, DataFrame]:
+def judge(segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch_size: int = BATCH, mode: str = "highlights", instructions: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(decisions, failures) of all segments.
 
-    ``fn`` gets frames of (rec_id, chunk_id, part, n_segments, payload, note) and
-    returns (rec_id, chunk_id, part, raw, finish_reason, error_code).  A truncated
-    batch is split at once, other failures are tried again once and then split; a
-    single segment that fails twice fails its recording.  Every wave is written, so
-    no answered batch is asked again.
+    ``fn`` gets frames of (rec_id, chunk_id, part, n_segments, payload, mode,
+    instructions, note) and returns (rec_id, chunk_id, part, raw, finish_reason,
+    error_code).  ``segments`` may tell each recording's mode in a column ``mode``, else
+    ``mode`` holds for all.  A truncated batch is split at once, other failures (no answer
+    is one) are tried again once and then split; a single segment that fails twice fails
+    its recording.  Of several answers to one batch one counts.  Every wave is written,
+    so no answered batch is asked again.  An unknown mode is an error before anything is
+    asked.
     """
+    texts = instructions or INSTRUCTIONS
+    segments = segments if "mode" in segments.columns else segments.withColumn("mode", F.lit(mode))
+    unknown = segments.filter(F.coalesce(~F.col("mode").isin(*texts), F.lit(True))).select("mode").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown mode: {unknown[0]['mode']!r}")
     batched = batches(segments, batch_size).withColumn("part", F.lit("")).withColumn("attempt", F.lit(0))
     work = materialise(batched, "judge-segments")
     solved, failed = None, None
     while not work.isEmpty():
-        asked = work.groupBy("rec_id", "chunk_id", "part", "attempt").agg(F.array_sort(F.collect_list(F.struct("pos", "speaker", "start", "end", "text", "overlap_candidate"))).alias("items"))
+        asked = work.groupBy("rec_id", "chunk_id", "part", "attempt").agg(F.min("mode").alias("mode"), F.array_sort(F.collect_list(F.struct("pos", "speaker", "start", "end", "text", "overlap_candidate"))).alias("items"))
         bare = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in ("speaker", "start", "end", "text", "overlap_candidate")]))
         asked = asked.withColumn("n_segments", F.size("items")).withColumn("payload", F.to_json(bare)).withColumn("note", F.when(F.col("attempt") > 0, "The previous response was not valid; answer with the list alone.").otherwise(""))
-        frames = asked.select("rec_id", "chunk_id", "part", "n_segments", "payload", "note")
+        frames = with_instructions(asked, instructions=texts).select("rec_id", "chunk_id", "part", "n_segments", "payload", "mode", "instructions", "note")
 
         def call(parts):
             for part in parts:
                 if len(part):
                     yield fn(part)
 
-        answers = materialise(frames.mapInPandas(call, RESPONSE), "judge-answers")
-        checked = check_responses(answers.join(asked.select("rec_id", "chunk_id", "part", "attempt", "n_segments"), ["rec_id", "chunk_id", "part"]))
-        checked = materialise(checked, "judge-checked")
+        key = ["rec_id", "chunk_id", "part"]
+        answers = materialise(frames.mapInPandas(call, RESPONSE), "judge-answers").dropDuplicates(key).withColumn("answered", F.lit(True))
+        checked = check_responses(asked.select(*key, "attempt", "n_segments").join(answers, key, "left"))
+        checked = materialise(checked.withColumn("outcome", F.when(F.col("answered"), F.col("outcome")).otherwise("api_error")), "judge-checked")
         good = checked.filter("outcome = 'ok'").select("rec_id", "chunk_id", "part", F.posexplode("judgments").alias("at", "j"))
         ranked = work.withColumn("at", (F.row_number().over(Window.partitionBy("rec_id", "chunk_id", "part").orderBy("pos")) - 1).cast("int"))
         got = materialise(ranked.join(good, ["rec_id", "chunk_id", "part", "at"]).select("rec_id", "seg_ord", "j.*"), "judge-solved")

@@ -41,6 +41,13 @@ def edl_summary(ranges: DataFrame, recordings: DataFrame) -> DataFrame:
     return out.select("rec_id", F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"), F.round("kept", 6).alias("kept_s"), F.round(F.col("duration") - F.col("kept"), 6).alias("removed_s"), F.round("longest", 6).alias("longest_s"))
 
 
+def mode_summary(summary: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What was kept and removed over all recordings of a mode."""
+    out = summary.join(jobs.select("rec_id", "mode"), "rec_id").groupBy("mode")
+    out = out.agg(F.count(F.lit(1)).alias("n_recordings"), F.sum("n_ranges").alias("n_ranges"), F.sum("kept_s").alias("kept_s"), F.sum("removed_s").alias("removed_s"), F.max("longest_s").alias("longest_s"))
+    return out.withColumn("removed_share", F.col("removed_s") / F.nullif(F.col("kept_s") + F.col("removed_s"), F.lit(0.0)))
+
+
 def span_removed(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     """The share of each labelled span (rec_id, label, start, end) that no kept range covers."""
     r = ranges.select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueweave.functions.storage import spread
 from cueweave.functions.text import tokens
 from cueweave.operators import transcript
 from cueweave.operators.judging import batches
@@ -20,7 +21,8 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def tok(self) -> DataFrame:
-        t = self.table("conversations").select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l"))
+        t = spread(self.table("conversations").select("conv_id", "turn", "role", "text"))  # tokenising is what costs
+        t = t.select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l"))
         return t.select("rec_id", "turn", "speaker", F.size("l").alias("n"), F.posexplode("l").alias("k", "word"))
 
     def words(self) -> DataFrame:
@@ -30,7 +32,8 @@ class Fixtures:
         return t.select("rec_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), "word", (F.col("s_ms") / F.lit(1000.0)).alias("start"), (F.col("e_ms") / F.lit(1000.0)).alias("end"), "speaker", F.lit(False).alias("overlap_candidate"))
 
     def cues(self) -> DataFrame:
-        t = self.table("conversations").select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l")).filter("size(l) > 0")
+        t = spread(self.table("conversations").select("conv_id", "turn", "role", "text"))
+        t = t.select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l")).filter("size(l) > 0")
         order = Window.partitionBy("rec_id").orderBy("turn")
         start = F.col("turn") * 10000
         return t.select("rec_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.array_join("l", " ").alias("word"), (start / F.lit(1000.0)).alias("start"), ((start + F.size("l") * 80) / F.lit(1000.0)).alias("end"), "speaker", F.lit(False).alias("overlap_candidate"))
@@ -108,11 +111,70 @@ class Fixtures:
         url = c.filter("rec_id % 2 = 0").select("rec_id", F.lit("youtube_captions").alias("source"), (F.col("rec_id") % 7 != 0).alias("usable"))
         return up.unionByName(url).unionByName(c.select("rec_id", F.lit("asr").alias("source"), F.lit(True).alias("usable")))
 
+    def files(self) -> DataFrame:
+        """Paths with suffixes of several kinds."""
+        suffix = F.element_at(F.array(*map(F.lit, (".mp4", ".MKV", ".mov", ".vtt", ".Srt", ".txt", ""))), (F.col("c_custkey") % 7 + 1).cast("int"))
+        return self.table("customer").select(F.col("c_custkey").alias("rec_id"), F.concat(F.lit("in.v1/"), "c_name", suffix).alias("path"))
+
+    def aligned(self) -> DataFrame:
+        """Aligned speech, a segment for each turn: every 11th word has no end, every 7th no speaker."""
+        s = F.col("turn") * 20000 + F.col("k") * 250
+        t = self.tok().withColumn("w", F.struct("word", (s / F.lit(1000.0)).alias("start"), F.when(F.col("k") % 11 != 10, (s + 200) / F.lit(1000.0)).alias("end"), F.when(F.col("k") % 7 != 6, F.col("speaker")).alias("speaker")))
+        turns = t.groupBy("rec_id", "turn").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("l"))
+        turns = turns.select("rec_id", "turn", F.struct(F.transform("l", lambda x: x["w"]).alias("words")).alias("s"))
+        listed = turns.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("l"))
+        return listed.select("rec_id", F.transform("l", lambda x: x["s"]).alias("segments"))
+
+    def keyframe_files(self) -> DataFrame:
+        """A time on each line, between blank lines and lines that are no times."""
+        return self.table("part").select(F.col("p_partkey").alias("rec_id"), F.concat_ws("\n", F.lit("0.0"), F.lit(" "), F.concat(F.lit("  "), F.col("p_size").cast("string")), F.lit("N/A"), F.concat(F.col("p_partkey").cast("string"), F.lit(".5"))).alias("text"))
+
+    def broken_subtitle_files(self) -> DataFrame:
+        """Caption files of which every seventh holds no cue."""
+        return self.subtitle_files().withColumn("text", F.when(F.col("rec_id") % 7 == 0, "WEBVTT\n\nno cue here").otherwise(F.col("text")))
+
+    def jobs(self) -> DataFrame:
+        """New jobs as their senders fill them in."""
+        c = self.table("customer").select(F.col("c_custkey").alias("rec_id"))
+        k = F.col("rec_id")
+        return c.select(
+            "rec_id", F.when(k % 4 == 0, "crosstalk").when(k % 4 == 1, "highlights").when(k % 4 == 2, "summary").alias("mode"), F.when(k % 3 == 0, "done").when(k % 3 == 1, "deciding").alias("status"),
+            F.when(k % 5 == 0, "youtube_captions").alias("transcript_source"), F.when(k % 2 == 0, k).alias("progress_current"), F.when(k % 2 == 0, k * 2).alias("progress_total"),
+            F.when(k % 6 == 0, "\u00a0 \t").when(k % 6 == 1, "").when(k % 6 != 2, F.concat(F.lit(" https://example.com/"), k.cast("string"))).alias("source_url"),
+        )
+
+    def asked(self) -> DataFrame:
+        """Identifiers of jobs, some of which no job has."""
+        return self.table("orders").select(F.col("o_custkey").alias("rec_id")).unionByName(self.table("part").select((-F.col("p_partkey")).alias("rec_id")))
+
+    def sourced(self) -> dict[str, DataFrame]:
+        """Transcripts of the conversations by source; some recordings have none."""
+        return {
+            "uploaded_transcript": self.cues().filter("rec_id % 3 = 0"), "youtube_captions": self.cues().filter("rec_id % 2 = 0").withColumn("speaker", F.lit("SPEAKER")),
+            "asr": self.words().filter("rec_id % 5 <> 4"),
+        }
+
+    def moded(self) -> DataFrame:
+        """A job for each conversation, and ten for recordings that nobody has heard."""
+        r = self.table("conversations").select(F.col("conv_id").alias("rec_id")).distinct()
+        r = r.unionByName(r.filter("rec_id % 10 = 0").select((-F.col("rec_id") - 2).alias("rec_id")))
+        return r.withColumn("mode", F.when(F.col("rec_id") % 9 == 0, "summary").when(F.col("rec_id") % 2 == 0, "crosstalk").otherwise("highlights"))
+
+    def conversation_probes(self) -> DataFrame:
+        """A probe for each conversation's recording; every eighth has drifted."""
+        v = F.col("rec_id") * 10 + 2000.0
+        stream = lambda kind, value: F.struct(F.lit(kind).alias("codec_type"), value.cast("string").alias("duration"))
+        doc = F.struct(F.struct(v.cast("string").alias("duration")).alias("format"), F.array(stream("video", v), stream("audio", v + F.when(F.col("rec_id") % 8 == 7, 3.0).otherwise(0.25))).alias("streams"))
+        return self.moded().filter("rec_id >= 0").select("rec_id", F.to_json(doc).alias("json"))
+
     def tracks(self) -> DataFrame:
-        n = self.table("nation").select(F.col("n_regionkey").alias("rec_id"), "n_nationkey", F.element_at(F.array(*map(F.lit, ("en", "en-US", "en_GB", "fr", "eng"))), (F.col("n_nationkey") % 5 + 1).cast("int")).alias("lang"), (F.col("n_nationkey") % 2 == 1).alias("manual"), F.when(F.col("n_nationkey") % 3 == 0, "json3").otherwise("vtt").alias("ext"), F.col("n_name").alias("url"))
+        """A catalogue of tracks for each customer: one for each of its orders."""
+        o = self.table("orders").select(F.col("o_custkey").alias("rec_id"), F.col("o_orderkey").alias("key"))
+        lang = F.element_at(F.array(*map(F.lit, ("en", "en-US", "en_GB", "fr", "eng"))), (F.col("key") % 5 + 1).cast("int"))
+        o = o.select("rec_id", "key", lang.alias("lang"), (F.floor(F.col("key") / 32) % 2 == 1).alias("manual"), F.when(F.col("key") % 3 == 0, "json3").otherwise("vtt").alias("ext"), F.concat(F.lit("u"), F.col("key").cast("string")).alias("url"))
 
         def side(flag):
-            t = n.filter(flag).select("rec_id", F.struct("n_nationkey", "lang", F.array(F.struct("ext", "url")).alias("entries")).alias("t"))
+            t = o.filter(flag).select("rec_id", F.struct("key", "lang", F.array(F.struct("ext", "url")).alias("entries")).alias("t"))
             g = t.groupBy("rec_id").agg(F.array_sort(F.collect_list("t")).alias("l"))
             return g.select("rec_id", F.transform("l", lambda x: F.struct(x["lang"].alias("lang"), x["entries"].alias("entries"))).alias("l"))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.text import strip_tags
 from cueweave.operators import intervals, jobs, judging, reports, transcript
+from cueweave.operators.highlights import highlight_corpus
 from cueweave.plans.fixtures import Fixtures
 from cueweave.sources import media, subtitles
 
@@ -36,6 +38,60 @@ def _event_runs(f: Fixtures) -> DataFrame:
     return r.groupBy("user_id", "run").agg(F.min_by("event_type", "event_id").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def _file_gate(f: Fixtures) -> DataFrame:
+    videos, rest = subtitles.with_suffix(f.files(), subtitles.VIDEO_SUFFIXES)
+    texts, rest = subtitles.with_suffix(rest, subtitles.TRANSCRIPT_SUFFIXES)
+    kinds = ((videos, "video"), (texts, "transcript"), (rest, "rejected"))
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(k)) for df, k in kinds])
+
+
+def _gated(parts: tuple[DataFrame, DataFrame], *columns: str) -> DataFrame:
+    good, bad = parts
+    return good.select(*columns, F.lit(True).alias("accepted")).unionByName(bad.select(*columns, F.lit(False).alias("accepted")))
+
+
+def _sentence_flags(f: Fixtures) -> DataFrame:
+    said = transcript.sentences(f.cues().withColumn("end", F.col("end") + 9.0))
+    flagged = transcript.flag_overlaps(transcript.segments_as_words(said))
+    by = {p: transcript.flags_to_segments(said, flagged, p).select("rec_id", "seg_ord", F.col("overlap_candidate").alias(p)) for p in ("position", "identity")}
+    return by["position"].join(by["identity"], ["rec_id", "seg_ord"])
+
+
+def _job_lookup(f: Fixtures) -> DataFrame:
+    results = f.table("customer").select(F.col("c_custkey").alias("rec_id"), F.col("c_name").alias("result"))
+    answers, rows = jobs.look_up(f.asked(), f.jobs(), results)
+    return answers.join(rows, "rec_id", "left")
+
+
+def _best_transcripts(f: Fixtures) -> DataFrame:
+    rows, rejected = subtitles.best_transcripts(f.moded(), f.sourced())
+    return rows.select("rec_id", "ord", "word", "speaker", "source").unionByName(rejected.select("rec_id", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("speaker"), F.col("reason").alias("source")))
+
+
+def _unusable(f: Fixtures) -> DataFrame:
+    cues, unusable = subtitles.load_transcripts(f.broken_subtitle_files())
+    counted = cues.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_cues"))
+    return counted.select("rec_id", "n_cues", F.lit(None).cast("string").alias("reason")).unionByName(unusable.select("rec_id", F.lit(0).cast("long").alias("n_cues"), "reason"))
+
+
+def _checked(f: Fixtures) -> DataFrame:
+    # A recording whose length is 0, and ones that end before they start, give ranges that are not sound.
+    recordings = f.recordings().withColumn("duration", F.when(F.col("rec_id") % 6 == 5, -1.0).otherwise(F.col("duration")))
+    good, wrong = intervals.checked_edl(f.decisions(), f.words(), recordings)
+    return good.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.lit("sound").alias("state")).unionByName(wrong.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.lit("not sound").alias("state")))
+
+
+def _highlights(f: Fixtures, what: str) -> DataFrame:
+    keep = ((F.col("rec_id") * 7 + F.col("seg_ord") * 3) % 5) > 1
+    return highlight_corpus(f.moded(), f.conversation_probes(), f.sourced(), f.keyframes(), keep=keep)[what]
+
+
+def _nested(f: Fixtures) -> DataFrame:
+    whole = intervals.nested_edl(_edl(f), f.recordings())
+    ranges = F.transform("ranges", lambda r: F.struct(F.round(r["start"], 6).alias("start"), F.round(r["end"], 6).alias("end")))
+    return whole.select("rec_id", F.to_json(ranges).alias("ranges"), "source_duration")
+
+
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "overlap_flags": lambda f: transcript.flag_overlaps(f.words()).select("rec_id", "ord", "overlap_candidate"),
     "speaker_turns": lambda f: transcript.speaker_turns(f.words()),
@@ -46,7 +102,8 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "snap_ranges": lambda f: intervals.snap_to_words(intervals.keep_ranges(f.decisions()), f.words()),
     "build_edl": lambda f: intervals.build_edl(f.decisions(), f.words(), f.recordings()),
     "edl_violations": lambda f: intervals.edl_violations(f.event_ranges()),
-    "nested_edl": lambda f: intervals.nested_edl(_edl(f), f.recordings()).select("rec_id", F.to_json("ranges").alias("ranges"), "source_duration"),
+    "nested_edl": _nested,
+    "checked_edl": _checked,
     "remap_words": lambda f: transcript.remap_words(f.words(), _edl(f)),
     "kept_words": lambda f: transcript.kept_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
     "cut_words": lambda f: transcript.cut_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
@@ -66,6 +123,21 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "track_choice": lambda f: subtitles.pick_track(f.tracks()),
     "job_latest": lambda f: jobs.latest_state(f.job_events()),
     "stage_progress": lambda f: jobs.stage_progress(f.job_events()),
+    "stage_board": lambda f: jobs.stage_board(f.job_events()),
+    "job_defaults": lambda f: jobs.job_defaults(f.jobs()).select("rec_id", "status", "transcript_source", "progress_current", "progress_total"),
+    "job_lookup": _job_lookup,
+    "url_gate": lambda f: _gated(jobs.with_url(f.jobs()), "rec_id"),
+    "mode_gate": lambda f: _gated(judging.require_mode(f.jobs()), "rec_id", "mode"),
+    "mode_instructions": lambda f: judging.with_instructions(f.jobs().select("rec_id", "mode")),
+    "mode_summary": lambda f: reports.mode_summary(reports.edl_summary(_edl(f), f.recordings()), f.moded()),
+    "file_gate": _file_gate,
+    "usable_files": _unusable,
+    "aligned_words": lambda f: subtitles.parse_aligned(f.aligned()).select("rec_id", "ord", "word", "start", "end", "speaker"),
+    "keyframe_times": lambda f: subtitles.parse_keyframes(f.keyframe_files()),
+    "sentence_flags": _sentence_flags,
+    "best_transcripts": _best_transcripts,
+    "highlight_status": lambda f: _highlights(f, "status"),
+    "highlight_clean": lambda f: _highlights(f, "clean").groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_words"), F.max("end").alias("last_end")),
 }
 
 
@@ -124,6 +196,27 @@ _KEY = """cuts AS (SELECT e.*, coalesce((SELECT min(abs(t - e.start)) FROM range
 _CUES = r"""cues AS (SELECT conv_id AS rec_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, array_to_string(l, ' ') AS word,
     turn * 10000 / 1000.0::DOUBLE AS start, (turn * 10000 + len(l) * 80) / 1000.0::DOUBLE AS "end", role AS speaker
   FROM (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS l FROM conversations) WHERE len(l) > 0)"""
+def _sentences(cues: str) -> str:
+    """Sentences of the table ``cues``: tokens one after another, with what is open carried along."""
+    return f"""token AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY ord, k) AS i FROM (
+      SELECT rec_id, ord, speaker, start AS cs, "end" AS ce, len(l) AS n, unnest(range(len(l))) AS k, unnest(l) AS token FROM (SELECT *, string_split(word, ' ') AS l FROM {cues}))),
+  timed AS (SELECT *, CASE WHEN n <= 1 THEN cs ELSE cs + (k / n::DOUBLE) * (ce - cs) END AS s, CASE WHEN n <= 1 THEN ce ELSE cs + ((k + 1) / n::DOUBLE) * (ce - cs) END AS e,
+    regexp_matches(token, '[.!?]+["'')\\]]*$') AS stop FROM token),
+  walk AS (SELECT rec_id, i, speaker, 0 AS grp, CASE WHEN stop OR ce - cs >= 20.0 THEN 0 ELSE 1 END AS held, cs AS since FROM timed WHERE i = 1
+    UNION ALL SELECT t.rec_id, t.i, t.speaker, CASE WHEN w.held = 0 OR t.speaker <> w.speaker THEN w.grp + 1 ELSE w.grp END,
+      CASE WHEN t.stop OR t.ce - (CASE WHEN w.held = 0 OR t.speaker <> w.speaker THEN t.cs ELSE w.since END) >= 20.0 OR (CASE WHEN t.speaker <> w.speaker THEN 0 ELSE w.held END) + 1 >= 40 THEN 0
+        ELSE (CASE WHEN t.speaker <> w.speaker THEN 0 ELSE w.held END) + 1 END,
+      CASE WHEN w.held = 0 OR t.speaker <> w.speaker THEN t.cs ELSE w.since END
+    FROM walk w JOIN timed t ON t.rec_id = w.rec_id AND t.i = w.i + 1),
+  sentences AS (SELECT rec_id, CAST(grp AS BIGINT) AS seg_ord, arg_min(t.speaker, i) AS speaker, arg_min(s, i) AS start, greatest(arg_max(e, i), arg_min(s, i)) AS "end", string_agg(token, ' ' ORDER BY i) AS text
+    FROM walk w JOIN timed t USING (rec_id, i) GROUP BY rec_id, grp)"""
+
+
+_NEW_JOBS = """jobs AS (SELECT c_custkey AS rec_id, CASE c_custkey % 4 WHEN 0 THEN 'crosstalk' WHEN 1 THEN 'highlights' WHEN 2 THEN 'summary' END AS mode,
+    CASE c_custkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'deciding' END AS status, c_custkey % 6 > 2 AS has_url FROM customer)"""
+_MODED = """moded AS (SELECT rec_id, CASE WHEN rec_id % 9 = 0 THEN 'summary' WHEN rec_id % 2 = 0 THEN 'crosstalk' ELSE 'highlights' END AS mode FROM (
+    SELECT DISTINCT conv_id AS rec_id FROM conversations UNION ALL SELECT DISTINCT -conv_id - 2 FROM conversations WHERE conv_id % 10 = 0))"""
+_STAGES = "['queued','downloading','transcribing','deciding','building_edl','slicing','done']"
 _JOBS = """log AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'transcribing' WHEN 'click' THEN 'deciding'
     WHEN 'purchase' THEN 'slicing' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, event_id % 50 AS current, CAST(50 AS BIGINT) AS total FROM events)"""
 
@@ -168,12 +261,57 @@ def oracle_sql() -> dict[str, str]:
             round(CASE WHEN kind = 4 OR abs(vd - ad) > 1.0 THEN NULL ELSE v END, 6) AS duration, round(vd, 6) AS video_duration, round(ad, 6) AS audio_duration FROM d""",
         "source_choice": """SELECT c_custkey AS rec_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'uploaded_transcript'
             WHEN c_custkey % 2 = 0 AND c_custkey % 7 <> 0 THEN 'youtube_captions' ELSE 'asr' END AS source FROM customer""",
-        "track_choice": """WITH t AS (SELECT n_regionkey AS rec_id, n_nationkey, ['en','en-US','en_GB','fr','eng'][n_nationkey % 5 + 1] AS lang, n_nationkey % 2 = 1 AS manual,
-            CASE WHEN n_nationkey % 3 = 0 THEN 'json3' ELSE 'vtt' END AS ext, n_name AS url FROM nation)
-          SELECT rec_id, lang, ext, url, manual FROM t WHERE lang IN ('en', 'en-US', 'en_GB') QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY manual DESC, n_nationkey) = 1""",
+        "track_choice": """WITH t AS (SELECT o_custkey AS rec_id, o_orderkey AS key, ['en','en-US','en_GB','fr','eng'][o_orderkey % 5 + 1] AS lang, o_orderkey // 32 % 2 = 1 AS manual,
+            CASE WHEN o_orderkey % 3 = 0 THEN 'json3' ELSE 'vtt' END AS ext, 'u' || o_orderkey AS url FROM orders)
+          SELECT rec_id, lang, ext, url, manual FROM t WHERE lang IN ('en', 'en-US', 'en_GB') QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY manual DESC, key) = 1""",
         "job_latest": f"WITH {_JOBS} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1",
         "stage_progress": f"""WITH {_JOBS} SELECT job_id, status, current, total, round(100.0::DOUBLE * current / nullif(total, 0)) AS percent FROM log
           QUALIFY row_number() OVER (PARTITION BY job_id, status ORDER BY seq DESC) = 1""",
     }
+    sql |= {
+        "nested_edl": f"""WITH RECURSIVE {_EDL} SELECT e.rec_id, CAST(to_json(list({{'start': round(start, 6), 'end': round("end", 6)}} ORDER BY range_ord)) AS VARCHAR) AS ranges, round(any_value(duration), 6) AS source_duration
+          FROM edl e JOIN recordings r USING (rec_id) GROUP BY e.rec_id""",
+        "batch_payload": f"""WITH {_TURNS} SELECT rec_id, seg_ord // 40 AS chunk_id, count(*) AS n_segments,
+            CAST(to_json(list({{'speaker': speaker, 'start': start, 'end': "end", 'text': text, 'overlap_candidate': false}} ORDER BY seg_ord)) AS VARCHAR) AS payload FROM turns GROUP BY ALL""",
+        "sentences": f'WITH RECURSIVE {_CUES}, {_sentences("cues")} SELECT rec_id, seg_ord, speaker, round(start, 6) AS start, round("end", 6) AS "end", text, false AS overlap_candidate FROM sentences',
+        "sentence_flags": f"""WITH RECURSIVE {_CUES}, later AS (SELECT * REPLACE ("end" + 9.0 AS "end") FROM cues), {_sentences("later")},
+          f AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(start < lag("end") OVER w AND speaker <> lag(speaker) OVER w, false) OR coalesce(lead(start) OVER w < "end" AND lead(speaker) OVER w <> speaker, false) AS flag
+            FROM sentences WINDOW w AS (PARTITION BY rec_id ORDER BY start, seg_ord))
+          SELECT a.rec_id, a.seg_ord, a.flag AS identity, b.flag AS position FROM f a JOIN f b ON a.rec_id = b.rec_id AND b.place = a.seg_ord""",
+        "checked_edl": f"""WITH RECURSIVE {_EDL.replace('UNION ALL SELECT -1, 10.0)', 'UNION ALL SELECT -1, 10.0), long AS (SELECT * FROM recordings), shortened AS (SELECT rec_id, CASE WHEN rec_id % 6 = 5 THEN -1.0 ELSE duration END AS duration FROM recordings)').replace('FROM recordings r LEFT JOIN solid', 'FROM shortened r LEFT JOIN solid')},
+          k AS (SELECT *, "end" <= start OR coalesce(start < lag("end") OVER (PARTITION BY rec_id ORDER BY range_ord), false) AS bad FROM edl)
+          SELECT rec_id, CASE WHEN bool_or(bad) THEN count(*) FILTER (WHERE bad) ELSE count(*) END AS n, CASE WHEN bool_or(bad) THEN 'not sound' ELSE 'sound' END AS state FROM k GROUP BY rec_id""",
+        "stage_board": f"""WITH {_JOBS}, told AS (SELECT *, list_position({_STAGES}, status) - 1 AS place FROM log WHERE list_contains({_STAGES}, status)),
+          e AS (SELECT *, coalesce(place <> lag(place) OVER (PARTITION BY job_id ORDER BY ts, seq), true) AS entered FROM told),
+          l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1),
+          b AS (SELECT job_id, CAST(s AS INTEGER) AS stage_ord, {_STAGES}[s + 1] AS stage, CASE WHEN s < place OR (s = place AND place = 6) THEN 'done' WHEN s = place THEN 'active' ELSE 'waiting' END AS state,
+            CASE WHEN s = place AND NOT entered THEN current ELSE 0 END AS current, CASE WHEN s = place AND NOT entered THEN total ELSE 0 END AS total FROM l, range(7) r(s))
+          SELECT *, round(100.0::DOUBLE * current / nullif(total, 0)) AS percent FROM b""",
+        "job_defaults": """SELECT c_custkey AS rec_id, CASE c_custkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'deciding' ELSE 'queued' END AS status, CASE WHEN c_custkey % 5 = 0 THEN 'youtube_captions' ELSE 'asr' END AS transcript_source,
+            CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS progress_current, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 2 ELSE 0 END AS progress_total FROM customer""",
+        "job_lookup": f"""WITH {_NEW_JOBS}, asked AS (SELECT o_custkey AS rec_id FROM orders UNION SELECT -p_partkey FROM part)
+          SELECT a.rec_id, CASE WHEN j.rec_id IS NULL THEN 'not_found' WHEN status = 'done' THEN 'done' ELSE 'not_done' END AS answer, CASE WHEN status = 'done' THEN c_name END AS result
+          FROM asked a LEFT JOIN jobs j USING (rec_id) LEFT JOIN customer c ON c_custkey = a.rec_id""",
+        "url_gate": f"WITH {_NEW_JOBS} SELECT rec_id, has_url AS accepted FROM jobs",
+        "mode_gate": f"WITH {_NEW_JOBS} SELECT rec_id, mode, coalesce(mode IN ('crosstalk', 'highlights'), false) AS accepted FROM jobs",
+        "mode_instructions": f"""WITH {_NEW_JOBS}, texts(mode, instructions) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in judging.INSTRUCTIONS.items())}) SELECT rec_id, mode, instructions FROM jobs JOIN texts USING (mode)""",
+        "mode_summary": f"""WITH RECURSIVE {_EDL}, {_MODED}, one AS (SELECT rec_id, count(*) AS n, round(sum("end" - start), 6) AS kept, round(any_value(duration) - sum("end" - start), 6) AS removed, round(max("end" - start), 6) AS longest FROM recordings r JOIN edl e USING (rec_id) GROUP BY rec_id)
+          SELECT mode, count(*) AS n_recordings, CAST(sum(n) AS BIGINT) AS n_ranges, round(sum(kept), 6) AS kept_s, round(sum(removed), 6) AS removed_s, round(max(longest), 6) AS longest_s, round(sum(removed) / nullif(sum(kept) + sum(removed), 0), 6) AS removed_share FROM one JOIN moded USING (rec_id) GROUP BY mode""",
+        "file_gate": """WITH p AS (SELECT c_custkey AS rec_id, 'in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1] AS path FROM customer)
+          SELECT *, CASE WHEN rec_id % 7 < 3 THEN 'video' WHEN rec_id % 7 < 5 THEN 'transcript' ELSE 'rejected' END AS kind FROM p""",
+        "usable_files": f"WITH {_CUES} SELECT rec_id, CASE WHEN rec_id % 7 = 0 THEN 0 ELSE count(*) END AS n_cues, CASE WHEN rec_id % 7 = 0 THEN 'no transcript' END AS reason FROM cues GROUP BY rec_id",
+        "aligned_words": f"""WITH {_TOK} SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY turn * 20000 + k * 250, turn, k) - 1 AS ord, word, (turn * 20000 + k * 250) / 1000.0::DOUBLE AS start,
+            (turn * 20000 + k * 250 + 200) / 1000.0::DOUBLE AS "end", CASE WHEN k % 7 <> 6 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM tok WHERE k % 11 <> 10""",
+        "keyframe_times": "SELECT p_partkey AS rec_id, unnest([0.0::DOUBLE, p_size::DOUBLE, p_partkey + 0.5::DOUBLE]) AS t FROM part",
+        "best_transcripts": f"""WITH {_WORDS}, {_CUES}, {_MODED}, c AS (SELECT rec_id, CASE WHEN rec_id < 0 THEN 'no transcript' WHEN rec_id % 3 = 0 THEN 'uploaded_transcript' WHEN rec_id % 2 = 0 THEN 'youtube_captions'
+              WHEN rec_id % 5 <> 4 THEN 'asr' ELSE 'no transcript' END AS source FROM moded)
+          SELECT rec_id, ord, word, CASE source WHEN 'youtube_captions' THEN 'SPEAKER' ELSE speaker END AS speaker, source FROM c JOIN cues USING (rec_id) WHERE source IN ('uploaded_transcript', 'youtube_captions')
+          UNION ALL SELECT rec_id, ord, word, speaker, source FROM c JOIN words USING (rec_id) WHERE source = 'asr'
+          UNION ALL SELECT rec_id, NULL, NULL, NULL, source FROM c WHERE source = 'no transcript'""",
+        "highlight_status": f"""WITH {_MODED} SELECT rec_id, CASE WHEN rec_id < 0 THEN 'failed' WHEN rec_id % 8 = 7 THEN 'skipped_desync' WHEN mode = 'summary' OR silent THEN 'failed' ELSE 'done' END AS status,
+            CASE WHEN rec_id < 0 THEN 'no probe' WHEN rec_id % 8 = 7 THEN 'streams drift' WHEN mode = 'summary' THEN 'unknown mode' WHEN silent THEN 'no transcript' END AS reason,
+            CASE WHEN rec_id < 0 OR rec_id % 8 = 7 OR mode = 'summary' OR silent THEN NULL WHEN rec_id % 3 = 0 THEN 'uploaded_transcript' WHEN rec_id % 2 = 0 THEN 'youtube_captions' ELSE 'asr' END AS source
+          FROM (SELECT *, rec_id % 3 <> 0 AND rec_id % 2 <> 0 AND rec_id % 5 = 4 AS silent FROM moded)""",
+    }
     sql["speaker_turns"] = f"""WITH {_TURNS}, f AS ({_FLAGS}) SELECT t.* FROM (SELECT *, false AS overlap_candidate FROM turns) t"""
     return sql

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,21 @@ def with_suffix(files: DataFrame, suffixes: tuple[str, ...], path: str = "path")
 
 
 def read_subtitles(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of the caption files in a folder; bad bytes are replaced."""
+    """(rec_id, path, text) of the caption files in a folder; bad bytes are replaced.
+
+    rec_id is a hash of the path.  Spark passes over files of no bytes, so those have no row.
+    """
     files = spark.read.format("binaryFile").load(folder)
     accepted, _ = with_suffix(files, TRANSCRIPT_SUFFIXES)
-    return accepted.select("path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    return accepted.select(F.xxhash64("path").alias("rec_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+
+
+def load_transcripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cues, unusable) of (rec_id, text) files: files that give no cue are rows of ``unusable``
+    (rec_id, reason), never an error."""
+    cues = parse_subtitles(files)
+    unusable = files.select("rec_id").join(cues.select("rec_id").distinct(), "rec_id", "left_anti")
+    return cues, unusable.select("rec_id", F.lit("no transcript").alias("reason"))
 
 
 def _numbered(cues: DataFrame, tie: str) -> DataFrame:
@@ -44,7 +57,8 @@ def parse_subtitles(files: DataFrame, default_speaker: str = DEFAULT_SPEAKER) ->
     timed = F.transform("lines", lambda x: x.rlike(T.TIMING))
     blocks = blocks.withColumn("at", F.array_position(timed, F.lit(True)).cast("int")).filter("at > 0")
     line = F.get("lines", F.col("at") - 1)
-    blocks = blocks.select("rec_id", "block", T.seconds(line, 1).alias("start"), T.seconds(line, 5).alias("end"), F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0))).alias("content"))
+    blocks = blocks.withColumn("clock", T.clock(line))
+    blocks = blocks.select("rec_id", "block", T.seconds(F.col("clock"), 0).alias("start"), T.seconds(F.col("clock"), 4).alias("end"), F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0))).alias("content"))
     blocks = blocks.filter((F.col("end") > F.col("start")) & (F.size("content") > 0))
     voice = T.trim_ws(F.regexp_extract(F.col("content")[0], T.VOICE, 1))
     has_voice = F.col("content")[0].rlike(T.VOICE)
@@ -78,8 +92,9 @@ def parse_aligned(documents: DataFrame) -> DataFrame:
 
 
 def parse_keyframes(files: DataFrame) -> DataFrame:
-    """(rec_id, t) of (rec_id, text) files with a time on each line."""
-    return files.select("rec_id", F.explode(T.lines(F.col("text"))).alias("line")).select("rec_id", T.trim_ws(F.col("line")).cast("double").alias("t"))
+    """(rec_id, t) of (rec_id, text) files with a time on each line; other lines are left out."""
+    times = files.select("rec_id", F.explode(T.lines(F.col("text"))).alias("line")).select("rec_id", T.trim_ws(F.col("line")).try_cast("double").alias("t"))
+    return times.filter("t is not null")
 
 
 def pick_track(tracks: DataFrame) -> DataFrame:
@@ -101,8 +116,29 @@ def is_english(lang: Column) -> Column:
     return (lang == "en") | lang.rlike("^en[-_]")
 
 
+#: Where a transcript may come from, best first.
+SOURCES = ("uploaded_transcript", "youtube_captions", "asr")
+
+
 def choose_source(candidates: DataFrame) -> DataFrame:
     """(rec_id, source) of the first usable one of (rec_id, source, usable)."""
-    ranks = F.create_map(F.lit("uploaded_transcript"), F.lit(0), F.lit("youtube_captions"), F.lit(1), F.lit("asr"), F.lit(2))
+    ranks = F.create_map(*[F.lit(x) for i, s in enumerate(SOURCES) for x in (s, i)])
     usable = candidates.filter("usable").withColumn("rank", ranks[F.col("source")]).filter("rank is not null")
     return usable.groupBy("rec_id").agg(F.min_by("source", "rank").alias("source"))
+
+
+def best_transcripts(wanted: DataFrame, transcripts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): of every wanted recording, the rows of its first source that has any.
+
+    ``transcripts`` maps a source of SOURCES to its words or cues by rec_id.  A source is
+    only read for recordings that no better one has.  Rows carry ``source``; recordings
+    without any are ``rejected`` (rec_id, reason).
+    """
+    left, parts = wanted.select("rec_id").filter("rec_id is not null").distinct(), []
+    for source in SOURCES:
+        if source in transcripts:
+            own = transcripts[source].join(left, "rec_id", "left_semi").withColumn("source", F.lit(source))
+            left = left.join(own.select("rec_id").distinct(), "rec_id", "left_anti")
+            parts.append(own)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows, left.select("rec_id", F.lit("no transcript").alias("reason"))

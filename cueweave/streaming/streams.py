@@ -11,7 +11,11 @@ from cueweave.sources.subtitles import parse_subtitles
 
 
 def upsert_jobs(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the latest state of every job in versions under ``path``; repeated batches are harmless."""
+    """Keep the latest state of every job under ``path``; repeated batches are harmless.
+
+    Each batch writes a whole version beside the one before, so readers never see half of
+    one; the version before that is removed.  ``read_jobs`` reads the newest whole one.
+    """
 
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -19,10 +23,21 @@ def upsert_jobs(events: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
         if epoch > 0:
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}"))
         latest_state(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        if epoch > 1:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 
 
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version that ``upsert_jobs`` wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    newest = max(int(f.getPath().getParent().getName()[1:]) for f in found)
+    return spark.read.parquet(f"{path}/v{newest}")
+
+
 def subtitle_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """(rec_id, text) of caption files as they arrive; rec_id is a hash of the path."""
     files = spark.readStream.format("text").option("wholetext", True).load(folder)

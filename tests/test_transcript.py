@@ -1,9 +1,12 @@
 import json
 import random
 
+import pytest
+
 from cueweave import schemas
 from cueweave.operators import judging, reports, transcript
 from cueweave.sources import media, subtitles
+from cueweave.streaming import streams
 
 
 def words(spark, rows):
@@ -11,8 +14,10 @@ def words(spark, rows):
 
 
 def test_overlap_flags(spark):
-    got = transcript.flag_overlaps(words(spark, [("so", 10, 10.5, "A"), ("yeah", 10.3, 10.6, "B"), ("okay", 10.6, 11, "B")]))
-    assert [r.overlap_candidate for r in got.orderBy("ord").collect()] == [True, True, False]
+    rows = [("one", 0, 2, "P"), ("two", 1.5, 1.75, "Q"), ("three", 1.75, 3, "Q"), ("four", 2.5, 4, "Q"), ("five", 4, 5, "P"), ("six", 4.5, 6, "Q")]
+    got = [r.overlap_candidate for r in transcript.flag_overlaps(words(spark, rows)).orderBy("ord").collect()]
+    # "three" overlaps "one", but they are not neighbours; "four" and "five" only touch.
+    assert got == [True, True, False, False, True, True]
 
 
 def test_turns(spark):
@@ -27,34 +32,21 @@ def test_remap(spark):
     assert [x.word for x in transcript.cut_words(w, r).orderBy("ord").collect()] == ["b", "c"]
 
 
-def group(cues):
-    """A plain sequential grouping to compare with."""
-    out, cur = [], []
-
-    def at(cue, i, n, edge):
-        if n <= 1:
-            return cue[1] if edge == "s" else cue[2]
-        return cue[1] + ((i if edge == "s" else i + 1) / n) * (cue[2] - cue[1])
-
-    def flush():
-        if cur:
-            start = at(*cur[0][1:], "s")
-            out.append((cur[0][1][3], start, max(at(*cur[-1][1:], "e"), start), " ".join(t[0] for t in cur)))
-            cur.clear()
+def sentence_ends(tokens):
+    """Where sentences end: from each beginning, the nearest of all places at which one is due.
+    Tokens are (text, cue, place, size) and cues (text, start, end, speaker)."""
+    n, ends, first = len(tokens), [], 0
+    stops = [i for i in range(n) if tokens[i][0][-1] in ".!?"]
+    turns = [i for i in range(n - 1) if tokens[i][1][3] != tokens[i + 1][1][3]]
+    while first < n:
+        due = [n - 1, first + 39, *[i for i in stops if i >= first][:1], *[i for i in turns if i >= first][:1]]
+        due += [i for i in range(first, n) if tokens[i][1][2] - tokens[first][1][1] >= 20.0][:1]
+        ends.append(min(due))
+        first = ends[-1] + 1
+    return ends
 
-    for cue in cues:
-        toks = cue[0].split()
-        for i, t in enumerate(toks):
-            if cur and cue[3] != cur[-1][1][3]:
-                flush()
-            cur.append((t, cue, i, len(toks)))
-            if t[-1] in ".!?" or len(cur) >= 40 or cue[2] - cur[0][1][1] >= 20.0:
-                flush()
-    flush()
-    return out
 
-
-def test_sentences_against_a_plain_loop(spark):
+def test_sentences_end_where_one_is_due(spark):
     rng, rows, want = random.Random(1), [], []
     for rec in range(40):
         cues, at = [], 0.0
@@ -63,7 +55,13 @@ def test_sentences_against_a_plain_loop(spark):
             cues.append((text, at, at + rng.choice([1.0, 3.0, 25.0]), rng.choice("AB")))
             at += rng.choice([1.0, 4.0])
         rows += [(rec, i, c[0], c[1], c[2], c[3], False) for i, c in enumerate(cues)]
-        want += [(rec, i, *s) for i, s in enumerate(group(cues))]
+        tokens = [(t, c, i, len(c[0].split())) for c in cues for i, t in enumerate(c[0].split())]
+        first = 0
+        for number, last in enumerate(sentence_ends(tokens)):
+            (_, c, i, n), (_, d, j, m) = tokens[first], tokens[last]
+            start, end = c[1] + (i / n) * (c[2] - c[1]), d[1] + ((j + 1) / m) * (d[2] - d[1])
+            want.append((rec, number, c[3], start, max(start, end), " ".join(t[0] for t in tokens[first : last + 1])))
+            first = last + 1
     got = transcript.sentences(spark.createDataFrame(rows, schemas.WORDS))
     assert sorted((r.rec_id, r.seg_ord, r.speaker, r.start, r.end, r.text) for r in got.collect()) == want
 
@@ -123,6 +121,41 @@ def test_judging_splits_and_fails(spark):
     assert [(r.rec_id, r.outcome) for r in failed.collect()] == [(2, "malformed")]
 
 
+def test_judging_without_answers_and_with_modes(spark):
+    import pandas as pd
+
+    rows = [(rec, i, "A", float(i), float(i + 1), "t", False, ("crosstalk", "highlights")[rec % 2]) for rec in (1, 2, 3) for i in range(3)]
+    segments = spark.createDataFrame(rows, schemas.SEGMENTS + ", mode string")
+
+    def model(frame):
+        assert set(zip(frame["mode"], frame["instructions"])) <= set(judging.INSTRUCTIONS.items())
+        out = []
+        for r in frame.itertuples():
+            items = json.loads(r.payload)
+            if r.rec_id == 2 or (r.rec_id == 3 and not r.note):
+                continue  # never an answer, or none to the first question
+            answer = json.dumps([{"start": x["start"], "end": x["end"], "decision": "keep"} for x in items])
+            out += [(r.rec_id, r.chunk_id, r.part, answer, "STOP", None)] * 2
+        return pd.DataFrame(out, columns=["rec_id", "chunk_id", "part", "raw", "finish_reason", "error_code"])
+
+    decisions, failed = judging.judge(segments, model, batch_size=2)
+    assert sorted((r.rec_id, r.seg_ord) for r in decisions.collect()) == [(rec, i) for rec in (1, 3) for i in range(3)]
+    assert [(r.rec_id, r.outcome) for r in failed.collect()] == [(2, "api_error")]
+    with pytest.raises(ValueError, match="unknown mode"):
+        judging.judge(segments.drop("mode"), model, mode="other")
+    none, lost = judging.judge(segments.limit(0), model)
+    assert none.isEmpty() and lost.isEmpty()
+
+
+def test_modes(spark):
+    jobs = spark.createDataFrame([(1, "crosstalk"), (2, "Crosstalk"), (3, None)], "rec_id long, mode string")
+    good, bad = judging.require_mode(jobs)
+    assert [r.rec_id for r in good.collect()] == [1] and sorted(r.rec_id for r in bad.collect()) == [2, 3]
+    assert [r.instructions for r in judging.with_instructions(jobs).collect()] == [judging.INSTRUCTIONS["crosstalk"]]
+    with pytest.raises(Exception, match="unknown mode"):
+        judging.require_mode(jobs, strict=True)[0].collect()
+
+
 def test_keyframes(spark):
     ranges = spark.createDataFrame([(1, 0, 1.0, 3.0), (1, 1, 7.5, 9.0), (2, 0, 0.0, 1.0)], schemas.RANGES)
     keys = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 10.0)], "rec_id long, t double")
@@ -130,13 +163,36 @@ def test_keyframes(spark):
     assert got == {(1, 0): (1.0, "copy"), (1, 1): (2.5, "reencode"), (2, 0): (float("inf"), "reencode")}
 
 
-def test_coalesce_stream(spark, tmp_path):
-    from cueweave.streaming.streams import coalesce_stream
-
+@pytest.mark.parametrize(("gap", "want"), [(0.0, {(0, 8), (9, 10)}), (1.5, {(0, 10)}), (1.0, {(0, 8), (9, 10)})])
+def test_coalesce_stream(spark, tmp_path, gap, want):
     rows = "(values (0, 5.0), (2, 1.0), (5, 3.0), (9, 1.0), (999999, 1.0)) v(s, seconds)"
     spark.sql(f"select 1L rec_id, timestamp_seconds(s) ts, cast(seconds as double) seconds from {rows}").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("rec_id long, ts timestamp, seconds double").parquet(str(tmp_path / "in"))
-    query = coalesce_stream(source).writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    merged = streams.coalesce_stream(source, gap)
+    query = merged.writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {(int(r.start.timestamp()), int(r.end.timestamp())) for r in spark.table("merged").collect()}
-    assert {(0, 8), (9, 10)} <= got
+    assert {(int(r.start.timestamp()), int(r.end.timestamp())) for r in spark.table("merged").collect()} == want
+
+
+def test_job_stream_keeps_the_latest_state(spark, tmp_path):
+    kind = "job_id long, seq long, ts timestamp, status string"
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    batches = [[(1, 1, 1, "queued"), (2, 2, 2, "queued")], [(1, 4, 4, "done"), (1, 3, 3, "slicing")], [(3, 5, 5, "queued"), (2, 6, 6, "failed")], [(1, 4, 4, "done")]]
+    for rows in batches:
+        values = ", ".join(f"({j}L, {q}L, timestamp_seconds({t}), '{s}')" for j, q, t, s in rows)
+        spark.sql(f"select * from values {values} v(job_id, seq, ts, status)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.upsert_jobs(source, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r.job_id: (r.seq, r.status) for r in streams.read_jobs(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: (4, "done"), 2: (6, "failed"), 3: (5, "queued")}
+    assert len(list((tmp_path / "out").glob("v*"))) == 2
+
+
+def test_arriving_caption_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.vtt").write_text("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\nB: one\n")
+    files = streams.subtitle_blocks(spark, str(tmp_path / "in"))
+    for text in ("", "1\n00:00:03,500 --> 00:00:04,000\ntwo words\n"):
+        (tmp_path / "in" / f"f{len(text)}.srt").write_text(text)
+        streams.write_cues(files, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.word, r.start, r.speaker) for r in got.collect()) == [("one", 1.0, "B"), ("two words", 3.5, "SPEAKER")]
