@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueweave.functions.storage import spread
+
 PROFILE_LENGTH = 400
 TRAIN_DOCS = 3000
 MAX_LANGUAGES = 1000
@@ -125,7 +127,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", tex
             found = [profiles.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

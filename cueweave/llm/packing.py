@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.functions.storage import spread
 from cueweave.llm.memory import releasing
 
 CAPACITY = 2048
@@ -153,13 +154,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.ids(text.as_py() or "")
                 rows.extend(packer.add(doc, np.append(ids, np.uint32(end_id))))
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield _batch(rows)
                     rows = []
         rows.extend(packer.finish())
         yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECE_SCHEMA)
 
 
 def with_checksums(packed: DataFrame) -> DataFrame:

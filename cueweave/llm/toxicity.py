@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise, spread
-from cueweave.llm.memory import releasing
+from cueweave.llm.memory import release, releasing
 
 MAX_EXAMPLES = 4000
 NEIGHBOURS = 25
@@ -48,9 +48,9 @@ RATIO_POWER = 0.75
 BEGINNING = 4
 COMMON = 0.08
 BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
-BATCH_TEXTS = 128
-FLUSH_TERMS = 200_000
-MEMO_WORDS = 100_000
+BATCH_TEXTS, RARE_TEXTS = 64, 16
+FLUSH_TERMS = 100_000
+MEMO_WORDS = 50_000
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -178,11 +178,15 @@ class ExampleIndex:
         asked = np.zeros((texts, len(self.common)))
         asked[text[row >= 0], row[row >= 0]] = weights[row >= 0]
         text, terms, weights = text[row < 0], terms[row < 0], weights[row < 0]
-        first = self.starts[terms].astype(np.int64)
-        lengths = self.starts[terms + 1] - first
-        at = np.arange(lengths.sum()) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
-        where = np.repeat(text * width, lengths) + self.place[at]
-        scores = np.bincount(where, np.repeat(weights, lengths) * self.weight[at], minlength=texts * width).astype(np.float64, copy=False).reshape(texts, self.blocks, BLOCK)
+        scores = np.zeros((texts, self.blocks, BLOCK))
+        for low in range(0, texts, RARE_TEXTS):  # few at a time: their postings are many
+            some = slice(*np.searchsorted(text, (low, low + RARE_TEXTS)))
+            first = self.starts[terms[some]].astype(np.int64)
+            lengths = self.starts[terms[some] + 1] - first
+            at = np.arange(lengths.sum()) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+            where = np.repeat((text[some] - low) * width, lengths) + self.place[at]
+            part = scores[low : low + RARE_TEXTS]
+            part += np.bincount(where, np.repeat(weights[some], lengths) * self.weight[at], minlength=part.size).reshape(part.shape)
         bound = scores.max(axis=2) + asked @ self.maxima
         done = np.zeros((texts, self.blocks), bool)
 
@@ -219,6 +223,7 @@ class ExampleIndex:
                 _, toxic, n = pools.pop()
                 pools[-1][1] += toxic
                 pools[-1][2] += n
+        self.own = []
         self.edges = np.array([p[0] for p in pools])
         self.shares = np.array([(p[1] + self.base) / (p[2] + 1) for p in pools])
 
@@ -310,6 +315,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     index = ExampleIndex(terms, weights, rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), zip(*lists, strict=True))
     index.calibrate()
     index.other, index.total = other, total
+    del held, rows, lists
+    release()
     return index
 
 
