@@ -65,7 +65,8 @@ class Fixtures:
         block = F.concat(F.when(srt, F.concat((F.col("ord") + 1).cast("string"), F.lit("\n"))).otherwise(""), clock("start"), F.lit(" --> "), clock("end"), F.lit("\n"), body)
         listed = c.select("rec_id", "ord", block.alias("b")).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("ord", "b"))).alias("l"))
         head = F.when(F.col("rec_id") % 5 == 0, "").otherwise("WEBVTT\n\n")
-        return listed.select("rec_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("text"))
+        files = listed.select("rec_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("text"))
+        return files.repartition(self.spark.sparkContext.defaultParallelism)  # few bytes, but costly to parse
 
     def keyframes(self) -> DataFrame:
         r = self.recordings().filter("rec_id % 10 <> 0").select("rec_id")

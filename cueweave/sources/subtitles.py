@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cueweave import schemas
 from cueweave.functions import text as T
+from cueweave.functions.columns import once
 
 VIDEO_SUFFIXES = (".mp4", ".mkv", ".mov")
 TRANSCRIPT_SUFFIXES = (".vtt", ".srt")
@@ -53,22 +54,20 @@ def parse_subtitles(files: DataFrame, default_speaker: str = DEFAULT_SPEAKER) ->
     without content are left out.
     """
     blocks = files.select("rec_id", F.posexplode(F.split(T.trim_ws(F.col("text")), r"\r?\n\r?\n+")).alias("block", "body"))
-    blocks = blocks.withColumn("lines", T.lines(F.col("body")))
-    timed = F.transform("lines", lambda x: x.rlike(T.TIMING))
-    blocks = blocks.withColumn("at", F.array_position(timed, F.lit(True)).cast("int")).filter("at > 0")
-    line = F.get("lines", F.col("at") - 1)
-    blocks = blocks.withColumn("clock", T.clock(line))
-    blocks = blocks.select("rec_id", "block", T.seconds(F.col("clock"), 0).alias("start"), T.seconds(F.col("clock"), 4).alias("end"), F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0))).alias("content"))
+    blocks = once(blocks.filter(F.col("body").rlike(T.TIMING)), lines=T.lines(F.col("body"))).drop("body")
+    blocks = once(blocks, at=F.array_position(F.transform("lines", lambda x: x.rlike(T.TIMING)), F.lit(True)).cast("int")).filter("at > 0")
+    rest = F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0)))
+    blocks = once(blocks, clock=T.clock(F.get("lines", F.col("at") - 1)), content=rest)
+    blocks = blocks.select("rec_id", "block", T.seconds(F.col("clock"), 0).alias("start"), T.seconds(F.col("clock"), 4).alias("end"), "content")
     blocks = blocks.filter((F.col("end") > F.col("start")) & (F.size("content") > 0))
-    voice = T.trim_ws(F.regexp_extract(F.col("content")[0], T.VOICE, 1))
-    has_voice = F.col("content")[0].rlike(T.VOICE)
     clean = F.filter(F.transform("content", lambda x: T.trim_ws(T.strip_tags(x))), lambda x: x != "")
-    blocks = blocks.withColumn("has_voice", has_voice).withColumn("voice", voice).withColumn("clean", clean).filter(F.size("clean") > 0)
-    named = ~F.col("has_voice") & F.col("clean")[0].rlike(T.PREFIX)
-    head = F.when(named, T.trim_ws(F.regexp_extract(F.col("clean")[0], T.PREFIX, 2))).otherwise(F.col("clean")[0])
-    speaker = F.when(F.col("has_voice"), F.col("voice")).when(named, T.trim_ws(F.regexp_extract(F.col("clean")[0], T.PREFIX, 1))).otherwise(F.lit(default_speaker))
+    blocks = once(blocks, has_voice=F.col("content")[0].rlike(T.VOICE), voice=T.trim_ws(F.regexp_extract(F.col("content")[0], T.VOICE, 1)), clean=clean)
+    blocks = once(blocks.filter(F.size("clean") > 0), named=~F.col("has_voice") & F.col("clean")[0].rlike(T.PREFIX))
+    head = F.when(F.col("named"), T.trim_ws(F.regexp_extract(F.col("clean")[0], T.PREFIX, 2))).otherwise(F.col("clean")[0])
+    speaker = F.when(F.col("has_voice"), F.col("voice")).when(F.col("named"), T.trim_ws(F.regexp_extract(F.col("clean")[0], T.PREFIX, 1))).otherwise(F.lit(default_speaker))
     said = F.filter(F.concat(F.array(head), F.slice("clean", 2, F.size("clean"))), lambda x: x != "")
-    cues = blocks.select("rec_id", "block", "start", "end", speaker.alias("speaker"), T.trim_ws(F.array_join(said, " ")).alias("word"))
+    blocks = once(blocks, said=T.trim_ws(F.array_join(said, " ")))
+    cues = blocks.select("rec_id", "block", "start", "end", speaker.alias("speaker"), F.col("said").alias("word"))
     return _numbered(cues.filter("word <> ''"), "block")
 
 
