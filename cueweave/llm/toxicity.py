@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from copy import copy
 from functools import cached_property
 
 import numpy as np
@@ -50,7 +51,7 @@ COMMON = 0.08
 BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
 BATCH_TEXTS, RARE_TEXTS = 64, 16
 FLUSH_TERMS = 100_000
-MEMO_WORDS = 50_000
+MEMO_TERMS = 120_000
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -60,34 +61,44 @@ def text_terms(text: str | None) -> list[str]:
     return words + [w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING]
 
 
-class Vocabulary(dict):
-    """Numbers of terms: the place of a term of the examples, or a negative hash for any
-    other.  Hashes of words seen before are remembered up to a bound."""
+def term_hashes(terms: Iterable[str]) -> np.ndarray:
+    """63-bit hashes; terms are told apart by them."""
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in terms], np.int64)
 
-    def __init__(self, terms: list[str]):
-        super().__init__((t, i) for i, t in enumerate(terms))
-        self.limit = len(self) + MEMO_WORDS
-        self.others: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            for known in self.others:
-                del self[known]
-            self.others = []
-        number = self[word] = -1 - (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1)
-        self.others.append(word)
-        return number
+class Vocabulary:
+    """Numbers of terms: the place of a term of the examples among their sorted hashes, or
+    -1 - hash for any other.  Terms seen before are remembered up to a bound."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.padded = hashes, np.append(hashes, -1)
+        self.memo: dict[str, int] = {}
+
+    def numbers(self, terms: Sequence[str]) -> list[int]:
+        found = list(map(self.memo.get, terms))
+        new = [t for t, n in zip(terms, found, strict=True) if n is None]
+        if new:
+            if len(self.memo) + len(new) > MEMO_TERMS:
+                self.memo = {}
+            own = term_hashes(new)
+            at = np.searchsorted(self.hashes, own)
+            held = self.padded[at] == own
+            made = dict(zip(new, np.where(held, at, -1 - own).tolist(), strict=True))
+            if len(new) <= MEMO_TERMS:
+                self.memo.update(made)
+            found = [made[t] if n is None else n for t, n in zip(terms, found, strict=True)]
+        return found
 
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         """The terms of a text and how often each occurs."""
         found = Counter(text_terms(text))
-        return [self[t] for t in found], list(found.values())
+        return self.numbers(list(found)), list(found.values())
 
 
 class ExampleIndex:
     """Block-max inverted index over example vectors of unit length."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[tuple]):
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: list[int], labels: list[int], counts: Iterable[tuple]):
         self.terms, self.factor = terms, weights
         vectors = [self.weigh(*c)[:2] for c in counts]
         filled = [i for i in np.argsort(np.array(ids, np.int64), kind="stable") if len(vectors[i][0])]
@@ -264,15 +275,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, neg = Counter(), Counter()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (pos if toxic else neg).update(set(text_terms(text)))
-            both = list(pos.keys() | neg.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([pos[t] for t in both], pa.int64()), pa.array([neg[t] for t in both], pa.int64())], ["term", "pos", "neg"])
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = term_hashes(set(text_terms(text.as_py())))
+                label = np.full(len(own), toxic, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(label), pa.array(1 - label)], ["term", "pos", "neg"])
 
-    found = texts.select("toxic", "text").mapInArrow(terms_of, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = spread(texts.select("toxic", "text")).mapInArrow(terms_of, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     held = found.toArrow().sort_by("term")  # bounded by max_examples
-    terms = held["term"].to_pylist()
+    terms = held["term"].to_numpy()
     ratio = _ratio(held["pos"].to_numpy().astype(float), held["neg"].to_numpy().astype(float), n_pos, n_neg)
 
     @releasing
@@ -284,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update([vocabulary[t] for t in set(text_terms(text.as_py()))])
+                seen.update(vocabulary.numbers(list(set(text_terms(text.as_py())))))
                 n += 1
                 if len(seen) >= FLUSH_TERMS:
                     yield told()
@@ -294,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield told()
 
     known_df, total, other = np.zeros(len(terms)), 0, None
-    if terms:
+    if len(terms):
         counted = spread(docs.select("text")).mapInArrow(frequencies, "term long, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         # A term outside the examples that one document holds needs no row: whoever asks for it is that document.
         counted = materialise(counted.filter("term >= 0 or n > 1 or docs > 0"), "frequencies")
@@ -328,11 +338,11 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
 
     @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = sent.value
+        examples = copy(sent.value)  # what the search adds goes with the task
         vocabulary = Vocabulary(examples.terms)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
+            for low in range(0, whole.num_rows, 500):
+                batch = whole.slice(low, 500)
                 texts: dict[str | None, int] = {}  # copies are searched once
                 which = [texts.setdefault(t, len(texts)) for t in batch.column(2).to_pylist()]
                 vectors, norms, hashes, times = [], [], [], []

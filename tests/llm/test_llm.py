@@ -172,7 +172,7 @@ def test_nearest_examples_are_exact():
         terms = np.unique(rng.zipf(1.3, rng.integers(1, 40)) % 200)
         counts.append((terms.tolist(), rng.integers(1, 5, len(terms)).tolist()))
     factor = np.linspace(1, 3, 200)
-    index = toxicity.ExampleIndex([str(i) for i in range(200)], factor, list(range(400)), [i % 3 == 0 for i in range(400)], counts)
+    index = toxicity.ExampleIndex(np.arange(200), factor, list(range(400)), [i % 3 == 0 for i in range(400)], counts)
     assert 0 < len(index.common) < 200 and index.blocks == 25
     dense = np.zeros((400, 200))
     for i, (terms, times) in enumerate(counts):
