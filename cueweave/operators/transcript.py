@@ -44,17 +44,18 @@ def segments_as_words(segments: DataFrame) -> DataFrame:
     return segments.select("rec_id", F.col("seg_ord").alias("ord"), F.col("text").alias("word"), "start", "end", "speaker", "overlap_candidate")
 
 
-def _cap_groups(items: Column, max_words: int, max_seconds: float) -> Column:
-    """For tokens in order: the number of the group each falls in, closing a group after a
-    token that fills it or is that far from its first cue's start."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("group"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("since"))
+def _cap_ends(items: Column, max_words: int, max_seconds: float) -> Column:
+    """For tokens in order: the places at which a group ends, after a token that fills it or
+    is that far from its first cue's start, and the last place."""
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("since"))
 
     def step(acc: Column, x: Column) -> Column:
         since, n = F.coalesce(acc["since"], x["cue_start"]), acc["n"] + 1
         close = (n >= max_words) | (x["cue_end"] - since >= max_seconds)
-        return F.struct(F.concat(acc["out"], F.array(acc["group"])).alias("out"), (acc["group"] + close.cast("int")).alias("group"), F.when(close, 0).otherwise(n).alias("n"), F.when(~close, since).alias("since"))
+        ends = F.when(close, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"])
+        return F.struct(ends.alias("ends"), (acc["at"] + 1).alias("at"), F.when(close, 0).otherwise(n).alias("n"), F.when(~close, since).alias("since"))
 
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    return F.array_union(F.aggregate(items, start, step, lambda acc: acc["ends"]), F.array(F.size(items) - 1))
 
 
 def sentences(cues: DataFrame, max_words: int = MAX_WORDS, max_seconds: float = MAX_SECONDS) -> DataFrame:
@@ -75,9 +76,10 @@ def sentences(cues: DataFrame, max_words: int = MAX_WORDS, max_seconds: float =
     islands = token.groupBy("rec_id", "hard").agg(F.array_sort(F.collect_list(item)).alias("items"))
     span = F.array_max(F.transform("items", lambda x: x["cue_end"])) - F.get("items", F.lit(0))["cue_start"]
     capped = (F.size("items") >= max_words) | (span >= max_seconds)
-    group = F.when(capped, _cap_groups(F.col("items"), max_words, max_seconds)).otherwise(F.transform("items", lambda x: F.lit(0)))
-    pieces = islands.withColumn("group", group).withColumn("number", F.explode(F.array_distinct("group")))
-    pieces = pieces.withColumn("own", F.filter("items", lambda x, i: F.get("group", i) == F.col("number")))
+    ends = F.when(capped, _cap_ends(F.col("items"), max_words, max_seconds)).otherwise(F.array(F.size("items") - 1))
+    pieces = islands.withColumn("ends", ends).select("rec_id", "hard", "items", "ends", F.posexplode("ends").alias("number", "last"))
+    begin = F.coalesce(F.get("ends", F.col("number") - 1) + 1, F.lit(0))
+    pieces = pieces.withColumn("own", F.slice("items", begin + 1, F.col("last") - begin + 1))
     first, last = F.get("own", F.lit(0)), F.element_at("own", -1)
     out = pieces.select("rec_id", "hard", "number", first["speaker"].alias("speaker"), first["from"].alias("start"), F.greatest(last["to"], first["from"]).alias("end"), F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("text"))
     number = F.row_number().over(Window.partitionBy("rec_id").orderBy("hard", "number")) - 1

@@ -131,6 +131,8 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "mode_instructions": lambda f: judging.with_instructions(f.jobs().select("rec_id", "mode")),
     "mode_summary": lambda f: reports.mode_summary(reports.edl_summary(_edl(f), f.recordings()), f.moded()),
     "file_gate": _file_gate,
+    "first_files": lambda f: subtitles.first_files(f.files().withColumn("rec_id", F.col("rec_id") % 100)),
+    "concat_lists": lambda f: reports.concat_list(reports.render_plan(_edl(f), f.keyframes())),
     "usable_files": _unusable,
     "aligned_words": lambda f: subtitles.parse_aligned(f.aligned()).select("rec_id", "ord", "word", "start", "end", "speaker"),
     "keyframe_times": lambda f: subtitles.parse_keyframes(f.keyframe_files()),
@@ -299,6 +301,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT mode, count(*) AS n_recordings, CAST(sum(n) AS BIGINT) AS n_ranges, round(sum(kept), 6) AS kept_s, round(sum(removed), 6) AS removed_s, round(max(longest), 6) AS longest_s, round(sum(removed) / nullif(sum(kept) + sum(removed), 0), 6) AS removed_share FROM one JOIN moded USING (rec_id) GROUP BY mode""",
         "file_gate": """WITH p AS (SELECT c_custkey AS rec_id, 'in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1] AS path FROM customer)
           SELECT *, CASE WHEN rec_id % 7 < 3 THEN 'video' WHEN rec_id % 7 < 5 THEN 'transcript' ELSE 'rejected' END AS kind FROM p""",
+        "first_files": """SELECT c_custkey % 100 AS rec_id, min('in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1]) AS path FROM customer GROUP BY ALL""",
+        "concat_lists": f"""WITH RECURSIVE {_EDL} SELECT rec_id, string_agg('file ''clip_' || lpad(CAST(range_ord AS VARCHAR), 4, '0') || '.mp4''', chr(10) ORDER BY range_ord) AS list FROM edl GROUP BY rec_id""",
         "usable_files": f"WITH {_CUES} SELECT rec_id, CASE WHEN rec_id % 7 = 0 THEN 0 ELSE count(*) END AS n_cues, CASE WHEN rec_id % 7 = 0 THEN 'no transcript' END AS reason FROM cues GROUP BY rec_id",
         "aligned_words": f"""WITH {_TOK} SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY turn * 20000 + k * 250, turn, k) - 1 AS ord, word, (turn * 20000 + k * 250) / 1000.0::DOUBLE AS start,
             (turn * 20000 + k * 250 + 200) / 1000.0::DOUBLE AS "end", CASE WHEN k % 7 <> 6 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM tok WHERE k % 11 <> 10""",

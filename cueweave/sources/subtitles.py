@@ -32,6 +32,11 @@ def read_subtitles(spark: SparkSession, folder: str) -> DataFrame:
     return accepted.select(F.xxhash64("path").alias("rec_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
 
 
+def first_files(files: DataFrame, key: str = "rec_id") -> DataFrame:
+    """(key, path): of several files for one key the first by name."""
+    return files.groupBy(key).agg(F.min("path").alias("path"))
+
+
 def load_transcripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues, unusable) of (rec_id, text) files: files that give no cue are rows of ``unusable``
     (rec_id, reason), never an error."""
