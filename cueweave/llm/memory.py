@@ -11,6 +11,20 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+TEXTS_PER_BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand at most TEXTS_PER_BATCH rows to a Python worker at once.
+
+    Texts are long, and both the executor and its workers hold a whole batch; results
+    do not depend on it.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= TEXTS_PER_BATCH:
+        spark.conf.set(setting, TEXTS_PER_BATCH)
 
 
 def release() -> None:

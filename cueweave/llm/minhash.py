@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise, spread
-from cueweave.llm.memory import release, releasing
+from cueweave.llm.memory import release, releasing, small_batches
 
 SLOTS = 1 << 20
 BANDS, ROWS = 42, 6
@@ -297,6 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns (doc_id, n_shingles, component_id, kept) with a row for each input
     row; the smallest identifier of each component is kept.
     """
+    small_batches(docs.sparkSession)
     docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     sketch = materialise(sketches(docs, words, bands, rows), "sketches")
     classes = sketch.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import spread
-from cueweave.llm.memory import releasing
+from cueweave.llm.memory import releasing, small_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -55,7 +55,11 @@ class Vocabulary:
 
         self.path = path or public_tokenizers.path("byte_bpe_50k.json")
         with open(self.path, encoding="utf-8") as file:
-            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
+            text = file.read()
+        # Only this list is read; the vocabulary itself would take much memory.
+        added, _ = json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))
+        self.special = [token["content"] for token in added]
+        del text
         ranks = public_tokenizers.path(os.path.basename(self.path).replace(".json", ".tiktoken"))
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -145,6 +149,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     Returns a row for each piece: (doc_id, start, length, ids, doc_tokens,
     sequence_id, offset), ``ids`` being little-endian unsigned 32-bit token ids.
     """
+    small_batches(docs.sparkSession)
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

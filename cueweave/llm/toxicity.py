@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise, spread
-from cueweave.llm.memory import release, releasing
+from cueweave.llm.memory import release, releasing, small_batches
 
 MAX_EXAMPLES = 4000
 NEIGHBOURS = 25
@@ -265,6 +265,7 @@ def _ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarr
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> ExampleIndex:
     """The index of at most ``max_examples`` labelled documents (chosen by a hash of the
     identifier) over all their terms."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
@@ -333,6 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) of every document.  Texts are searched in one map; the
     weights of terms outside the examples join its written result by hash."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
