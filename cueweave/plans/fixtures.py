@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueweave.functions.storage import spread
 from cueweave.functions.text import tokens
 from cueweave.operators import transcript
 from cueweave.operators.judging import batches
@@ -21,7 +20,7 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def tok(self) -> DataFrame:
-        t = spread(self.table("conversations").select("conv_id", "turn", "role", "text"))  # tokenising is what costs
+        t = self.table("conversations")
         t = t.select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l"))
         return t.select("rec_id", "turn", "speaker", F.size("l").alias("n"), F.posexplode("l").alias("k", "word"))
 
@@ -32,7 +31,7 @@ class Fixtures:
         return t.select("rec_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), "word", (F.col("s_ms") / F.lit(1000.0)).alias("start"), (F.col("e_ms") / F.lit(1000.0)).alias("end"), "speaker", F.lit(False).alias("overlap_candidate"))
 
     def cues(self) -> DataFrame:
-        t = spread(self.table("conversations").select("conv_id", "turn", "role", "text"))
+        t = self.table("conversations")
         t = t.select(F.col("conv_id").alias("rec_id"), "turn", F.col("role").alias("speaker"), tokens(F.col("text")).alias("l")).filter("size(l) > 0")
         order = Window.partitionBy("rec_id").orderBy("turn")
         start = F.col("turn") * 10000
