@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import exact_dedup, langid, line_dedup, minhash, mixing, mtree, packing, pii, toxicity, warc
+from cueweave.llm import exact_dedup, langid, line_dedup, minhash, mixing, mtree, packing, pii, repair, toxicity, warc
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 #: ASCII white space, in SQL.
@@ -68,11 +68,66 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")), present=F.col("here"))
+
+
 def queries() -> dict:
-    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash]
+    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash, op12_repair]
     return {f.__name__: f for f in named}
 
 
+#: Turns from the last to the first carry the cheapest (cost, audit) from each state of the grammar.
+_REPAIR = r"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+    ), told AS (
+        SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+            lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: z::BIGINT)), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295::BIGINT) % 20 AS kind FROM raw
+    ), after AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM told, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS ini,
+               NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM after
+    ), doubled AS (
+        SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+               lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS odd FROM placed
+    ), turns AS (
+        SELECT *, blank OR dup AS dead, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM doubled
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+               count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE odd) AS illegal, count(*) AS n
+        FROM turns GROUP BY conv_id
+    ), walk AS (
+        SELECT conv_id, n + 1 AS i, [{'c': 0, 'a': ''}, {'c': 4, 'a': 'II'}, {'c': 2, 'a': 'I'}, {'c': 0, 'a': ''}] AS st FROM counted
+        UNION ALL
+        SELECT conv_id, i, [list_sort([b[1], {'c': 2 + u.c, 'a': 'I' || u.a}])[1], list_sort([b[2], {'c': 2 + u.c, 'a': 'I' || u.a}])[1], u, list_sort([b[4], {'c': 2 + b[3].c, 'a': 'I' || b[3].a}])[1]]
+        FROM (SELECT *, list_sort([b[3], {'c': 2 + b[4].c, 'a': 'I' || b[4].a}])[1] AS u FROM (
+            SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda s: list_sort(list_concat([{'c': 3 + st[s].c, 'a': 'D' || st[s].a}], CASE WHEN dead THEN [] ELSE
+                list_concat([{'c': 2 + extra + st[CASE s WHEN 3 THEN 4 ELSE 3 END].c, 'a': 'R' || st[CASE s WHEN 3 THEN 4 ELSE 3 END].a}],
+                    CASE WHEN ini = (CASE s WHEN 3 THEN 'a' ELSE 'u' END) THEN [{'c': extra + st[CASE s WHEN 3 THEN 4 ELSE 3 END].c, 'a': 'K' || st[CASE s WHEN 3 THEN 4 ELSE 3 END].a}]
+                         WHEN ini = 's' AND s = 1 THEN [{'c': extra + st[2].c, 'a': 'K' || st[2].a}] ELSE [] END) END))[1]) AS b
+            FROM (SELECT t.conv_id, t.i, t.ini, t.dead, CASE WHEN t.cut THEN 1 ELSE 0 END AS extra, w.st FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i - 1)))
+    ), found AS (
+        SELECT conv_id, st[1].c AS cost, st[1].a AS audit FROM walk WHERE i = 1
+    ), letters AS (
+        SELECT conv_id, audit, p, audit[p] AS letter FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM found)
+    ), numbered AS (
+        SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id) AS total
+        FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+    ), lines AS (
+        SELECT n.conv_id, p, CASE WHEN letter IN ('I', 'R') THEN CASE WHEN (place + 1 + total) % 2 = 0 THEN 'user' ELSE 'assistant' END ELSE role END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END AS line
+        FROM numbered n LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM n.conv_id AND t.i = n.i WHERE letter <> 'D'
+    ), texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS whole FROM lines GROUP BY conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM c.conv_id
+      LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; the other queries are tested against brute force, held-out accuracy or round trips."""
     return {
@@ -109,4 +164,5 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
             )
             SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+        "op12_repair": _REPAIR,
     }
