@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import exact_dedup, langid, line_dedup, minhash, mixing, mtree, packing, pii, repair, toxicity, warc
+from cueweave.llm import divergence, exact_dedup, langid, line_dedup, minhash, mixing, mtree, packing, pii, repair, toxicity, warc
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 #: ASCII white space, in SQL.
@@ -68,12 +68,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")), present=F.col("here"))
 
 
 def queries() -> dict:
-    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash, op12_repair]
+    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash, op11_divergence, op12_repair]
     return {f.__name__: f for f in named}
 
 
@@ -164,5 +168,37 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
             )
             SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+        "op11_divergence": r"""
+            WITH d AS (
+                SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+            ), said AS (
+                SELECT row, lang, source, translate(word, 'UPPER', 'LOWER') AS term FROM (
+                    SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM d)
+            ), kept AS (
+                SELECT lang, term, count(*) AS total FROM said GROUP BY lang, term HAVING count(DISTINCT row) >= 10
+            ), langs AS (
+                SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+            ), groups AS (SELECT DISTINCT lang, source FROM d), counts AS (
+                SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL
+            ), sizes AS (
+                SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL
+            ), shares AS (
+                SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                       1 + CAST(1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0) + 2 * l.v) AS BIGINT) AS p,
+                       1 + CAST(1000000000::HUGEINT * (k.total + 2) // (l.n + 2 * l.v) AS BIGINT) AS q
+                FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+                LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+            ), pairs AS (
+                SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+                FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+            ), parts AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+                FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+                UNION ALL
+                SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+            ), ranked AS (
+                SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+            )
+            SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""".replace("UPPER", UPPER).replace("LOWER", LOWER),
         "op12_repair": _REPAIR,
     }
