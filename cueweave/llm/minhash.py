@@ -280,7 +280,7 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table
     return materialise(dealt.groupBy("cluster", "across", "i", "j").applyInPandas(test, "a long, b long"), "open-links")
 
 
-def _repeated(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+def repeated_ids(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, a, b) of identifiers whose rows are not all in one class: a is the least of
     their classes' representatives, b each of them."""
     rows = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_digest").alias("low"), F.max("set_digest").alias("high"), F.count("set_digest").alias("filled"), F.count(F.lit(1)).alias("n"))
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = materialise(confirm(pairs, table, percent), "tested")
     labels = star_components(tested.filter("linked"))
     more = _open_links(members, classes, labels, table, percent, block_members)
-    several = materialise(_repeated(sketch, classes), "repeated")
+    several = materialise(repeated_ids(sketch, classes), "repeated")
     more = more.unionByName(several.filter("a <> b").select("a", "b"))
     if not more.isEmpty():
         # Links between members are links between their components.

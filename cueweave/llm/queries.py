@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueweave.llm import divergence, exact_dedup, langid, line_dedup, minhash, mixing, mtree, packing, pii, repair, toxicity, warc
+from cueweave.llm import divergence, exact_dedup, langid, line_dedup, minhash, mixing, mtree, ngram_join, packing, pii, repair, toxicity, warc
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 #: ASCII white space, in SQL.
@@ -76,8 +76,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")), present=F.col("here"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash, op11_divergence, op12_repair]
+    named = [op1_line_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_mtree, op6_pii, op7_warc, op8_mixing, op9_langid, op10_minhash, op11_divergence, op12_repair, op13_ngram_join]
     return {f.__name__: f for f in named}
 
 
