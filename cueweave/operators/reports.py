@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.functions import scan as S
+
 TOLERANCE = 2.0
 
 
-def keyframe_method(ranges: DataFrame, keyframes: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def keyframe_method(ranges: DataFrame, keyframes: DataFrame, tolerance: float = TOLERANCE, bucket_seconds: float | None = None) -> DataFrame:
     """Ranges with the distance to the nearest keyframe and the cut method."""
     extra = F.struct("range_ord", "end").alias("r")
     both = ranges.select("rec_id", F.col("start").alias("t"), F.lit(1).alias("side"), extra).unionByName(keyframes.select("rec_id", "t", F.lit(0).alias("side")), allowMissingColumns=True)
-    order = Window.partitionBy("rec_id").orderBy("t", "side")
     mark = F.when(F.col("side") == 0, F.col("t"))
-    before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("distance", F.coalesce(F.least(F.col("t") - before, after - F.col("t")), F.lit(float("inf")))).filter("side = 1")
+    both = S.scan(both, ["rec_id"], ["t", "side"], S.by_time("t", bucket_seconds), before=S.LastSeen(mark), after=S.NextSeen(mark))
+    near = both.withColumn("distance", F.coalesce(F.least(F.col("t") - F.col("before"), F.col("after") - F.col("t")), F.lit(float("inf")))).filter("side = 1")
     method = F.when(F.col("distance") <= tolerance, "copy").otherwise("reencode")
     return near.select("rec_id", "r.range_ord", F.col("t").alias("start"), "r.end", "distance", method.alias("method"))
 
@@ -25,8 +25,8 @@ def render_plan(ranges: DataFrame, keyframes: DataFrame, suffix: str = ".mp4") -
     """A row for each clip: file name, method, start and duration, and how clips are joined."""
     cut = keyframe_method(ranges, keyframes)
     clip = F.concat(F.format_string("clip_%04d", "range_ord"), F.lit(suffix))
-    count = F.count(F.lit(1)).over(Window.partitionBy("rec_id"))
-    return cut.select("rec_id", "range_ord", clip.alias("clip"), "method", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.0)).alias("duration"), F.when(count == 1, "copyfile").otherwise("concat").alias("join_by"))
+    counts = ranges.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"))
+    return cut.join(counts, "rec_id").select("rec_id", "range_ord", clip.alias("clip"), "method", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.0)).alias("duration"), F.when(F.col("n") == 1, "copyfile").otherwise("concat").alias("join_by"))
 
 
 def concat_list(plan: DataFrame) -> DataFrame:

@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueweave.functions import scan as S
+from cueweave.functions.columns import once
 from cueweave.functions.text import ends_sentence, tokens, trim_ws
-from cueweave.operators.intervals import word_at
+from cueweave.operators.intervals import BUCKET_RANGES, cut_lineage, word_at
 
 MAX_WORDS, MAX_SECONDS = 40, 20.0
+BLOCK_TOKENS, BUCKET_CUES = 16_384, 4096
 
 
-def flag_overlaps(words: DataFrame) -> DataFrame:
+def flag_overlaps(words: DataFrame, bucket_seconds: float | None = S.BUCKET_SECONDS) -> DataFrame:
     """Flag both words of an adjacent pair that overlap in time and differ in speaker."""
-    order = Window.partitionBy("rec_id").orderBy("start", "ord")
-    before = (F.col("start") < F.lag("end").over(order)) & (F.col("speaker") != F.lag("speaker").over(order))
-    after = (F.lead("start").over(order) < F.col("end")) & (F.lead("speaker").over(order) != F.col("speaker"))
+    seen = F.struct("start", "end", "speaker")
+    near = S.scan(words, ["rec_id"], ["start", "ord"], S.by_time(seconds=bucket_seconds), __before=S.Before(seen), __after=S.After(seen))
+    before = (F.col("start") < F.col("__before.end")) & (F.col("speaker") != F.col("__before.speaker"))
+    after = (F.col("__after.start") < F.col("end")) & (F.col("__after.speaker") != F.col("speaker"))
     flag = F.col("overlap_candidate") | F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-    return words.withColumn("overlap_candidate", flag)
+    return near.withColumn("overlap_candidate", flag).select(*words.columns)
 
 
-def runs(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """Number (``run``, from 0) the runs of equal ``value`` within each ``key``."""
-    by = Window.partitionBy(key).orderBy(*order)
-    changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"), F.lit(0))
-    first = F.row_number().over(by) == 1
-    return rows.withColumn("__new", F.when(first, 0).otherwise(changed)).withColumn("run", F.sum("__new").over(by)).drop("__new")
-
-
-def speaker_turns(words: DataFrame) -> DataFrame:
+def speaker_turns(words: DataFrame, bucket_seconds: float | None = S.BUCKET_SECONDS) -> DataFrame:
     """Runs of one speaker; the end is the last word's, not the latest."""
-    marked = runs(words, "rec_id", "speaker", ["start", "ord"])
+    marked = S.runs(words, ["rec_id"], "speaker", ["start", "ord"], S.by_time(seconds=bucket_seconds))
     place = F.struct("start", "ord")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ord", "word"))), lambda x: x["word"]), " ")
     turns = marked.groupBy("rec_id", F.col("run").alias("seg_ord")).agg(
@@ -44,46 +43,112 @@ def segments_as_words(segments: DataFrame) -> DataFrame:
     return segments.select("rec_id", F.col("seg_ord").alias("ord"), F.col("text").alias("word"), "start", "end", "speaker", "overlap_candidate")
 
 
-def _cap_ends(items: Column, max_words: int, max_seconds: float) -> Column:
-    """For tokens in order: the places at which a group ends, after a token that fills it or
-    is that far from its first cue's start, and the last place."""
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("since"))
+def group_starts(stop: np.ndarray, speaker: np.ndarray, known: np.ndarray, cue_start: np.ndarray, cue_end: np.ndarray, max_words: int, max_seconds: float) -> np.ndarray:
+    """For each token, where the next sentence starts if one starts at this token."""
+    n = len(stop)
+    at = np.arange(n)
+    hard = stop.copy()
+    hard[:-1] |= known[:-1] & known[1:] & (speaker[:-1] != speaker[1:])
+    ends = np.minimum.accumulate(np.where(hard, at, n + max_words)[::-1])[::-1]
+    after = np.minimum(at + max_words, ends + 1)
+    for k in range(min(max_words, n)):
+        open_ = after[: n - k] > at[: n - k] + k + 1
+        if not open_.any():
+            break
+        far = open_ & (cue_end[k:] - cue_start[: n - k] >= max_seconds)
+        after[: n - k][far] = at[: n - k][far] + k + 1
+    return after
+
+
+def _block_columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    own = lambda c: table.column(c).combine_chunks()
+    speaker = own("said_by")
+    return own("stop").to_numpy(zero_copy_only=False), speaker.fill_null(0).to_numpy(), speaker.is_valid().to_numpy(zero_copy_only=False), own("cue_start").to_numpy(), own("cue_end").to_numpy()
+
+
+def _block_exits(tokens_: DataFrame, max_words: int, max_seconds: float, size: int) -> DataFrame:
+    """(rec_id, block, exits, counts): for each place at which a block's first sentence may
+    start, the place in the next block, and the number of sentences that start in this one."""
+
+    def exits(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        after = group_starts(*_block_columns(table), max_words, max_seconds).tolist()
+        out, count = [0] * (size + max_words), [0] * (size + max_words)
+        for p in range(min(len(after), size) - 1, -1, -1):
+            q = after[p]
+            out[p], count[p] = (q - size, 1) if q >= size else (out[q], count[q] + 1)
+        return pa.table({"rec_id": [key[0].as_py()], "block": [key[1].as_py()], "exits": [out[:max_words]], "counts": [count[:max_words]]}, pa.schema([("rec_id", pa.int64()), ("block", pa.int64()), ("exits", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
 
-    def step(acc: Column, x: Column) -> Column:
-        since, n = F.coalesce(acc["since"], x["cue_start"]), acc["n"] + 1
-        close = (n >= max_words) | (x["cue_end"] - since >= max_seconds)
-        ends = F.when(close, F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"])
-        return F.struct(ends.alias("ends"), (acc["at"] + 1).alias("at"), F.when(close, 0).otherwise(n).alias("n"), F.when(~close, since).alias("since"))
+    return tokens_.groupBy("rec_id", "block").applyInArrow(exits, "rec_id long, block long, exits array<int>, counts array<int>")
 
-    return F.array_union(F.aggregate(items, start, step, lambda acc: acc["ends"]), F.array(F.size(items) - 1))
 
+def _block_entries(exits: DataFrame) -> DataFrame:
+    """(rec_id, block, entry, number): where the first sentence of a block starts, and how
+    many started before.  A recording has one short row for each block here."""
 
-def sentences(cues: DataFrame, max_words: int = MAX_WORDS, max_seconds: float = MAX_SECONDS) -> DataFrame:
+    def follow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        entry, number, rows = 0, 0, []
+        for exits_, counts in zip(table.column("exits").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            rows.append((entry, number))
+            entry, number = exits_[entry], number + counts[entry]
+        return pa.table({"rec_id": table.column("rec_id"), "block": table.column("block"), "entry": pa.array([e for e, _ in rows], pa.int32()), "number": pa.array([n for _, n in rows], pa.int64())})
+
+    return exits.groupBy("rec_id").applyInArrow(follow, "rec_id long, block long, entry int, number long")
+
+
+def sentences(cues: DataFrame, max_words: int = MAX_WORDS, max_seconds: float = MAX_SECONDS, block_tokens: int = BLOCK_TOKENS, bucket_cues: int = BUCKET_CUES) -> DataFrame:
     """Regroup cues into sentences with times interpolated inside cues.
 
-    Speaker changes and sentence ends close a group whatever came before, so they
-    are found with windows; only the rare groups that reach a cap are folded.
+    A sentence ends at a token that ends one, before another speaker, when it is full, and
+    when a token's cue ends ``max_seconds`` after its first token's cue began: so where it
+    ends depends on where it starts.  A recording's tokens are cut into blocks, each with
+    the few tokens after it that its last sentence may take.  For recordings of more than
+    a block, each block tells where the next one's first sentence starts for every place
+    at which its own may start; these are followed from block to block.  So neither a
+    recording nor a passage without punctuation has to lie in one task.
     """
-    said = cues.withColumn("list", tokens(F.col("word")))
-    token = said.select("rec_id", "ord", "speaker", F.col("start").alias("cue_start"), F.col("end").alias("cue_end"), F.size("list").alias("n"), F.posexplode("list").alias("k", "token"))
-    share = F.col("cue_end") - F.col("cue_start")
-    token = token.withColumn("from", F.when(F.col("n") <= 1, F.col("cue_start")).otherwise(F.col("cue_start") + (F.col("k") / F.col("n")) * share))
-    token = token.withColumn("to", F.when(F.col("n") <= 1, F.col("cue_end")).otherwise(F.col("cue_start") + ((F.col("k") + 1) / F.col("n")) * share))
-    order = Window.partitionBy("rec_id").orderBy("ord", "k")
-    new = (F.lag("speaker").over(order) != F.col("speaker")) | F.lag(ends_sentence(F.col("token"))).over(order)
-    token = token.withColumn("hard", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order))
-    item = F.struct("ord", "k", "token", "from", "to", "cue_start", "cue_end", "speaker")
-    islands = token.groupBy("rec_id", "hard").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    span = F.array_max(F.transform("items", lambda x: x["cue_end"])) - F.get("items", F.lit(0))["cue_start"]
-    capped = (F.size("items") >= max_words) | (span >= max_seconds)
-    ends = F.when(capped, _cap_ends(F.col("items"), max_words, max_seconds)).otherwise(F.array(F.size("items") - 1))
-    pieces = islands.withColumn("ends", ends).select("rec_id", "hard", "items", "ends", F.posexplode("ends").alias("number", "last"))
-    begin = F.coalesce(F.get("ends", F.col("number") - 1) + 1, F.lit(0))
-    pieces = pieces.withColumn("own", F.slice("items", begin + 1, F.col("last") - begin + 1))
-    first, last = F.get("own", F.lit(0)), F.element_at("own", -1)
-    out = pieces.select("rec_id", "hard", "number", first["speaker"].alias("speaker"), first["from"].alias("start"), F.greatest(last["to"], first["from"]).alias("end"), F.array_join(F.transform("own", lambda x: x["token"]), " ").alias("text"))
-    number = F.row_number().over(Window.partitionBy("rec_id").orderBy("hard", "number")) - 1
-    return out.select("rec_id", number.cast("long").alias("seg_ord"), "speaker", "start", "end", "text", F.lit(False).alias("overlap_candidate"))
+    block_tokens = max(block_tokens, max_words)
+
+    def dealt(some: DataFrame) -> DataFrame:
+        said = once(some, list=tokens(F.col("word"))).withColumn("n", F.size("list").cast("long"))
+        said = S.scan(said.drop("word"), ["rec_id"], ["ord"], F.floor(F.col("ord") / bucket_cues), upto=S.Sum("n"))
+        token = said.select("rec_id", "speaker", F.xxhash64("speaker").alias("h"), F.col("start").alias("cue_start"), F.col("end").alias("cue_end"), "n", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("list").alias("k", "token"))
+        share = F.col("cue_end") - F.col("cue_start")
+        at = lambda k: F.col("cue_start") + (k / F.col("n")) * share
+        pos = F.col("before") + F.col("k")
+        token = token.select(
+            "rec_id", pos.alias("pos"), "speaker", F.when(F.col("speaker").isNotNull(), F.col("h")).alias("said_by"), "token", ends_sentence(F.col("token")).alias("stop"), "cue_start", "cue_end",
+            F.when(F.col("n") <= 1, F.col("cue_start")).otherwise(at(F.col("k"))).alias("from"), F.when(F.col("n") <= 1, F.col("cue_end")).otherwise(at(F.col("k") + 1)).alias("to"),
+        )
+        block = F.floor(F.col("pos") / block_tokens).cast("long")
+        ahead = (F.col("pos") % block_tokens < max_words) & (block > 0)
+        return token.withColumn("block", F.explode(F.when(ahead, F.array(block, block - 1)).otherwise(F.array(block))))
+
+    # A token and the blank before it are two characters at least.
+    long = cues.groupBy("rec_id").agg(F.sum(F.length("word") + 1).alias("chars")).filter(F.col("chars") > 2 * block_tokens).select("rec_id")
+    narrow = dealt(cues.join(long, "rec_id", "left_semi")).select("rec_id", "block", "pos", "said_by", "stop", "cue_start", "cue_end")
+    entries = _block_entries(_block_exits(narrow, max_words, max_seconds, block_tokens))
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        after = group_starts(*_block_columns(table), max_words, max_seconds)
+        size = min(len(after), block_tokens)
+        entry, number = table.column("entry")[0].as_py() or 0, table.column("number")[0].as_py() or 0
+        starts, p = [], entry
+        while p < size:
+            starts.append(p)
+            p = int(after[p])
+        ends = np.minimum(after[starts], len(after)) if starts else np.zeros(0, np.int64)
+        own = lambda c, at: table.column(c).take(pa.array(at, pa.int64()))
+        words_ = table.column("token").combine_chunks().slice(starts[0] if starts else 0)
+        offsets = np.append(starts, ends[-1:]) - (starts[0] if starts else 0)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words_), " ") if starts else pa.array([], pa.string())
+        begin, end = own("from", starts), own("to", ends - 1)
+        return pa.table([own("rec_id", starts), pa.array(number + np.arange(len(starts)), pa.int64()), own("speaker", starts), begin, pc.max_element_wise(begin, end), text], ["rec_id", "seg_ord", "speaker", "start", "end", "text"])
+
+    whole = dealt(cues).join(entries, ["rec_id", "block"], "left").groupBy("rec_id", "block")
+    return whole.applyInArrow(group, "rec_id long, seg_ord long, speaker string, start double, end double, text string").withColumn("overlap_candidate", F.lit(False))
 
 
 def flags_to_segments(segments: DataFrame, flagged: DataFrame, pairing: str = "position") -> DataFrame:
@@ -94,13 +159,16 @@ def flags_to_segments(segments: DataFrame, flagged: DataFrame, pairing: str = "p
     return segments.join(flags, ["rec_id", "seg_ord"], "left").withColumn("overlap_candidate", F.coalesce("flag", "overlap_candidate")).drop("flag")
 
 
-def covered(words: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Words with ``range``, the disjoint kept range that holds all of them, or null."""
+def _held(words: DataFrame, marks: DataFrame, bucket_seconds: float | None) -> DataFrame:
+    """Words with ``range``, the mark (rec_id, ord, start, end, ...) of the disjoint range that holds all of them."""
     points = words.select("rec_id", F.col("start").alias("t"), F.struct(*[c for c in words.columns if c != "rec_id"]).alias("w"))
-    marks = ranges.select("rec_id", F.col("range_ord").alias("ord"), "start", "end")
-    found = word_at(points, marks)
-    held = F.when(F.col("w.end") <= F.col("found.end"), F.col("found"))
-    return found.select("rec_id", "w.*", held.alias("range"))
+    found = word_at(points, marks, bucket_seconds)
+    return found.select("rec_id", "w.*", F.when(F.col("w.end") <= F.col("found.end"), F.col("found")).alias("range"))
+
+
+def covered(words: DataFrame, ranges: DataFrame, bucket_seconds: float | None = S.BUCKET_SECONDS) -> DataFrame:
+    """Words with ``range``, the disjoint kept range that holds all of them, or null."""
+    return _held(words, ranges.select("rec_id", F.col("range_ord").alias("ord"), "start", "end"), bucket_seconds)
 
 
 def kept_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -111,11 +179,11 @@ def cut_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
     return covered(words, ranges).filter("range is null").drop("range")
 
 
-def remap_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
+def remap_words(words: DataFrame, ranges: DataFrame, bucket_seconds: float | None = S.BUCKET_SECONDS) -> DataFrame:
     """Kept words on the shortened time line."""
-    earlier = Window.partitionBy("rec_id").orderBy("range_ord").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("rec_id", "range_ord", F.coalesce(F.sum(F.col("end") - F.col("start")).over(earlier), F.lit(0.0)).alias("offset"))
-    held = covered(words, ranges).filter("range is not null").withColumn("range_ord", F.col("range.ord"))
-    held = held.join(offsets, ["rec_id", "range_ord"])
-    move = lambda c: (F.col(c) - F.col("range.start")) + F.col("offset")
+    bucket = None if bucket_seconds is None else F.floor(F.col("range_ord") / BUCKET_RANGES)
+    offsets = S.scan(cut_lineage(ranges.select("rec_id", "range_ord", "start", "end"), bucket_seconds), ["rec_id"], ["range_ord"], bucket, __upto=S.Sum(F.col("end") - F.col("start")))
+    marks = offsets.select("rec_id", F.col("range_ord").alias("ord"), "start", "end", (F.col("__upto") - (F.col("end") - F.col("start"))).alias("offset"))
+    held = _held(words, marks, bucket_seconds).filter("range is not null")
+    move = lambda c: (F.col(c) - F.col("range.start")) + F.col("range.offset")
     return held.select("rec_id", "ord", "word", move("start").alias("start"), move("end").alias("end"), "speaker", "overlap_candidate")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueweave.functions.storage import materialise
 from cueweave.functions.text import tokens
 from cueweave.operators import transcript
 from cueweave.operators.judging import batches
@@ -14,7 +15,7 @@ EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
 
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._words, self._turns = spark, sf_dir, None, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -25,6 +26,12 @@ class Fixtures:
         return t.select("rec_id", "turn", "speaker", F.size("l").alias("n"), F.posexplode("l").alias("k", "word"))
 
     def words(self) -> DataFrame:
+        """Made and written once."""
+        if self._words is None:
+            self._words = materialise(self._made_words(), "fixture-words")
+        return self._words
+
+    def _made_words(self) -> DataFrame:
         s = F.col("turn") * 20000 + F.col("k") * 250
         t = self.tok().withColumn("s_ms", s).withColumn("e_ms", s + 200 + (F.col("k") % 3) * 50)
         order = Window.partitionBy("rec_id").orderBy("s_ms", "turn", "k")
@@ -42,8 +49,14 @@ class Fixtures:
         e = s + F.round(F.col("value") * 100).cast("long") * 6000000
         return self.table("events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("range_ord"), (s / F.lit(1e6)).alias("start"), (e / F.lit(1e6)).alias("end"))
 
+    def turns(self) -> DataFrame:
+        """Made and written once."""
+        if self._turns is None:
+            self._turns = materialise(transcript.speaker_turns(self.words()), "fixture-turns")
+        return self._turns
+
     def decisions(self) -> DataFrame:
-        t = transcript.speaker_turns(self.words())
+        t = self.turns()
         rule = ((F.col("rec_id") * 7 + F.col("seg_ord") * 3) % 5).isin(0, 1)
         return t.select("rec_id", "seg_ord", F.round(F.col("start") + 0.1, 3).alias("start"), F.round(F.col("end") - 0.05, 3).alias("end"), F.when(rule, "remove").otherwise("keep").alias("decision"), F.lit("r").alias("reason"))
 
@@ -96,7 +109,7 @@ class Fixtures:
         return p.select("rec_id", F.to_json(doc).alias("json"))
 
     def responses(self) -> DataFrame:
-        b = batches(transcript.speaker_turns(self.words()))
+        b = batches(self.turns())
         item = F.struct("pos", "start", "end")
         g = b.groupBy("rec_id", "chunk_id").agg(F.array_sort(F.collect_list(item)).alias("l")).withColumn("n_segments", F.size("l").cast("long"))
         kind = (F.col("rec_id") + F.col("chunk_id")) % 6

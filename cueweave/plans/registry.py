@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueweave.functions import scan
 from cueweave.functions.text import strip_tags
 from cueweave.operators import intervals, jobs, judging, reports, transcript
 from cueweave.operators.highlights import highlight_corpus
@@ -15,6 +16,7 @@ from cueweave.plans.fixtures import Fixtures
 from cueweave.sources import media, subtitles
 
 RANGE_GAP, RANGE_TINY = 3600.0, 7200.0
+EVENT_BUCKET_US, RANGE_BUCKET = 100 * 86_400_000_000, 100 * 86_400.0
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def _spans(f: Fixtures) -> DataFrame:
 
 
 def _event_runs(f: Fixtures) -> DataFrame:
-    r = transcript.runs(f.table("events"), "user_id", "event_type", ["ts", "event_id"])
+    r = scan.runs(f.table("events"), ["user_id"], "event_type", ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")) / EVENT_BUCKET_US)
     return r.groupBy("user_id", "run").agg(F.min_by("event_type", "event_id").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
@@ -96,8 +98,8 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "overlap_flags": lambda f: transcript.flag_overlaps(f.words()).select("rec_id", "ord", "overlap_candidate"),
     "speaker_turns": lambda f: transcript.speaker_turns(f.words()),
     "event_runs": _event_runs,
-    "coalesce_ranges": lambda f: intervals.coalesce_ranges(_ranges(f)),
-    "merge_gaps": lambda f: intervals.merge_small_gaps(_ranges(f), RANGE_GAP),
+    "coalesce_ranges": lambda f: intervals.coalesce_ranges(_ranges(f), RANGE_BUCKET),
+    "merge_gaps": lambda f: intervals.merge_small_gaps(_ranges(f), RANGE_GAP, RANGE_BUCKET),
     "absorb_tiny": lambda f: intervals.absorb_tiny(intervals.coalesce_ranges(_ranges(f)), RANGE_TINY),
     "snap_ranges": lambda f: intervals.snap_to_words(intervals.keep_ranges(f.decisions()), f.words()),
     "build_edl": lambda f: intervals.build_edl(f.decisions(), f.words(), f.recordings()),
