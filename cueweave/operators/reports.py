@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions import scan as S
+from cueweave.operators.interval_join import overlapping
 
 TOLERANCE = 2.0
 
@@ -49,9 +50,10 @@ def mode_summary(summary: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def span_removed(spans: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The share of each labelled span (rec_id, label, start, end) that no kept range covers."""
-    r = ranges.select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    both = spans.join(r, (spans["rec_id"] == r["rec_id"]) & (r["s"] < spans["end"]) & (r["e"] > spans["start"]), "left").select(spans["*"], "s", "e")
-    inside = F.coalesce(F.least("end", "e") - F.greatest("start", "s"), F.lit(0.0))
-    out = both.groupBy("rec_id", "label", "start", "end").agg(F.sum(inside).alias("inside"))
-    return out.select("rec_id", "label", F.round(1 - F.col("inside") / (F.col("end") - F.col("start")), 6).alias("removed_share"))
+    """The share of each labelled span (rec_id, label, start, end) that no kept range covers.
+    Ranges must not overlap each other; spans may."""
+    key = ["rec_id", "label", "start", "end"]
+    met = overlapping(spans.select(*key), ranges.select("rec_id", "start", "end"))
+    inside = met.select("rec_id", "l.label", "l.start", "l.end", "shared").groupBy(*key).agg(F.sum("shared").alias("inside"))
+    out = spans.select(*key).distinct().join(inside, key, "left")
+    return out.select("rec_id", "label", F.round(1 - F.coalesce("inside", F.lit(0.0)) / (F.col("end") - F.col("start")), 6).alias("removed_share"))

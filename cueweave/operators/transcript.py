@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cueweave.functions import scan as S
 from cueweave.functions.columns import once
 from cueweave.functions.text import ends_sentence, tokens, trim_ws
+from cueweave.operators.interval_join import contained
 from cueweave.operators.intervals import BUCKET_RANGES, cut_lineage, word_at
 
 MAX_WORDS, MAX_SECONDS = 40, 20.0
@@ -171,6 +172,22 @@ def covered(words: DataFrame, ranges: DataFrame, bucket_seconds: float | None =
     return _held(words, ranges.select("rec_id", F.col("range_ord").alias("ord"), "start", "end"), bucket_seconds)
 
 
+def words_in_ranges(words: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Every pair of a word and a range that holds all of it: (words' columns, range_ord,
+    range_start, range_end).  Ranges may overlap each other."""
+    pairs = contained(words, ranges.select("rec_id", "range_ord", "start", "end"))
+    return pairs.select("rec_id", *[F.col(f"l.{c}").alias(c) for c in words.columns if c != "rec_id"], "r.range_ord", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
+
+
+def remap_words_of_any(words: DataFrame, ranges: DataFrame) -> DataFrame:
+    """As ``remap_words`` for ranges that may overlap: a word comes once for each range that holds it."""
+    earlier = Window.partitionBy("rec_id").orderBy("range_ord").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("rec_id", "range_ord", F.coalesce(F.sum(F.col("end") - F.col("start")).over(earlier), F.lit(0.0)).alias("offset"))
+    held = words_in_ranges(words, ranges).join(offsets, ["rec_id", "range_ord"])
+    move = lambda c: (F.col(c) - F.col("range_start")) + F.col("offset")
+    return held.select("rec_id", "ord", "word", move("start").alias("start"), move("end").alias("end"), "speaker", "overlap_candidate", "range_ord")
+
+
 def kept_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
     return covered(words, ranges).filter("range is not null").drop("range")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cueweave.functions import scan
 from cueweave.functions.text import strip_tags
-from cueweave.operators import intervals, jobs, judging, reports, transcript
+from cueweave.operators import interval_join, intervals, jobs, judging, reports, transcript
 from cueweave.operators.highlights import highlight_corpus
 from cueweave.plans.fixtures import Fixtures
 from cueweave.sources import media, subtitles
@@ -94,6 +94,18 @@ def _nested(f: Fixtures) -> DataFrame:
     return whole.select("rec_id", F.to_json(ranges).alias("ranges"), "source_duration")
 
 
+def _wide(f: Fixtures) -> DataFrame:
+    """Kept judgments with half a minute around them: ranges that overlap each other."""
+    kept = f.decisions().filter("decision = 'keep' and seg_ord % 3 = 0")
+    return kept.select("rec_id", F.col("seg_ord").alias("range_ord"), (F.col("start") - 30.0).alias("start"), (F.col("end") + 30.0).alias("end"))
+
+
+def _event_overlaps(f: Fixtures) -> DataFrame:
+    e = f.event_ranges().join(f.table("events").select(F.col("event_id").alias("range_ord"), "event_type"), "range_ord")
+    pairs = interval_join.overlapping(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), 3600.0)
+    return pairs.select("rec_id", F.col("l.range_ord").alias("purchase"), F.col("r.range_ord").alias("view"), "shared")
+
+
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "overlap_flags": lambda f: transcript.flag_overlaps(f.words()).select("rec_id", "ord", "overlap_candidate"),
     "speaker_turns": lambda f: transcript.speaker_turns(f.words()),
@@ -108,6 +120,9 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "checked_edl": _checked,
     "remap_words": lambda f: transcript.remap_words(f.words(), _edl(f)),
     "kept_words": lambda f: transcript.kept_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
+    "words_in_ranges": lambda f: transcript.words_in_ranges(f.words(), _wide(f)).select("rec_id", "ord", "range_ord"),
+    "remap_any": lambda f: transcript.remap_words_of_any(f.words(), _wide(f)).select("rec_id", "ord", "range_ord", "start", "end"),
+    "event_overlaps": _event_overlaps,
     "cut_words": lambda f: transcript.cut_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
     "edl_summary": lambda f: reports.edl_summary(_edl(f), f.recordings()),
     "span_removed": lambda f: reports.span_removed(_spans(f), _edl(f)),
@@ -319,5 +334,14 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN rec_id < 0 OR rec_id % 8 = 7 OR mode = 'summary' OR silent THEN NULL WHEN rec_id % 3 = 0 THEN 'uploaded_transcript' WHEN rec_id % 2 = 0 THEN 'youtube_captions' ELSE 'asr' END AS source
           FROM (SELECT *, rec_id % 3 <> 0 AND rec_id % 2 <> 0 AND rec_id % 5 = 4 AS silent FROM moded)""",
     }
+    wide = """wide AS (SELECT rec_id, seg_ord AS range_ord, start - 30.0 AS start, "end" + 30.0 AS "end" FROM decisions WHERE decision = 'keep' AND seg_ord % 3 = 0)"""
+    sql |= {
+        "words_in_ranges": f"""WITH {_DECISIONS}, {wide} SELECT w.rec_id, w.ord, r.range_ord FROM words w JOIN wide r ON r.rec_id = w.rec_id AND w.start >= r.start AND w."end" <= r."end\"""",
+        "remap_any": f"""WITH {_DECISIONS}, {wide}, off AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY rec_id ORDER BY range_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS o FROM wide)
+          SELECT w.rec_id, w.ord, r.range_ord, round((w.start - r.start) + o, 6) AS start, round((w."end" - r.start) + o, 6) AS "end" FROM words w JOIN off r ON r.rec_id = w.rec_id AND w.start >= r.start AND w."end" <= r."end\"""",
+        "event_overlaps": f"""WITH {_RANGES}, e AS (SELECT r.*, event_type FROM ranges r JOIN events ON event_id = range_ord)
+          SELECT a.rec_id, a.range_ord AS purchase, b.range_ord AS view, round(least(a."end", b."end") - greatest(a.start, b.start), 6) AS shared
+          FROM e a JOIN e b ON a.rec_id = b.rec_id AND a.event_type = 'purchase' AND b.event_type = 'view' AND least(a."end", b."end") > greatest(a.start, b.start)""",
+    }
     sql["speaker_turns"] = f"""WITH {_TURNS}, f AS ({_FLAGS}) SELECT t.* FROM (SELECT *, false AS overlap_candidate FROM turns) t"""
     return sql
