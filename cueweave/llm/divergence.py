@@ -4,8 +4,8 @@
    block holds ``block_postings`` postings, then spills the block as a run: for each hash
    shard its postings sorted by (language, term), cut into segments.
 2. Every shard merges its runs with a heap.  Segments arrive in the order of their first
-   term, so that a run's next segment is opened only when the merge reaches it, and the
-   heap holds one cursor for each run.  Terms in ``min_docs`` documents of their language
+   term, so that a run's next segment is opened only when the merge reaches it; the heap
+   tells up to which term all that is open can be merged at once.  Terms in ``min_docs`` documents of their language
    or more are kept, with their counts by source.
 3. A source's smoothed share of a kept term is p = 1 + floor(10^9 (count + 2) / (N + 2 V)),
    and the divergence of p and q is floor((p - q)^2 / (p + q)).  A pair of sources sums it
@@ -24,13 +24,16 @@ count again.  Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +42,15 @@ from cueweave.llm.memory import releasing
 
 MIN_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
-BLOCK_POSTINGS = 300_000
-SEGMENT_POSTINGS = 4096
+BLOCK_POSTINGS = 400_000
+SEGMENT_POSTINGS, MERGED_POSTINGS = 4096, 100_000
 SOURCES_PER_SLICE, COUNTS_PER_CHUNK = 1000, 10_000
 PAIRS_HELD = 1_000_000
 
 #: Letters are A-Z, a-z and all of a code point over 0x7F, in UTF-8 every byte over 0x7F.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-POSTINGS = "terms array<binary>, ends array<int>, names array<string>, sources array<int>, counts array<long>, docs array<long>"
-SEGMENTS = f"shard int, lang string, first binary, {POSTINGS}"
+SEGMENTS = "shard int, lang string, first binary, last binary, terms array<binary>, ends array<int>, names array<string>, sources array<int>, counts array<long>, docs array<long>"
 FREQUENCIES = "lang string, term string, total long, docs long, sources array<string>, counts array<long>"
 
 
@@ -73,41 +75,51 @@ class Block:
         own = self.docs[key]
         before = len(own)
         self.counts[key].update(terms)
-        own.update(set(terms))
+        own.update(list(dict.fromkeys(terms)))  # so that both have their terms in one order
         self.size += len(own) - before
 
-    def segments(self, shards: int, limit: int) -> Iterator[tuple]:
-        """The run's segments, each sorted by term and of about ``limit`` postings."""
+    def segments(self, shards: int, limit: int) -> Iterator[pa.RecordBatch]:
+        """The run: a language's segments of at least ``limit`` postings (a shard's last may
+        be shorter), each sorted by term."""
         by_lang: dict[str, list[str]] = {}
         for lang, source in self.counts:
             by_lang.setdefault(lang, []).append(source)
         for lang in sorted(by_lang):
-            names = sorted(by_lang[lang])
-            postings: dict[bytes, list[tuple[int, int, int]]] = {}
-            for i, name in enumerate(names):
-                docs = self.docs[lang, name]
-                for term, n in self.counts[lang, name].items():
-                    postings.setdefault(term, []).append((i, n, docs[term]))
-            dealt: list[list[bytes]] = [[] for _ in range(shards)]
-            for term in sorted(postings):
-                dealt[zlib.crc32(term) % shards].append(term)
-            for shard, terms in enumerate(dealt):
-                held, size = [], 0
-                for term in terms:
-                    held.append(term)
-                    size += len(postings[term])
-                    if size >= limit:
-                        yield self.segment(shard, lang, held, names, postings)
-                        held, size = [], 0
-                if held:
-                    yield self.segment(shard, lang, held, names, postings)
+            names = [x for x in sorted(by_lang[lang]) if self.docs[lang, x]]
+            if not names:
+                continue
+            counters = [(self.counts[lang, x], self.docs[lang, x]) for x in names]
+            every = pa.array([t for counts, _ in counters for t in counts], pa.binary()).dictionary_encode()
+            shard = np.array([zlib.crc32(t) % shards for t in every.dictionary.to_pylist()], np.int32)
+            rank = np.empty(len(shard), np.int64)
+            rank[pc.sort_indices(every.dictionary).to_numpy()] = np.arange(len(shard))
+            code = every.indices.to_numpy()
+            order = np.lexsort((rank[code], shard[code]))
+            code = code[order]
+            source = np.repeat(np.arange(len(names), dtype=np.int32), [len(c) for c, _ in counters])[order]
+            counts, docs = (np.fromiter((n for c in counters for n in c[i].values()), np.int64, len(code))[order] for i in (0, 1))
+            yield self._cut(lang, names, every.dictionary, shard, code, source, counts, docs, limit)
 
     @staticmethod
-    def segment(shard: int, lang: str, terms: list[bytes], names: list[str], postings: dict) -> tuple:
-        flat = [p for term in terms for p in postings[term]]
-        ends = np.cumsum([len(postings[term]) for term in terms]).tolist()
-        sources, counts, docs = map(list, zip(*flat, strict=True))
-        return shard, lang, terms[0], terms, ends, names, sources, counts, docs
+    def _cut(lang: str, names: list[str], dictionary: pa.Array, shard: np.ndarray, code: np.ndarray, source: np.ndarray, counts: np.ndarray, docs: np.ndarray, limit: int) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(code, prepend=-1))  # where each term's postings start
+        ends = np.append(first[1:], len(code))
+        part = shard[code[first]]
+        opened = np.flatnonzero(np.diff(part, prepend=-1))  # the first term of each shard
+        within = first - first[opened][np.cumsum(np.diff(part, prepend=-1) != 0) - 1]
+        new = np.diff(within // limit, prepend=-1) != 0
+        new[opened] = True
+        at = np.flatnonzero(new)  # the first term of each segment
+        terms_at, postings_at = (pa.array(x.astype(np.int32)) for x in (np.append(at, len(first)), np.append(first[at], len(code))))
+        lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
+        terms = dictionary.take(pa.array(code[first]))
+        ends_ = ends - np.repeat(first[at], np.diff(np.append(at, len(first))))
+        names_ = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(names)), pa.array(names * len(at), pa.string()))
+        columns = [
+            pa.array(part[at]), pa.array([lang] * len(at), pa.string()), terms.take(pa.array(at)), terms.take(pa.array(np.append(at[1:], len(first)) - 1)), lists(terms_at, terms), lists(terms_at, pa.array(ends_.astype(np.int32))),
+            names_, lists(postings_at, pa.array(source)), lists(postings_at, pa.array(counts)), lists(postings_at, pa.array(docs)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SEGMENTS.split(", ")])
 
 
 def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -115,83 +127,84 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_LONGS = pa.list_(pa.int64())
-_SEGMENT_SCHEMA = pa.schema([
-    ("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())),
-    ("names", pa.list_(pa.string())), ("sources", pa.list_(pa.int32())), ("counts", _LONGS), ("docs", _LONGS),
-])
-_FREQUENCY_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.string()), ("total", pa.int64()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", _LONGS)])
-
-
 def spill_runs(docs: DataFrame, shards: int, block_postings: int, segment_postings: int) -> DataFrame:
     """The segments of all runs of (lang, source, text) documents."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
-
-        def spilled() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for row in block.segments(shards, segment_postings):
-                rows.append(row)
-                if len(rows) >= 64:
-                    yield _record(rows, _SEGMENT_SCHEMA)
-                    rows = []
-            if rows:
-                yield _record(rows, _SEGMENT_SCHEMA)
-
         for batch in batches:
             langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
             for lang, source, text in zip(langs, sources, texts, strict=True):
                 block.add(lang, source, text.as_py())
                 if block.size >= block_postings:
-                    yield from spilled()
+                    yield from block.segments(shards, segment_postings)
                     block = Block()
-        yield from spilled()
+        yield from block.segments(shards, segment_postings)
 
     return docs.mapInArrow(run, SEGMENTS)
 
 
 # ---------------------------------------------------------------- merging
-def _postings(row: tuple, order: int) -> Iterator[tuple]:
-    """The terms of a segment as (term, order, postings) in order."""
-    terms, ends, names, sources, counts, docs = row
-    start = 0
-    for term, end in zip(terms, ends, strict=True):
-        yield term, order, [(names[sources[i]], counts[i], docs[i]) for i in range(start, end)]
-        start = end
+class Segment:
+    """A sorted piece of a run, and how far it has been merged."""
+
+    def __init__(self, first: bytes, last: bytes, terms: pa.Array, ends: np.ndarray, sources: np.ndarray, counts: np.ndarray, docs: np.ndarray):
+        self.first, self.last, self.terms, self.done = first, last, terms, 0
+        self.ends, self.sources, self.counts, self.docs = np.append(0, ends), sources, counts, docs
+        self.keys: list[bytes] = terms.to_pylist()
 
+    def upto(self, last: bytes) -> tuple:
+        """The postings of the terms not merged yet, up to and with ``last``."""
+        low, high = self.done, bisect.bisect_right(self.keys, last, self.done)
+        self.done = high
+        a, b = self.ends[low], self.ends[high]
+        return self.terms.slice(low, high - low), np.diff(self.ends[low : high + 1]), self.sources[a:b], self.counts[a:b], self.docs[a:b]
 
-def merge_segments(segments: Iterator[tuple]) -> Iterator[tuple]:
-    """(lang, term, total, docs, {source: count}) of segments that come by (lang, first term).
 
-    A segment is opened when the merge reaches its first term, so the heap has one
-    cursor for each run at most (segments of a run do not overlap).
+def merge_segments(segments: Iterator[Segment]) -> Iterator[list[tuple]]:
+    """Lists of postings of one language's segments, which come by first term; a term's
+    postings are all in one list.
+
+    The heap has the open segments by their last term.  What lies at or before the least
+    of these last terms can be merged once every segment that starts there is open, so at
+    most one segment of each run is open (segments of a run do not overlap).
     """
-    heap: list[tuple] = []
-    lang, term, total, docs, by, order = None, None, 0, 0, {}, 0
-    ahead = next(segments, None)
+    heap: list[tuple[bytes, int, Segment]] = []
+    ahead, number = next(segments, None), 0
     while heap or ahead is not None:
-        while ahead is not None and (not heap or (ahead[0] == heap[0][0][0] and ahead[1] <= heap[0][0][1])):
-            cursor = _postings(ahead[2], order)
-            found, _, postings = next(cursor)
-            heapq.heappush(heap, ((ahead[0], found), order, postings, cursor))
-            order += 1
-            ahead = next(segments, None)
-        (here, found), mine, postings, cursor = heap[0]
-        if (here, found) != (lang, term):
-            if term is not None:
-                yield lang, term, total, docs, by
-            lang, term, total, docs, by = here, found, 0, 0, {}
-        for source, n, d in postings:
-            total, docs, by[source] = total + n, docs + d, by.get(source, 0) + n
-        following = next(cursor, None)
-        if following is None:
+        while ahead is not None and (not heap or ahead.first <= heap[0][0]):
+            heapq.heappush(heap, (ahead.last, number, ahead))
+            ahead, number = next(segments, None), number + 1
+        last = heap[0][0]
+        yield [s.upto(last) for _, _, s in heap if s.keys[s.done] <= last]
+        while heap and heap[0][2].done == len(heap[0][2].keys):
             heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, ((here, following[0]), mine, following[2], cursor))
-    if term is not None:
-        yield lang, term, total, docs, by
+
+
+def add_up(lang: str, names: list[str], parts: list[tuple], min_docs: int) -> pa.RecordBatch:
+    """The frequencies of the kept terms among merged postings; sources are numbers of ``names``."""
+    terms, lengths, sources, counts, docs = (list(x) for x in zip(*parts, strict=True))
+    every = pa.concat_arrays(terms).dictionary_encode()
+    code = np.repeat(every.indices.to_numpy(), np.concatenate(lengths)).astype(np.int64)
+    source, n = np.concatenate(sources), np.concatenate(counts)
+    held = np.zeros(len(every.dictionary), np.int64)
+    np.add.at(held, code, np.concatenate(docs))
+    keep = (held >= min_docs)[code]
+    key = code[keep] * len(names) + source[keep]
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[keep][order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, n = key[first], np.add.reduceat(n, first) if len(first) else n
+    term, source = key // len(names), key % len(names)
+    at = np.flatnonzero(np.diff(term, prepend=-1))
+    offsets = pa.array(np.append(at, len(term)).astype(np.int32))
+    total = np.add.reduceat(n, at) if len(at) else n
+    columns = [
+        pa.array([lang] * len(at), pa.string()), every.dictionary.take(pa.array(term[at])).cast(pa.string()), pa.array(total), pa.array(held[term[at]]),
+        pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(source))), pa.ListArray.from_arrays(offsets, pa.array(n)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FREQUENCIES.split(", ")])
 
 
 def merge_runs(segments: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -200,21 +213,25 @@ def merge_runs(segments: DataFrame, shards: int, min_docs: int) -> DataFrame:
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        places: dict[str, int] = {}
+
+        def rows() -> Iterator[tuple[str, Segment]]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), tuple(batch.column(k)[i].as_py() for k in range(3, 9))
-
-        out, held = [], 0
-        for lang, term, total, docs, by in merge_segments(rows()):
-            if docs >= min_docs:
-                out.append((lang, term.decode("utf-8", "surrogatepass"), total, docs, list(by), list(by.values())))
-                held += len(by)
-                if held >= 100_000:
-                    yield _record(out, _FREQUENCY_SCHEMA)
-                    out, held = [], 0
-        if out:
-            yield _record(out, _FREQUENCY_SCHEMA)
+                    lang, first, last, terms, ends, names, sources, counts, docs = (batch.column(k)[i] for k in range(1, 10))
+                    own = np.array([places.setdefault(x, len(places)) for x in names.as_py()], np.int64)
+                    yield lang.as_py(), Segment(first.as_py(), last.as_py(), terms.values, *(x.values.to_numpy() if k != 1 else own[x.values.to_numpy()] for k, x in enumerate((ends, sources, counts, docs))))
+
+        for lang, own in itertools.groupby(rows(), key=lambda x: x[0]):
+            parts, size = [], 0
+            for merged in merge_segments(s for _, s in own):
+                parts.extend(merged)
+                size += sum(len(x[2]) for x in merged)
+                if size >= MERGED_POSTINGS:
+                    yield add_up(lang, list(places), parts, min_docs)
+                    parts, size = [], 0
+            if parts:
+                yield add_up(lang, list(places), parts, min_docs)
 
     return dealt.mapInArrow(run, FREQUENCIES)
 
@@ -352,15 +369,16 @@ def audit(
 
     whole = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("sum"))
     sizes = posted.groupBy("lang", "source").agg(F.sum("count").alias("sum"))
-    groups = found.join(sizes, ["lang", "source"], "left").join(whole.select("lang", "terms"), "lang", "left").select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("sum", F.lit(0)).alias("sum"))
+    langs = whole.select("lang", "terms", (F.col("sum") + 2 * F.col("terms")).alias("all"))
+    groups = found.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("sum", F.lit(0)).alias("sum"), "all")
     groups = groups.withColumn("size", F.col("sum") + 2 * F.col("terms"))
     # Without kept terms a share is of nothing: any will do, as no term is summed.
     groups = materialise(groups.withColumn("zero", F.when(F.col("size") > 0, share(F.lit(0).cast("long"), F.col("size"))).otherwise(F.lit(1).cast("long"))), "group-sizes")
-    langs = whole.select("lang", (F.col("sum") + 2 * F.col("terms")).alias("all"))
 
-    told = posted.join(groups.select("lang", "source", "size", "zero"), ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("size")))
+    told = posted.join(groups.select("lang", "source", "size", "zero", "all"), ["lang", "source"])
+    told = told.withColumns({"p": share(F.col("count"), F.col("size")), "q": share(F.col("total"), F.col("all"))}).drop("size", "all", "count", "total")
     told = materialise(told, "shares")
-    scored = told.join(langs, "lang").withColumn("q", share(F.col("total"), F.col("all"))).filter("p > q")
+    scored = told.filter("p > q")
     best = _ranked(scored.select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")), "term").filter(F.col("rank") <= top)
 
     held = told.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "zero")).alias("held")).filter("size(held) > 1").select("lang", "held")

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,20 +80,23 @@ def test_query(spark, docs, rows, tmp_path):
 
 
 def test_merge_opens_segments_late():
-    """Runs of many segments: the heap never holds more than a cursor for each run."""
-    runs = [[("en", bytes([97 + i]), ([bytes([97 + i])], [1], ["s"], [0], [r + 1], [1])) for i in range(26)] for r in range(4)]
-    opened, merged = [], []
-    segments = sorted((s for run in runs for s in run), key=lambda s: s[:2])
+    """Runs of many segments: never more than a segment of each run is open."""
+    runs = [[bytes([97 + i]) + bytes([r]) * k for i in range(26) for k in range(2)] for r in range(4)]
+    made = lambda terms: divergence.Segment(terms[0], terms[-1], pa.array(terms, pa.binary()), np.arange(1, len(terms) + 1), *(np.ones(len(terms), np.int64) for _ in range(3)))
+    segments = sorted((made(run[i : i + 4]) for run in runs for i in range(0, len(run), 4)), key=lambda s: s.first)
+    opened, merged = [0], []
 
     def stream():
         for s in segments:
-            opened.append(s)
+            opened[0] += 1
             yield s
 
-    for row in divergence.merge_segments(stream()):
-        merged.append(row)
-        assert len(opened) <= 4 * len(merged) + 5
-    assert merged == [("en", bytes([97 + i]), 10, 4, {"s": 10}) for i in range(26)]
+    for parts in divergence.merge_segments(stream()):
+        terms = [t for terms, *_ in parts for t in terms.to_pylist()]
+        assert len(parts) <= 4 and (not merged or min(terms) > max(merged[-1]))
+        merged.append(terms)
+        assert 4 * opened[0] <= len([t for own in merged for t in own]) + 5 * 4
+    assert sorted(t for own in merged for t in own) == sorted(t for run in runs for t in run)
 
 
 def test_shares_stay_exact_beyond_64_bits(spark):
