@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave import schemas
+from cueweave.functions import scan as S
 from cueweave.functions.storage import materialise
 
-BATCH = 40
+BATCH, BUCKET_SEGMENTS = 40, 4096
 #: What a judge is asked for in each mode.
 INSTRUCTIONS = {
     "crosstalk": "Mark a segment remove if it is small talk, a false start or people talking over one another, else keep.",
@@ -38,11 +41,15 @@ def with_instructions(jobs: DataFrame, mode: str = "mode", instructions: dict[st
     return jobs.join(F.broadcast(table), mode)  # a row for each mode
 
 
-def batches(segments: DataFrame, size: int = BATCH) -> DataFrame:
-    """Segments with their batch and place: consecutive batches of ``size`` (1 at least)."""
-    place = F.row_number().over(Window.partitionBy("rec_id").orderBy("seg_ord")) - 1
-    size = max(1, size)
-    return segments.withColumn("chunk_id", F.floor(place / size).cast("long")).withColumn("pos", (place % size).cast("int"))
+def batches(segments: DataFrame, size: int = BATCH, bucket_segments: int | None = None) -> DataFrame:
+    """Segments with their batch and place: consecutive batches of ``size`` (1 at least).
+
+    ``bucket_segments``: number a recording's segments in two levels, so many to a bucket.
+    """
+    bucket = None if bucket_segments is None else F.floor(F.col("seg_ord") / bucket_segments)
+    placed = S.position(segments, ["rec_id"], ["seg_ord"], bucket, "__place")
+    place, size = F.col("__place"), max(1, size)
+    return placed.withColumn("chunk_id", F.floor(place / size).cast("long")).withColumn("pos", (place % size).cast("int")).drop("__place")
 
 
 def payloads(batched: DataFrame) -> DataFrame:
@@ -74,7 +81,23 @@ def check_responses(responses: DataFrame) -> DataFrame:
 RESPONSE = "rec_id long, chunk_id long, part string, raw string, finish_reason string, error_code int"
 
 
-def judge(segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch_size: int = BATCH, mode: str = "highlights", instructions: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def in_turn(fn: Callable[[pd.DataFrame], pd.DataFrame], frames: Iterator[pd.DataFrame], batches_per_call: int, in_flight: int) -> Iterator[pd.DataFrame]:
+    """Answers of ``fn`` to frames of at most ``batches_per_call`` rows, ``in_flight`` calls at once."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        for frame in frames:
+            for at in range(0, len(frame), batches_per_call):
+                if len(waiting) >= in_flight:
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(fn, frame.iloc[at : at + batches_per_call].reset_index(drop=True)))
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def judge(
+    segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch_size: int = BATCH, mode: str = "highlights", instructions: dict[str, str] | None = None, *,
+    tasks: int | None = None, batches_per_call: int = 8, in_flight: int = 1,
+) -> tuple[DataFrame, DataFrame]:
     """(decisions, failures) of all segments.
 
     ``fn`` gets frames of (rec_id, chunk_id, part, n_segments, payload, mode,
@@ -85,13 +108,18 @@ def judge(segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch
     its recording.  Of several answers to one batch one counts.  Every wave is written,
     so no answered batch is asked again.  An unknown mode is an error before anything is
     asked.
+
+    Calls are dealt evenly over ``tasks`` tasks (as many as shuffle partitions, if not
+    told), whatever the payloads' sizes; a task hands ``fn`` at most ``batches_per_call``
+    batches at once and has ``in_flight`` calls under way, in threads if several.
     """
+    tasks = tasks or int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = instructions or INSTRUCTIONS
     segments = segments if "mode" in segments.columns else segments.withColumn("mode", F.lit(mode))
     unknown = segments.filter(F.coalesce(~F.col("mode").isin(*texts), F.lit(True))).select("mode").limit(1).collect()
     if unknown:
         raise ValueError(f"unknown mode: {unknown[0]['mode']!r}")
-    batched = batches(segments, batch_size).withColumn("part", F.lit("")).withColumn("attempt", F.lit(0))
+    batched = batches(segments, batch_size, BUCKET_SEGMENTS).withColumn("part", F.lit("")).withColumn("attempt", F.lit(0))
     work = materialise(batched, "judge-segments")
     solved, failed = None, None
     while not work.isEmpty():
@@ -100,13 +128,9 @@ def judge(segments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], batch
         asked = asked.withColumn("n_segments", F.size("items")).withColumn("payload", F.to_json(bare)).withColumn("note", F.when(F.col("attempt") > 0, "The previous response was not valid; answer with the list alone.").otherwise(""))
         frames = with_instructions(asked, instructions=texts).select("rec_id", "chunk_id", "part", "n_segments", "payload", "mode", "instructions", "note")
 
-        def call(parts):
-            for part in parts:
-                if len(part):
-                    yield fn(part)
-
         key = ["rec_id", "chunk_id", "part"]
-        answers = materialise(frames.mapInPandas(call, RESPONSE), "judge-answers").dropDuplicates(key).withColumn("answered", F.lit(True))
+        frames = frames.repartition(tasks)  # a stated number, which adaptive execution leaves as it is
+        answers = materialise(frames.mapInPandas(lambda parts: in_turn(fn, parts, batches_per_call, in_flight), RESPONSE), "judge-answers").dropDuplicates(key).withColumn("answered", F.lit(True))
         checked = check_responses(asked.select(*key, "attempt", "n_segments").join(answers, key, "left"))
         checked = materialise(checked.withColumn("outcome", F.when(F.col("answered"), F.col("outcome")).otherwise("api_error")), "judge-checked")
         good = checked.filter("outcome = 'ok'").select("rec_id", "chunk_id", "part", F.posexplode("judgments").alias("at", "j"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions import scan as S
+from cueweave.functions.text import three_decimals
 from cueweave.operators.interval_join import overlapping
 
 TOLERANCE = 2.0
@@ -23,11 +24,12 @@ def keyframe_method(ranges: DataFrame, keyframes: DataFrame, tolerance: float =
 
 
 def render_plan(ranges: DataFrame, keyframes: DataFrame, suffix: str = ".mp4") -> DataFrame:
-    """A row for each clip: file name, method, start and duration, and how clips are joined."""
+    """A row for each clip: file name, method, start and duration (as numbers and as the text of
+    a command line), and how clips are joined."""
     cut = keyframe_method(ranges, keyframes)
     clip = F.concat(F.format_string("clip_%04d", "range_ord"), F.lit(suffix))
     counts = ranges.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"))
-    return cut.join(counts, "rec_id").select("rec_id", "range_ord", clip.alias("clip"), "method", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.0)).alias("duration"), F.when(F.col("n") == 1, "copyfile").otherwise("concat").alias("join_by"))
+    return cut.join(counts, "rec_id").select("rec_id", "range_ord", clip.alias("clip"), "method", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.0)).alias("duration"), F.when(F.col("n") == 1, "copyfile").otherwise("concat").alias("join_by")).withColumns({"start_text": three_decimals(F.col("start")), "duration_text": three_decimals(F.col("duration"))})
 
 
 def concat_list(plan: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,41 @@ def _highlights(f: Fixtures, what: str) -> DataFrame:
     return highlight_corpus(f.moded(), f.conversation_probes(), f.sourced(), f.keyframes(), keep=keep)[what]
 
 
+def _answers(frame: pd.DataFrame) -> pd.DataFrame:
+    """A model with all faults: long batches come cut, some answers to a first question are no
+    list or too short, some questions are never answered, and one recording in eleven always
+    fails.  It keeps segments of an even number of characters."""
+    out = []
+    for r in frame.itertuples():
+        items = json.loads(r.payload)
+        raw = json.dumps([{"start": x["start"], "end": x["end"], "decision": "remove" if len(x["text"]) % 2 else "keep", "reason": "r"} for x in items])
+        kind, error, finish = (r.rec_id + r.chunk_id) % 5, None, "STOP"
+        if r.n_segments > 3:
+            raw, finish = raw[: len(raw) // 2], "MAX_TOKENS"
+        elif r.rec_id % 11 == 5 and r.chunk_id == 0:
+            raw, error = None, 500
+        elif not r.note and kind == 1:
+            raw = "I can not say."
+        elif not r.note and kind == 2:
+            raw = json.dumps(json.loads(raw)[1:])
+        elif not r.note and kind == 3:
+            continue
+        out.append((r.rec_id, r.chunk_id, r.part, raw, finish, error))
+    return pd.DataFrame(out, columns=["rec_id", "chunk_id", "part", "raw", "finish_reason", "error_code"]).astype({"error_code": "Int32"})
+
+
+def _judged(f: Fixtures) -> DataFrame:
+    decisions, failed = judging.judge(f.turns(), _answers, 4, tasks=8, batches_per_call=4, in_flight=2)
+    decisions = decisions.select("rec_id", "seg_ord", "start", "end", "decision", F.lit(None).cast("string").alias("outcome"))
+    return decisions.unionByName(failed.select("rec_id", "outcome"), allowMissingColumns=True)
+
+
+def _highlights_judged(f: Fixtures) -> DataFrame:
+    got = highlight_corpus(f.moded(), f.conversation_probes(), f.sourced(), f.keyframes(), fn=_answers, batch_size=4)
+    clean = got["clean"].groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_words"), F.max("end").alias("last_end"))
+    return got["status"].join(clean, "rec_id", "left")
+
+
 def _nested(f: Fixtures) -> DataFrame:
     whole = intervals.nested_edl(_edl(f), f.recordings())
     ranges = F.transform("ranges", lambda r: F.struct(F.round(r["start"], 6).alias("start"), F.round(r["end"], 6).alias("end")))
@@ -135,6 +172,8 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "segment_batches": lambda f: judging.batches(transcript.speaker_turns(f.words())).select("rec_id", "seg_ord", "chunk_id", "pos"),
     "batch_payload": lambda f: judging.payloads(judging.batches(transcript.speaker_turns(f.words()))),
     "judgments_valid": lambda f: judging.check_responses(f.responses()).select("rec_id", "chunk_id", "n_segments", "outcome"),
+    "judged": _judged,
+    "highlight_judged": _highlights_judged,
     "media_gate": lambda f: media.media_gate(f.probes()),
     "source_choice": lambda f: subtitles.choose_source(f.source_candidates()),
     "track_choice": lambda f: subtitles.pick_track(f.tracks()),
@@ -203,12 +242,13 @@ _SNAP = """firsts AS (SELECT rec_id, start, arg_max("end", ord) AS "end" FROM wo
   snapped AS (SELECT r.rec_id, CASE WHEN a.start < r.start AND r.start < a."end" THEN a.start ELSE r.start END AS start,
     greatest(CASE WHEN b.start < r."end" AND r."end" < b."end" THEN b."end" ELSE r."end" END, CASE WHEN a.start < r.start AND r.start < a."end" THEN a.start ELSE r.start END) AS "end"
     FROM {source} r ASOF LEFT JOIN firsts a ON r.rec_id = a.rec_id AND r.start >= a.start ASOF LEFT JOIN firsts b ON r.rec_id = b.rec_id AND r."end" >= b.start)"""
-_EDL = f"""{_DECISIONS}, keeps AS (SELECT rec_id, start, "end" FROM decisions WHERE decision = 'keep' AND "end" > start),
+_KEPT = f"""keeps AS (SELECT rec_id, start, "end" FROM decisions WHERE decision = 'keep' AND "end" > start),
   {_merged("keeps", "joined", "start > latest")}, {_SNAP.format(source="joined")}, {_merged("snapped", "again", "start > latest")},
   {_merged("again", "near", "start - latest >= 0.3")}, {_absorbed("near", "solid", 0.5)},
   edl AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start, "end") - 1 AS range_ord, start, "end" FROM (
     SELECT r.rec_id, greatest(0.0, coalesce(s.start, 0.0)) AS start, CASE WHEN duration <> 0 THEN least(coalesce(s."end", duration), duration) ELSE coalesce(s."end", duration) END AS "end"
     FROM recordings r LEFT JOIN solid s USING (rec_id)))"""
+_EDL = f"{_DECISIONS}, {_KEPT}"
 _HELD = """held AS (SELECT w.*, r.range_ord, r.start AS r_start FROM words w ASOF LEFT JOIN edl r ON w.rec_id = r.rec_id AND w.start >= r.start),
   marked AS (SELECT h.*, e."end" AS r_end FROM held h LEFT JOIN edl e ON e.rec_id = h.rec_id AND e.range_ord = h.range_ord)"""
 _KEY = """cuts AS (SELECT e.*, coalesce((SELECT min(abs(t - e.start)) FROM range(0, 200, 5) k(t) WHERE e.rec_id % 10 <> 0), 'infinity'::DOUBLE) AS distance FROM edl e)"""
@@ -240,6 +280,18 @@ _JOBS = """log AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE event_typ
     WHEN 'purchase' THEN 'slicing' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, event_id % 50 AS current, CAST(50 AS BIGINT) AS total FROM events)"""
 
 
+def _job(keep: str, judged: str = "true") -> str:
+    """The whole job: words on the shortened time line (rec_id, last) of the recordings that are done."""
+    return f"""{_TURNS.replace("words", "spoken")}, {_CUES}, {_MODED}, chosen AS (SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN 'up' WHEN rec_id % 2 = 0 THEN 'url' ELSE 'asr' END AS source, rec_id * 10 + 2000.0::DOUBLE AS duration
+      FROM moded WHERE rec_id >= 0 AND rec_id % 8 <> 7 AND mode <> 'summary' AND NOT (rec_id % 3 <> 0 AND rec_id % 2 <> 0 AND rec_id % 5 = 4) AND {judged}),
+  captions AS (SELECT c.* REPLACE (CASE source WHEN 'up' THEN speaker ELSE 'SPEAKER' END AS speaker) FROM cues c JOIN chosen USING (rec_id) WHERE source <> 'asr'), {_sentences("captions")},
+  segments AS (SELECT rec_id, seg_ord, start, "end", text FROM sentences UNION ALL SELECT rec_id, seg_ord, start, "end", text FROM turns JOIN chosen USING (rec_id) WHERE source = 'asr'),
+  words AS (SELECT rec_id, seg_ord AS ord, start, "end" FROM sentences UNION ALL SELECT rec_id, ord, start, "end" FROM spoken JOIN chosen USING (rec_id) WHERE source = 'asr'),
+  decisions AS (SELECT rec_id, seg_ord, start, "end", CASE WHEN {keep} THEN 'keep' ELSE 'remove' END AS decision FROM segments), recordings AS (SELECT rec_id, duration FROM chosen),
+  {_KEPT}, {_HELD}, off AS (SELECT rec_id, range_ord, coalesce(sum("end" - start) OVER (PARTITION BY rec_id ORDER BY range_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS o FROM edl),
+  clean AS (SELECT rec_id, ("end" - r_start) + o AS last FROM marked JOIN off USING (rec_id, range_ord) WHERE "end" <= r_end)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "overlap_flags": f"WITH {_WORDS} SELECT rec_id, ord, flagged AS overlap_candidate FROM ({_FLAGS})",
@@ -266,7 +318,8 @@ def oracle_sql() -> dict[str, str]:
           FROM spans s LEFT JOIN edl e ON e.rec_id = s.rec_id AND e.start < s."end" AND e."end" > s.start GROUP BY s.rec_id""",
         "keyframe_method": f"""WITH RECURSIVE {_EDL}, {_KEY} SELECT rec_id, range_ord, round(start, 6) AS start, round("end", 6) AS "end", round(distance, 6) AS distance, CASE WHEN distance <= 2.0 THEN 'copy' ELSE 'reencode' END AS method FROM cuts""",
         "render_plan": f"""WITH RECURSIVE {_EDL}, {_KEY} SELECT rec_id, range_ord, 'clip_' || lpad(CAST(range_ord AS VARCHAR), 4, '0') || '.mp4' AS clip, CASE WHEN distance <= 2.0 THEN 'copy' ELSE 'reencode' END AS method,
-            round(start, 6) AS start, round(greatest("end" - start, 0.0), 6) AS duration, CASE WHEN count(*) OVER (PARTITION BY rec_id) = 1 THEN 'copyfile' ELSE 'concat' END AS join_by FROM cuts""",
+            round(start, 6) AS start, round(greatest("end" - start, 0.0), 6) AS duration, CASE WHEN count(*) OVER (PARTITION BY rec_id) = 1 THEN 'copyfile' ELSE 'concat' END AS join_by,
+            printf('%.3f', start) AS start_text, printf('%.3f', greatest("end" - start, 0.0)) AS duration_text FROM cuts""",
         "caption_cues": f"WITH {_CUES} SELECT * FROM cues",
         "json3_cues": f"WITH {_CUES} SELECT * REPLACE ('SPEAKER' AS speaker) FROM cues",
         "strip_tags": "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages",
@@ -343,5 +396,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT a.rec_id, a.range_ord AS purchase, b.range_ord AS view, round(least(a."end", b."end") - greatest(a.start, b.start), 6) AS shared
           FROM e a JOIN e b ON a.rec_id = b.rec_id AND a.event_type = 'purchase' AND b.event_type = 'view' AND least(a."end", b."end") > greatest(a.start, b.start)""",
     }
+    sql |= {
+        "judged": f"""WITH {_TURNS} SELECT rec_id, seg_ord, round(start, 6) AS start, round("end", 6) AS "end", CASE WHEN length(text) % 2 = 1 THEN 'remove' ELSE 'keep' END AS decision, NULL AS outcome
+            FROM turns WHERE rec_id % 11 <> 5 UNION ALL SELECT DISTINCT rec_id, NULL, NULL, NULL, NULL, 'api_error' FROM turns WHERE rec_id % 11 = 5""",
+        "highlight_clean": f"""WITH RECURSIVE {_job("(rec_id * 7 + seg_ord * 3) % 5 > 1")} SELECT rec_id, count(*) AS n_words, round(max(last), 6) AS last_end FROM clean GROUP BY rec_id""",
+        "highlight_judged": f"""WITH RECURSIVE {_job("length(text) % 2 = 0", "rec_id % 11 <> 5")}, told AS ({sql["highlight_status"]}), c AS (SELECT rec_id, count(*) AS n_words, round(max(last), 6) AS last_end FROM clean GROUP BY rec_id)
+            SELECT t.rec_id, CASE WHEN status = 'done' AND t.rec_id % 11 = 5 THEN 'failed' ELSE status END AS status, CASE WHEN status = 'done' AND t.rec_id % 11 = 5 THEN 'judgment: api_error' ELSE reason END AS reason,
+              source, n_words, last_end FROM told t LEFT JOIN c USING (rec_id)""",
+    }
     sql["speaker_turns"] = f"""WITH {_TURNS}, f AS ({_FLAGS}) SELECT t.* FROM (SELECT *, false AS overlap_candidate FROM turns) t"""
     return sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueweave import schemas
 from cueweave.operators import intervals
 
+BUCKET, ROW_GROUP, MOST_ASKED = "__bucket", 16 << 20, 1000
 WORD = "struct<word:string,start:double,end:double,speaker:string,overlap_candidate:boolean>"
 TRANSCRIPT = f"rec_id long, words array<{WORD}>"
 EDL = f"rec_id long, ranges {schemas.EXPORT}, source_duration double"
@@ -41,3 +42,26 @@ def read_edls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     documents = spark.read.schema(EDL).json(path)
     ranges = documents.select("rec_id", F.posexplode("ranges").alias("range_ord", "r")).select("rec_id", F.col("range_ord").cast("long").alias("range_ord"), "r.*")
     return ranges, documents.select("rec_id", F.col("source_duration").alias("duration"))
+
+
+def write_lookup(rows: DataFrame, path: str, key: str = "rec_id", buckets: int = 256, mode: str = "errorifexists") -> None:
+    """Rows laid out for look-ups of few identifiers: a folder for each hash bucket of the key,
+    in it files sorted by the key with Bloom filters on it.  A row without a key is found by none."""
+    placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    ordered = placed.repartition(BUCKET).sortWithinPartitions(BUCKET, key)
+    ordered.write.partitionBy(BUCKET).option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", ROW_GROUP).mode(mode).parquet(path)
+
+
+def look_up_few(spark: SparkSession, path: str, identifiers: list, key: str = "rec_id", buckets: int = 256) -> DataFrame:
+    """The rows of ``write_lookup`` (with as many buckets) for at most MOST_ASKED identifiers.
+
+    Only the folders of their buckets are listed in the plan, and there only row groups whose
+    range and Bloom filter allow an identifier are read.
+    """
+    if len(identifiers) > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} identifiers: use operators.jobs.look_up, which joins")
+    stored = spark.read.parquet(path)
+    kind = stored.schema[key].dataType
+    asked = spark.createDataFrame([(i,) for i in identifiers if i is not None], f"`{key}` {kind.simpleString()}")
+    places = asked.select(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias(BUCKET)).distinct().collect()
+    return stored.filter(F.col(BUCKET).isin([r[0] for r in places]) & F.col(key).isin([i for i in identifiers if i is not None])).drop(BUCKET)
