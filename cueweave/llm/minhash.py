@@ -238,20 +238,14 @@ def _cross_links(ids: np.ndarray, sides: np.ndarray, component: np.ndarray, keys
     return out
 
 
-def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that the centres have not shown.
-
-    Buckets whose members are in several components form clusters by shared
-    members.  In a cluster only pairs of different components can matter, so its
-    largest component is never paired with itself: the others, in blocks, meet one
-    another and the blocks of the largest.  A task holds two blocks, and gives the
-    links that join components, not the pairs.
-    """
+def open_units(members: DataFrame, labels: DataFrame, block: int) -> DataFrame | None:
+    """(cluster, rep, component, own, units) of the members (key, rep, centre) of keys whose
+    members are in several components; units are the pairs of blocks that a member is in."""
     placed = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     open_ = materialise(placed.join(mixed.select("key"), "key").select("rep", "centre", "component").distinct(), "open")
     if open_.isEmpty():
-        return open_.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        return None
     cluster = star_components(open_.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")))
     inside = open_.select("rep", "component").distinct().join(cluster.select("rep", F.col("component").alias("cluster")), "rep")
     inside = materialise(inside, "clusters")
@@ -266,8 +260,23 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table
     units = F.when(F.col("own"), F.transform(upto(F.col("others")), lambda i: meet(True, i, F.col("at")))).otherwise(
         F.concat(F.transform(upto(F.col("others")), lambda j: meet(False, F.least("at", j), F.greatest("at", j))), F.transform(upto(F.col("mains")), lambda j: meet(True, F.col("at"), j)))
     )
-    dealt = blocks.join(classes.select("rep", "keys"), "rep").join(table, "rep")
-    dealt = dealt.select("cluster", "rep", "component", "own", "keys", "shingles", F.explode(units).alias("unit")).select("*", "unit.*").drop("unit")
+    return blocks.select("cluster", "rep", "component", "own", units.alias("units"))
+
+
+def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that the centres have not shown.
+
+    Buckets whose members are in several components form clusters by shared
+    members.  In a cluster only pairs of different components can matter, so its
+    largest component is never paired with itself: the others, in blocks, meet one
+    another and the blocks of the largest.  A task holds two blocks, and gives the
+    links that join components, not the pairs.
+    """
+    units = open_units(members, labels, block)
+    if units is None:
+        return labels.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    dealt = units.join(classes.select("rep", "keys"), "rep").join(table, "rep")
+    dealt = dealt.select("cluster", "rep", "component", "own", "keys", "shingles", F.explode("units").alias("unit")).select("*", "unit.*").drop("unit")
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
         links = _cross_links(

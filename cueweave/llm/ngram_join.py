@@ -7,17 +7,20 @@
    differ in at most d elements (d follows from h and the threshold); the hash space is
    cut into d + 1 ranges, so at least one range holds the same elements in both.  A set
    therefore lies in the tiles (band, range, elements in the range) of its own band and of
-   the next one, and no linked pair is missed.  Unequal sets of a size that allows no
-   difference have no tiles.
-3. Each set has a bitmap of hashed elements about as wide as the set is large.  Bits that
+   the next one, and no linked pair is missed.  Empty ranges make no tiles, as they would
+   gather sets that have nothing in common: sets that have one, as both of a pair must whose
+   like ranges are all empty, lie in the tiles of 2 d + 2 ranges too, of which a pair shares
+   more than are empty.  Unequal sets of a size that allows no difference have no tiles.
+3. Each set has a bitmap of hashed elements, some times as wide as the set is large.  Bits that
    differ stand for different elements, so bit counts bound the overlap from above; pairs
    that the bound leaves are counted exactly on the sorted arrays.
 4. In every tile all members meet one centre; a tile of m members gives m - 1 pairs.
    Confirmed links make components.  In tiles whose members are in several components yet,
    another centre follows, one that is not connected to the first.  What is open after
-   ``rounds`` centres is compared in blocks of bounded size, two to a task, by bitmaps
-   alone; only pairs of different components that the bound leaves come out of a block.
-   Nothing is capped, so no link between different sets is lost.
+   ``rounds`` centres is compared in blocks of bounded size, two to a task, bitmaps first and
+   then sorted arrays; pairs inside a component are passed over, the largest component of a
+   cluster of tiles is not compared with itself, and only links that join components come
+   out.  Nothing is capped, so no link between different sets is lost.
 
 Defined results: null and empty texts have no n-grams and are linked with nothing; a text
 of fewer words than n is one n-gram.  Rows with a null identifier are linked with nothing
@@ -30,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise, spread
 from cueweave.llm.memory import release, releasing, small_batches
-from cueweave.llm.minhash import BROADCAST_IDS, WordHashes, components, repeated_ids, shingle_set, star_components
+from cueweave.llm.minhash import BROADCAST_IDS, WordHashes, components, open_units, repeated_ids, shingle_set, star_components
 
-ROUNDS, BLOCK = 3, 1024
-LEAST_BITS, MOST_BITS = 64, 1 << 15
+ROUNDS, BLOCK = 2, 128
+LEAST_BITS, MOST_BITS = 64, 1 << 18
 
 
 class Bands:
@@ -77,20 +79,30 @@ class Bands:
             differ = self.differ(2 * self.top(band))
             if not differ:  # only equal sets are linked
                 continue
-            parts = differ + 1
-            if band not in self.edges:
-                self.edges[band] = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-            at = np.concatenate([[0], np.searchsorted(shingles, self.edges[band]), [len(shingles)]])
-            key = sums[at[1:]] - sums[at[:-1]]
-            key += np.diff(at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            key += np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 0xC2B2AE3D27D4EB4F % 2**64)
-            out.append((key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB))
+            for times in (1, 2):
+                key, held = self._ranges(shingles, sums, band, times * (differ + 1))
+                enough = len(held) - np.count_nonzero(held) < len(held) - differ
+                out.append(key[held > 0] if times == 1 or enough else key)
+                if held.all():
+                    break
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
+    def _ranges(self, shingles: np.ndarray, sums: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key for the content of each range of the hash space, and how many elements it has."""
+        if parts not in self.edges:
+            self.edges[parts] = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        at = np.concatenate([[0], np.searchsorted(shingles, self.edges[parts]), [len(shingles)]])
+        held = np.diff(at)
+        key = sums[at[1:]] - sums[at[:-1]]
+        key += held.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        key += np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band * 0xC2B2AE3D27D4EB4F + parts) % 2**64)
+        return (key ^ (key >> np.uint64(30))) * np.uint64(0x94D049BB133111EB), held
+
     def width(self, size: int) -> int:
-        """Bits of a bitmap: the power of two at or over twice the band's largest size."""
-        top = 2 * self.top(self.band(size))
+        """Bits of a bitmap: the power of two at or over eight times the band's largest size, so
+        that few differences hide behind other elements."""
+        top = 8 * self.top(self.band(size))
         return min(MOST_BITS, max(LEAST_BITS, 1 << (top - 1).bit_length()))
 
     def bitmap(self, shingles: np.ndarray) -> np.ndarray:
@@ -208,37 +220,52 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key", "low"), "key")
 
 
-def _block_pairs(open_: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components in one tile that the bit counts leave.
-
-    A tile is cut into blocks of about ``block`` members; each pair of blocks is a unit, so a
-    member's bitmap goes to as many units as its tile has blocks.
-    """
-    counts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = open_.join(counts, "key").withColumn("at", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
-    dealt = dealt.join(classes.select("rep", "n", "bitmap"), "rep").select("key", "rep", "component", "at", "n", "bitmap", F.explode(unit).alias("u")).select("*", "u.i", "u.j").drop("u")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        bands = Bands(percent)
-        across = group["i"].iloc[0] != group["j"].iloc[0]
-        group = group.sort_values("n", kind="stable")
-        ids, part, own, size = (group[c].to_numpy() for c in ("rep", "component", "at", "n"))
-        words = min(len(x) for x in group["bitmap"]) // 8
-        maps = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in group["bitmap"]])
-        found = []
-        for i in range(len(ids) - 1):
-            end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-            rest = np.arange(i + 1, end)
-            rest = rest[(part[rest] != part[i]) & ((own[rest] != own[i]) if across else True)]
-            if len(rest):
-                bits = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                rest = rest[bands.possible(size[i], size[rest], bits)]
-                found.extend(zip(np.minimum(ids[i], ids[rest]).tolist(), np.maximum(ids[i], ids[rest]).tolist(), strict=True))
+def unit_links(ids: list[int], own: list[bool], component: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
+    """Links between sets of different components, as few as connect the same components.
+    ``across``: only between the two sides."""
+    bands = Bands(percent)
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    ids, sets, size = [ids[i] for i in order], [sets[i] for i in order], size[order]
+    side, part = np.array(own)[order], np.array(component, np.int64)[order]
+    maps = [bands.bitmap(x) for x in sets]
+    words = min(map(len, maps))
+    maps = np.stack([fold(x, words) for x in maps])
+    out = []
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
+        rest = rest[(part[rest] != part[i]) & ((side[rest] != side[i]) if across else True)]
+        if not len(rest):
+            continue
+        bits = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        fine = bands.possible(size[i], size[rest], bits)
+        for j in rest[fine][np.argsort(bits[fine], kind="stable")]:
+            if part[i] != part[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    out.append((ids[i], ids[j]))
+                    low, high = sorted((part[i], part[j]))
+                    part[part == high] = low
+    return out
+
+
+def _cluster_links(members: DataFrame, labels: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links (a, b) between components that share tiles; none if no tile is open."""
+    units = open_units(members, labels, block)
+    if units is None:
+        return None
+    dealt = units.join(table, "rep").select("cluster", "rep", "component", "own", "shingles", F.explode("units").alias("u"))
+    dealt = dealt.select("cluster", "u.across", "u.i", "u.j", "rep", "component", "own", "shingles")
+
+    def test(unit: tuple, rows: pa.Table) -> pa.Table:
+        ids, component, sides = (rows.column(c).to_pylist() for c in ("rep", "component", "own"))
+        sets = [x.values.to_numpy().view(np.uint64) for x in rows.column("shingles")]
+        links = unit_links(ids, sides, component, sets, percent, unit[1].as_py())
+        del sets
         release()
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("cluster", "across", "i", "j").applyInArrow(test, "a long, b long")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,21 +302,22 @@ def linked_components(
     signed = classes.select("rep", "n", "bitmap")
     table = _shingles(docs, members.select("rep").distinct(), words, several)
     labels = None
-    for turn in range(rounds + 1):
+    for turn in range(rounds):
         if turn == 0:
             pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
             open_ = materialise(_open(members, labels), "open-tiles")
             if open_.isEmpty():
                 break
-            if turn < rounds:  # another centre: the least member of the next component
-                centres = open_.filter("component <> low").groupBy("key").agg(F.min(F.struct("component", "rep")).alias("c"))
-                met = open_.join(centres, "key").filter("component <> c.component")
-                pairs = met.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
-            else:
-                pairs = _block_pairs(open_, signed, percent, block)
+            # Another centre: the least member of the next component.
+            centres = open_.filter("component <> low").groupBy("key").agg(F.min(F.struct("component", "rep")).alias("c"))
+            met = open_.join(centres, "key").filter("component <> c.component")
+            pairs = met.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
         links = materialise(confirmed(materialise(bounded(pairs, signed, percent), "bounded"), table, percent), "links")
         labels = star_components(links) if labels is None else _merge(labels, links)
+    more = _cluster_links(members, labels, table, percent, block)
+    if more is not None:
+        labels = _merge(labels, materialise(more, "cluster-links"))
 
     ties = None
     if several:
