@@ -127,6 +127,8 @@ DISGUISED_DOT = re.compile(rf"(?<=[\w]){_dotted}(?=\w)", re.IGNORECASE)
 # What joins the parts of an address, and the labels after it.
 ANY_AT = re.compile(rf"{_atted}|@", re.IGNORECASE)
 LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_dotted}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+# The last label of a host: letters, two at least, so neither a number nor an initial.
+TOP = re.compile(r"(?<![A-Za-z0-9-])(?=[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9-]*[A-Za-z])[A-Za-z0-9-]+\Z")
 DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_dotted}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _token = re.compile(r"\w+")
 _spoken = frozenset([*DIGIT_WORDS, *REPEATS, *DOT_WORDS, "plus"])
@@ -233,7 +235,7 @@ def disguised_addresses(text: str) -> Iterator[tuple[int, int]]:
         if at.start() < done:
             continue
         start = run_start(text, at.start(), done)
-        if start < at.start() and (m := LABELS.match(text, at.end())):
+        if start < at.start() and (m := LABELS.match(text, at.end())) and TOP.search(text, m.start(), m.end()):
             yield start, m.end()
             done = m.end()
 

@@ -264,13 +264,16 @@ def _ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarr
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> ExampleIndex:
     """The index of at most ``max_examples`` labelled documents (chosen by a hash of the
-    identifier) over all their terms."""
+    identifier) over all their terms.  Of several texts of one identifier the one with the
+    least hash is the example."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(max_examples)
-    texts = materialise(docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"), "examples")
+    held = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id")
+    texts = held.agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("text"))
+    texts = materialise(texts, "examples")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
 

@@ -149,18 +149,37 @@ def unchunked(body: bytes) -> bytes:
     return b"".join(parts)
 
 
+def inflated(body: bytes, window: int, several: bool) -> bytes | None:
+    """Decompressed data, of all members if there may be ``several``; None if it is cut short,
+    followed by anything but zeros, or larger than MOST_CONTENT."""
+    parts, size = [], 0
+    while True:
+        stream = zlib.decompressobj(window)
+        parts.append(stream.decompress(body, MOST_CONTENT + 1 - size))
+        size += len(parts[-1])
+        if size > MOST_CONTENT or not stream.eof:
+            return None
+        body = stream.unused_data
+        if not body.strip(b"\0"):
+            return b"".join(parts)
+        if not several:
+            return None
+
+
 def uncoded(body: bytes, codings: str) -> bytes | None:
-    """The content of a payload after its content codings; None if one is unknown or broken."""
+    """The content of a payload after its content codings (a payload of no bytes has none);
+    None if a coding is unknown, broken or cut short, or the content is too large."""
     for coding in reversed([c.strip().lower() for c in codings.split(",") if c.strip()]):
+        if coding not in ("gzip", "x-gzip", "deflate", "identity"):
+            return None
+        if coding == "identity" or not body:
+            continue
         try:
-            if coding in ("gzip", "x-gzip"):
-                body = zlib.decompressobj(31).decompress(body)
-            elif coding == "deflate":
-                body = zlib.decompressobj(15 if body[:1] == b"\x78" else -15).decompress(body)
-            elif coding != "identity":
-                return None
+            body = inflated(body, 31, True) if "gzip" in coding else inflated(body, 15 if body[:1] == b"\x78" else -15, False)
         except zlib.error:
             return None
+        if body is None:
+            return None
     return body
 
 
@@ -215,6 +234,8 @@ def derive(record: bytes | None) -> list[tuple[str, str, str, str, str, str, str
     return out
 
 
+#: Larger content is told as not decoded, so that a small body can not fill a worker's memory.
+MOST_CONTENT = 256 << 20
 DERIVED = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_digest string, block_digest string, content_length long, n_links long, title string, record binary"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
