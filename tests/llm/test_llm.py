@@ -301,7 +301,7 @@ def test_toxicity_covers_all_terms(spark):
         cells = [[sum((term in counts[i]) == held and (i % 4 == 0) == bad for i in range(24)) for bad in (0, 1)] for held in (0, 1)]
         return 2 * sum(n * math.log(n * 24 / (sum(row) * (18, 6)[bad])) for row in cells for bad, n in enumerate(row) if n)
 
-    factor = {t: (math.log((1 + len(rows)) / (1 + n)) + 1) * (1 + max(0, ratio(t))) ** 0.75 for t, n in df.items()}
+    factor = {t: (math.log((1 + len(rows)) / (1 + n)) + 1) * (1 + max(0, ratio(t))) ** toxicity.RATIO_POWER for t, n in df.items()}
     weights = {i: {t: (1 + math.log(n)) * factor[t] for t, n in c.items()} for i, c in counts.items()}
     norms = {i: math.sqrt(sum(w * w for w in c.values())) for i, c in weights.items()}
     base = 7 / 26
@@ -312,7 +312,7 @@ def test_toxicity_covers_all_terms(spark):
 
     def vote(sims):
         best = sorted(sims.items(), key=lambda x: (-round(x[1], 12), x[0]))[:25]
-        return (sum(s**4 * (j % 4 == 0) for j, s in best) + 0.05 * base) / (sum(s**4 for _, s in best) + 0.05)
+        return (sum(s**toxicity.POWER * (j % 4 == 0) for j, s in best) + 0.05 * base) / (sum(s**toxicity.POWER for _, s in best) + 0.05)
 
     own = sorted((vote({j: s for j, s in near(i).items() if j != i}), i) for i in range(24))
     toxic = [int(i % 4 == 0) for _, i in own]
