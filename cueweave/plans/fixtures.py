@@ -44,10 +44,11 @@ class Fixtures:
         start = F.col("turn") * 10000
         return t.select("rec_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), F.array_join("l", " ").alias("word"), (start / F.lit(1000.0)).alias("start"), ((start + F.size("l") * 80) / F.lit(1000.0)).alias("end"), "speaker", F.lit(False).alias("overlap_candidate"))
 
-    def event_ranges(self) -> DataFrame:
+    def event_ranges(self, events: DataFrame | None = None) -> DataFrame:
+        events = self.table("events") if events is None else events
         s = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US  # sessions run in UTC
         e = s + F.round(F.col("value") * 100).cast("long") * 6000000
-        return self.table("events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("range_ord"), (s / F.lit(1e6)).alias("start"), (e / F.lit(1e6)).alias("end"))
+        return events.select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("range_ord"), (s / F.lit(1e6)).alias("start"), (e / F.lit(1e6)).alias("end"))
 
     def turns(self) -> DataFrame:
         """Made and written once."""
@@ -194,6 +195,11 @@ class Fixtures:
         a, b = side(F.col("manual")).withColumnRenamed("l", "manual"), side(~F.col("manual")).withColumnRenamed("l", "automatic")
         return a.join(b, "rec_id", "full")
 
-    def job_events(self) -> DataFrame:
+    def arriving(self, name: str) -> DataFrame:
+        """A given table as a stream.  A stream takes a folder or a pattern, and the table may be one file."""
+        return self.spark.readStream.schema(self.table(name).schema).parquet(f"{self.dir}/{name}.parque[t]")
+
+    def job_events(self, events: DataFrame | None = None) -> DataFrame:
+        events = self.table("events") if events is None else events
         status = F.create_map(*[F.lit(x) for p in {"signup": "queued", "view": "transcribing", "click": "deciding", "purchase": "slicing", "error": "failed"}.items() for x in p])
-        return self.table("events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.coalesce(status[F.col("event_type")], F.lit("queued")).alias("status"), (F.col("event_id") % 50).alias("current"), F.lit(50).cast("long").alias("total"))
+        return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.coalesce(status[F.col("event_type")], F.lit("queued")).alias("status"), (F.col("event_id") % 50).alias("current"), F.lit(50).cast("long").alias("total"))

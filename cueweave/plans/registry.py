@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueweave.functions import scan
+from cueweave.functions.storage import fresh_path
 from cueweave.functions.text import strip_tags
 from cueweave.operators import interval_join, intervals, jobs, judging, reports, transcript
 from cueweave.operators.highlights import highlight_corpus
 from cueweave.plans.fixtures import Fixtures
-from cueweave.sources import media, subtitles
+from cueweave.sources import media, results, subtitles
+from cueweave.streaming import streams
 
 RANGE_GAP, RANGE_TINY = 3600.0, 7200.0
 EVENT_BUCKET_US, RANGE_BUCKET = 100 * 86_400_000_000, 100 * 86_400.0
@@ -137,6 +139,24 @@ def _wide(f: Fixtures) -> DataFrame:
     return kept.select("rec_id", F.col("seg_ord").alias("range_ord"), (F.col("start") - 30.0).alias("start"), (F.col("end") + 30.0).alias("end"))
 
 
+def _stream_ranges(f: Fixtures) -> DataFrame:
+    path = fresh_path(f.spark, "stream-ranges")
+    ranges = f.event_ranges(f.arriving("events")).select("rec_id", "start", "end")
+    streams.upsert_ranges(ranges, f"{path}/table", f"{path}/checkpoint", RANGE_GAP).trigger(availableNow=True).start().awaitTermination()
+    return streams.read_ranges(f.spark, f"{path}/table")
+
+
+def _stream_jobs(f: Fixtures) -> DataFrame:
+    path = fresh_path(f.spark, "stream-jobs")
+    events = f.job_events(f.arriving("events"))
+    streams.upsert_jobs(events, f"{path}/table", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.read_jobs(f.spark, f"{path}/table", ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in events.schema))
+
+
+def _transcript_docs(f: Fixtures) -> DataFrame:
+    return results.transcript_documents(f.words()).select("rec_id", F.to_json("words").alias("words"))
+
+
 def _event_overlaps(f: Fixtures) -> DataFrame:
     e = f.event_ranges().join(f.table("events").select(F.col("event_id").alias("range_ord"), "event_type"), "range_ord")
     pairs = interval_join.overlapping(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), 3600.0)
@@ -160,6 +180,9 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "words_in_ranges": lambda f: transcript.words_in_ranges(f.words(), _wide(f)).select("rec_id", "ord", "range_ord"),
     "remap_any": lambda f: transcript.remap_words_of_any(f.words(), _wide(f)).select("rec_id", "ord", "range_ord", "start", "end"),
     "event_overlaps": _event_overlaps,
+    "stream_ranges": _stream_ranges,
+    "stream_jobs": _stream_jobs,
+    "transcript_docs": _transcript_docs,
     "cut_words": lambda f: transcript.cut_words(f.words(), _edl(f)).select("rec_id", "ord", "word"),
     "edl_summary": lambda f: reports.edl_summary(_edl(f), f.recordings()),
     "span_removed": lambda f: reports.span_removed(_spans(f), _edl(f)),
@@ -187,7 +210,7 @@ _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "mode_instructions": lambda f: judging.with_instructions(f.jobs().select("rec_id", "mode")),
     "mode_summary": lambda f: reports.mode_summary(reports.edl_summary(_edl(f), f.recordings()), f.moded()),
     "file_gate": _file_gate,
-    "first_files": lambda f: subtitles.first_files(f.files().withColumn("rec_id", F.col("rec_id") % 100)),
+    "first_files": lambda f: subtitles.first_files(f.files().withColumn("rec_id", F.floor(F.col("rec_id") / 7))),
     "concat_lists": lambda f: reports.concat_list(reports.render_plan(_edl(f), f.keyframes())),
     "usable_files": _unusable,
     "aligned_words": lambda f: subtitles.parse_aligned(f.aligned()).select("rec_id", "ord", "word", "start", "end", "speaker"),
@@ -371,7 +394,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT mode, count(*) AS n_recordings, CAST(sum(n) AS BIGINT) AS n_ranges, round(sum(kept), 6) AS kept_s, round(sum(removed), 6) AS removed_s, round(max(longest), 6) AS longest_s, round(sum(removed) / nullif(sum(kept) + sum(removed), 0), 6) AS removed_share FROM one JOIN moded USING (rec_id) GROUP BY mode""",
         "file_gate": """WITH p AS (SELECT c_custkey AS rec_id, 'in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1] AS path FROM customer)
           SELECT *, CASE WHEN rec_id % 7 < 3 THEN 'video' WHEN rec_id % 7 < 5 THEN 'transcript' ELSE 'rejected' END AS kind FROM p""",
-        "first_files": """SELECT c_custkey % 100 AS rec_id, min('in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1]) AS path FROM customer GROUP BY ALL""",
+        "first_files": """SELECT c_custkey // 7 AS rec_id, min('in.v1/' || c_name || ['.mp4', '.MKV', '.mov', '.vtt', '.Srt', '.txt', ''][c_custkey % 7 + 1]) AS path FROM customer GROUP BY ALL""",
         "concat_lists": f"""WITH RECURSIVE {_EDL} SELECT rec_id, string_agg('file ''clip_' || lpad(CAST(range_ord AS VARCHAR), 4, '0') || '.mp4''', chr(10) ORDER BY range_ord) AS list FROM edl GROUP BY rec_id""",
         "usable_files": f"WITH {_CUES} SELECT rec_id, CASE WHEN rec_id % 7 = 0 THEN 0 ELSE count(*) END AS n_cues, CASE WHEN rec_id % 7 = 0 THEN 'no transcript' END AS reason FROM cues GROUP BY rec_id",
         "aligned_words": f"""WITH {_TOK} SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY turn * 20000 + k * 250, turn, k) - 1 AS ord, word, (turn * 20000 + k * 250) / 1000.0::DOUBLE AS start,
@@ -404,5 +427,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.rec_id, CASE WHEN status = 'done' AND t.rec_id % 11 = 5 THEN 'failed' ELSE status END AS status, CASE WHEN status = 'done' AND t.rec_id % 11 = 5 THEN 'judgment: api_error' ELSE reason END AS reason,
               source, n_words, last_end FROM told t LEFT JOIN c USING (rec_id)""",
     }
+    sql |= {
+        "stream_ranges": sql["merge_gaps"], "stream_jobs": sql["job_latest"],
+        "transcript_docs": f"""WITH {_WORDS} SELECT rec_id, CAST(to_json(list({{'word': word, 'start': start, 'end': "end", 'speaker': speaker, 'overlap_candidate': false}} ORDER BY ord)) AS VARCHAR) AS words FROM words GROUP BY rec_id""",
+    }
     sql["speaker_turns"] = f"""WITH {_TURNS}, f AS ({_FLAGS}) SELECT t.* FROM (SELECT *, false AS overlap_candidate FROM turns) t"""
     return sql
