@@ -17,7 +17,7 @@ null source is a source of its own, ordered last; a null array of sources is non
 such documents are not taken.  Repeated rows count and are taken like any others; rows
 with one identifier have one hash and are neighbours in the order, and null identifiers
 count as -1 there.  More than ``max_patterns`` patterns are an error, because their flow
-is routed on the driver (100,000 patterns of two sources take about a minute).  Empty
+is routed on the driver (100,000 patterns of two out of 100 sources took 7 s).  Empty
 input gives an empty result.  Other columns are ignored.
 """
 

@@ -6,7 +6,8 @@ sequences first; what remains goes to class k = C // remainder as it is when it
 nearly fills that slot, and otherwise is cut to the slot of class k + 1 exactly,
 which leaves a much shorter rest.  A worker fills the bins of every class by
 itself, so packing needs no shuffle, no shared state and no second pass: the job
-is one map over the input splits.  Bins that are still open when a worker ends
+is one map over the input splits.  (Input of fewer splits than there are cores is dealt
+over all cores first, which is a shuffle; then pieces depend on the number of cores.)  Bins that are still open when a worker ends
 are chained and cut at the capacity, so each worker pads one sequence at most.
 
 A rerun or a lost executor repeats the same split and so the same pieces; the
