@@ -149,11 +149,12 @@ class MergeIndex:
         hits = materialise(hits.distinct(), "dedup-hits")
         wanted = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "keep_id", "salts")
         wanted = F.broadcast(wanted) if hits.count() <= BROADCAST_HITS else wanted
-        # The identifier is the join key, so that texts are normalised and digested again for hits only.
+        # The identifier alone is the join key, and whether the digest is that of the hit is a written
+        # column and no filter, which would become a key as well: so only texts of hits are digested again.
         texts = [b.join(wanted, b["doc_id"].eqNullSafe(wanted["hit_id"])).select("doc_id", "keep_id", "salts", "hit_digest", normalised(F.col("text")).alias("text")) for b in self.batches]
-        texts = reduce(DataFrame.unionByName, texts).filter(digest_of(F.col("text"), self.bits) == F.col("hit_digest"))
-        texts = texts.select(F.col("hit_digest").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), "salts", F.pmod(F.monotonically_increasing_id(), "salts").alias("salt"), "text")
-        texts = materialise(texts, "dedup-texts")
+        texts = reduce(DataFrame.unionByName, texts).withColumn("same", digest_of(F.col("text"), self.bits) == F.col("hit_digest"))
+        texts = texts.select("same", F.col("hit_digest").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), "salts", F.pmod(F.monotonically_increasing_id(), "salts").alias("salt"), F.when(F.col("same"), F.col("text")).alias("text"))
+        texts = materialise(texts, "dedup-texts").filter("same").drop("same")
         kept = texts.filter("stays").groupBy("digest", "salts").agg(F.max("text").alias("kept_text"))
         kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         differ = texts.join(kept, ["digest", "salt"]).filter(F.col("text") != F.col("kept_text"))
