@@ -9,16 +9,25 @@ paths, all paths of one cost at a time, and each pattern's flow is then spread o
 documents: whole passes for all, and the rest for the documents that come first in a
 seeded hash order.  Where the order is cut is found level by level with histograms of
 256 hash buckets, summed before they are shuffled, so only the documents that share the
-leading bits of the cut are ever sorted together; there the last document may be taken
-in part.  ``routes`` tells how many of a pattern's words count for each of its sources.
+leading bits of the cut are ever ordered one by one; there the last document may be taken
+in part.  The order is a hash of identifier and text.  Rows that share it are counted by
+partition first and then placed behind the counts of earlier partitions, so a group of
+copies, however large, is never sorted in one task.  ``routes`` tells how many of a
+pattern's words count for each of its sources.
+
+The flow is routed on the driver, for at most ``max_patterns`` patterns (100,000 patterns
+of two out of 100 sources took 7 s).  If there are more, every pattern is narrowed to its
+neediest sources (largest quota for their size): to as many of them as leave no more than
+``max_patterns`` narrowed patterns, a single one if need be.  All documents still take
+part and quotas and repeats hold; a document then counts for these sources only, so the
+flow is the cheapest among such flows.
 
 Defined results: a null text has size 0; documents of size 0 are never taken.  A
 null source is a source of its own, ordered last; a null array of sources is none, and
-such documents are not taken.  Repeated rows count and are taken like any others; rows
-with one identifier have one hash and are neighbours in the order, and null identifiers
-count as -1 there.  More than ``max_patterns`` patterns are an error, because their flow
-is routed on the driver (100,000 patterns of two out of 100 sources took 7 s).  Empty
-input gives an empty result.  Other columns are ignored.
+such documents are not taken.  Repeated rows count and are taken like any others; null
+identifiers count as -1 in the hash.  Which of several rows alike in identifier, text and
+sources are taken is open, how many are is not.  Empty input gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +36,8 @@ import heapq
 from collections import deque
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,13 +174,13 @@ def route(supplies: Sequence[int], members: Sequence[Sequence[int]], quotas: Seq
 SOURCE = "struct<none:boolean,name:string>"
 
 
-def _cut(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def _cut(sized: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """(pattern, cut, before): the leading bits of the hash at which each pattern's rest ends,
     and the words of the documents with lesser bits."""
     cut = plan.filter("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before"))
     for level in range(1, LEVELS + 1):
         prefix = F.shiftrightunsigned("order", 64 - LEVEL_BITS * level)
-        inside = sized.join(F.broadcast(cut), "pattern").filter(F.shiftright(prefix, LEVEL_BITS) == F.col("cut"))
+        inside = sized.join(F.broadcast(cut) if few else cut, "pattern").filter(F.shiftright(prefix, LEVEL_BITS) == F.col("cut"))
         histogram = inside.groupBy("pattern", prefix.alias("cut")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("start"))
         upto = Window.partitionBy("pattern").orderBy("cut")  # at most 2 ** LEVEL_BITS rows
         histogram = histogram.withColumn("before", F.col("start") + F.sum("words").over(upto) - F.col("words"))
@@ -177,6 +188,49 @@ def _cut(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return cut.drop("rest")
 
 
+def _narrowed(sized: DataFrame, need: dict[tuple[bool, str], tuple[Fraction, int, Fraction]], max_patterns: int) -> DataFrame:
+    """``sized`` with each pattern narrowed to its neediest sources, so that few patterns are left.
+
+    ``need`` has the need, size and target of each source.  Adds ``whole``, the pattern as
+    it was, and source_size and target, the sums over it.
+    """
+    ranked = sorted(need, key=lambda s: (-need[s][0], s))
+    rows = [({"none": s[0], "name": s[1]}, i, need[s][1], float(need[s][2])) for i, s in enumerate(ranked)]
+    sources = sized.sparkSession.createDataFrame(rows, f"source {SOURCE}, place long, own_size long, own_target double")
+    if len(rows) <= max_patterns:
+        sources = F.broadcast(sources)
+    held = sized.select("row", F.explode("pattern").alias("source")).join(sources, "source")
+    held = held.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("place", "source"))).alias("needy"),  # a document's own sources
+        F.sum("own_size").alias("source_size"), F.sum("own_target").alias("target"),
+    )
+    needy = F.coalesce(F.transform("needy", lambda x: x["source"]), F.array().cast(f"array<{SOURCE}>"))
+    sized = sized.join(held, "row", "left").withColumn("needy", needy).fillna(0, ["source_size", "target"])
+    sized = materialise(sized, "mix-needs")
+    width = sized.agg(F.max(F.size("needy"))).first()[0] // 2
+    while width > 1 and sized.select(F.slice("needy", 1, width)).distinct().limit(max_patterns + 1).count() > max_patterns:
+        width //= 2
+    whole = sized.withColumnRenamed("pattern", "whole")
+    return whole.withColumn("pattern", F.array_sort(F.slice("needy", 1, max(1, width)))).drop("needy")
+
+
+def _behind(edge: DataFrame) -> DataFrame:
+    """Adds ``done``: the words of a pattern's rows that come before each row of ``edge``.
+
+    The order is that of (order, doc_id, size, partition, row), the last two of the written
+    table.  Words are summed by all but the row first, so one window sees a row for each
+    of these sums and the other only rows alike in one partition.
+    """
+    alike = ["pattern", "order", "doc_id", "size", "part"]
+    edge = edge.withColumn("part", F.shiftright("row", 33))
+    upto = Window.partitionBy("pattern").orderBy("order", "doc_id", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = edge.groupBy(*alike).agg(F.sum("size").alias("words"))
+    sums = sums.select(*[F.col(c).alias(f"{c}_") for c in alike], F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("ahead"))
+    placed = edge.join(sums, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in alike]))
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("row"))
+    return placed.withColumn("done", F.col("before") + F.col("ahead") + (nth - 1) * F.col("size")).drop("part", "ahead", *[f"{c}_" for c in alike])
+
+
 def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = WEIGHTS, share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 20_240_501, max_patterns: int = MAX_PATTERNS, carry: Sequence[str] = ()) -> DataFrame:
     """Choose how many words the mix takes of each document.
 
@@ -191,23 +245,30 @@ def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: s
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(marked, F.array().cast(f"array<{SOURCE}>")).alias("pattern"),
-        word_count(F.col(text_col)).alias("size"), *carry,
+        word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(text_col)).alias("order"),
+        F.monotonically_increasing_id().alias("row"), *([F.struct(*carry).alias("carried")] if carry else []),
     )
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    sized = materialise(sized.withColumn("order", order), "mix-sizes")
+    sized = materialise(sized, "mix-sizes")
 
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words"))
     found = totals.limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns; merge sources or raise max_patterns")
-    found = sorted((tuple((x["none"], x["name"]) for x in r["pattern"]), r["words"]) for r in found)
-    names = sorted({s for pattern, _ in found for s in pattern})
-    number = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for pattern, words in found:
-        for s in pattern:
-            sizes[number[s]] += words
+    narrow = len(found) > max_patterns
+    if narrow:
+        held = sized.select(F.explode("pattern").alias("s"), "size").groupBy("s").agg(F.sum("size").alias("words")).collect()  # a row for each source
+        by_source = {(r["s"]["none"], r["s"]["name"]): r["words"] for r in held}
+    else:
+        by_source = {}
+        for r in found:
+            for s in r["pattern"]:
+                by_source[s["none"], s["name"]] = by_source.get((s["none"], s["name"]), 0) + r["words"]
+    names = sorted(by_source)
+    number, sizes = {s: i for i, s in enumerate(names)}, [by_source[s] for s in names]
     targets = target_words(sizes, [weights[i % len(weights)] for i in range(len(names))], share, repeats)
+    if narrow:
+        need = {s: (Fraction(t, max(1, n)), n, t) for s, n, t in zip(names, sizes, targets, strict=True)}
+        sized = _narrowed(sized, need, max_patterns)
+        found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
+    found = sorted((tuple((x["none"], x["name"]) for x in r["pattern"]), r["words"]) for r in found)
     flows = route([w for _, w in found], [[number[s] for s in p] for p, _ in found], [round(t) for t in targets], repeats)
 
     rows = []
@@ -217,18 +278,21 @@ def mix(docs: DataFrame, sources: Column, *, id_col: str = "doc_id", text_col: s
         routes = [{"source": None if s[0] else s[1], "words": flow.get(number[s], 0)} for s in pattern]
         rows.append(([{"none": n, "name": s} for n, s in pattern], sum(sizes[i] for i in ours), float(sum(targets[i] for i in ours)), passes, rest, routes))
     plan = spark.createDataFrame(rows, f"pattern array<{SOURCE}>, source_size long, target double, passes long, rest long, routes array<struct<source:string,words:long>>")
-    plan = F.broadcast(plan)  # at most max_patterns rows
+    plan = plan.drop("source_size", "target") if narrow else plan
+    few = len(rows) <= max_patterns  # more only if there are more sources than that
+    plan = F.broadcast(plan) if few else plan
 
-    cut = F.broadcast(_cut(sized, plan))  # a row for each pattern
+    cut = _cut(sized, plan, few)  # a row for each pattern
+    cut = F.broadcast(cut) if few else cut
     placed = sized.withColumn("bucket", F.shiftrightunsigned("order", 64 - LEVEL_BITS * LEVELS)).join(plan, "pattern", "left").join(cut, "pattern", "left")
     inside = F.col("bucket") == F.col("cut")
     whole = placed.filter(~F.coalesce(inside, F.lit(False)))
     whole = whole.withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
-    in_order = Window.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.filter(inside).withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+    edge = _behind(placed.filter(inside))
     edge = edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("done")))).drop("done")
     taken = F.col("passes") * F.col("size") + F.col("extra")
-    return whole.unionByName(edge).select("doc_id", "pattern", "size", "source_size", "target", taken.alias("taken"), "routes", *carry)
+    pattern = F.col("whole" if narrow else "pattern").alias("pattern")
+    return whole.unionByName(edge).select("doc_id", pattern, "size", "source_size", "target", taken.alias("taken"), "routes", *(["carried.*"] if carry else []))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -490,3 +490,41 @@ def test_mix_of_overlapping_sources(spark):
     texts = {r.row: r.text for r in docs.collect()}
     assert {i: r.words for i, r in made.items()} == {r.row: r.taken for r in got if r.taken}
     assert all(texts[i].startswith(t) for i, r in made.items() for t in r.texts)
+
+
+def test_more_patterns_than_may_be_routed(spark):
+    rng = random.Random(8)
+    held = [rng.sample("abcdefg", rng.randrange(1, 6)) if i % 11 else [None] for i in range(300)] + [None]
+    docs = spark.createDataFrame([(i, "w " * (i % 13), own) for i, own in enumerate(held)], "doc_id long, text string, sources array<string>")
+    full = {r.doc_id: r for r in mixing.mix(docs, F.col("sources"), share=Fraction(3, 4)).collect()}
+    for most in (40, 8, 2):
+        got = mixing.mix(docs, F.col("sources"), share=Fraction(3, 4), max_patterns=most).collect()
+        assert len(got) == len(held) and len({str(r.routes) for r in got}) <= max(most, 9)
+        taken = Counter()
+        for r in got:
+            other = full[r.doc_id]
+            assert (r.pattern, r.size, r.source_size) == (other.pattern, other.size, other.source_size) and math.isclose(r.target, other.target)
+            assert 0 <= r.taken <= 2 * r.size and {x.source for x in r.routes or ()} <= {None if x.none else x.name for x in r.pattern}
+            taken[tuple((x.source, x.words) for x in r.routes or ())] += r.taken
+        assert all(n == sum(words for _, words in routes) for routes, n in taken.items())
+        reached = Counter()
+        for routes in taken:
+            reached.update(dict(routes))
+        sizes = {s: sum(i % 13 for i, own in enumerate(held) if own and s in own) for s in [*"abcdefg", None]}
+        targets = dict(zip(sizes, mixing.target_words(list(sizes.values()), [3, 1, 2, 3, 1, 2, 3, 1], Fraction(3, 4)), strict=True))
+        assert all(reached[s] <= target + 1 for s, target in targets.items())
+
+
+def test_rows_alike_are_cut_across_partitions(spark):
+    rows = [(None, "one two three", "a")] * 500 + [(None, f"x{i}", "a") for i in range(40)] + [(7, "five six", "b")] * 90 + [(8, "z", "b")] * 3
+    counts = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = mixing.mix(docs, F.array("source"), weights=(3, 2)).collect()
+        by = Counter()
+        for r in got:
+            by[r.pattern[0].name] += r.taken
+        assert all(abs(by[r.pattern[0].name] - r.target) <= 1 for r in got)
+        assert sum(bool(r.taken % r.size) for r in got) <= 2
+        counts.append(Counter((r.doc_id, r.size, r.taken) for r in got))
+    assert counts[0] == counts[1]
