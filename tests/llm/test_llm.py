@@ -528,3 +528,16 @@ def test_rows_alike_are_cut_across_partitions(spark):
         assert sum(bool(r.taken % r.size) for r in got) <= 2
         counts.append(Counter((r.doc_id, r.size, r.taken) for r in got))
     assert counts[0] == counts[1]
+
+
+def test_more_languages_than_fit_one_comparison(spark):
+    rng = random.Random(9)
+    spelled = {f"l{i:02}": [chr(rng.randrange(97, 123)) + chr(rng.randrange(97, 123)) for _ in range(9)] for i in range(12)}
+    rows = [(i, " ".join(rng.choices(spelled[k], k=20)), k) for i, k in enumerate([*spelled, "l00", "l00"] * 6)] + [(None, None, "l01"), (900, "12", "l02"), (901, "", None), (901, "kx qz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = []
+    for options in ({}, {"max_languages": 5}, {"max_languages": 1}):
+        found = langid.identify(docs, langid.learn_profiles(docs, **options)).collect()
+        told.append(sorted((r.doc_id or -1, r.lang_pred, round(r.score, 9)) for r in found))
+    assert told[0] == told[1] == told[2] and len(told[0]) == len(rows)
+    assert len(langid.identify(docs, langid.learn_profiles(docs, train_docs=4, max_languages=5)).collect()) == len(rows)
