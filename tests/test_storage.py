@@ -2,13 +2,16 @@
 
 import json
 import random
+from collections import Counter
 from decimal import Decimal
+from pathlib import Path
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from cueweave import schemas
+from cueweave.functions.storage import shared_dir
 from cueweave.functions.text import three_decimals
 from cueweave.operators import intervals, judging
 from cueweave.sources import results
@@ -117,3 +120,23 @@ def test_calls_under_way_at_once():
     frames = [pd.DataFrame({"x": range(7)}), pd.DataFrame({"x": []}), pd.DataFrame({"x": range(5)})]
     out = list(judging.in_turn(fn, iter(frames), 2, 3))
     assert [len(f) for f in out] == [2, 2, 2, 1, 2, 2, 1] and most[0] == 3
+
+
+def test_answers_of_many_calls_are_handed_on_together():
+    frames = [pd.DataFrame({"x": range(4)}) for _ in range(100)] + [pd.DataFrame({"x": []})]
+    out = list(judging.gathered(judging.in_turn(lambda f: f, iter(frames), 4, 2), 256))
+    assert [len(f) for f in out] == [256, 144] and [x for f in out for x in f["x"]] == [*range(4)] * 100
+
+
+def test_waves_do_not_group_segments_again(spark):
+    segments = spark.createDataFrame([(1, i, "A", float(i), i + 1.0, "t", False) for i in range(9)], schemas.SEGMENTS)
+
+    def model(frame):
+        rows = [(r.rec_id, r.chunk_id, r.part, json.dumps([{"start": x["start"], "end": x["end"], "decision": "keep"} for x in json.loads(r.payload)]), "MAX_TOKENS" if r.n_segments > 2 else "STOP", None) for r in frame.itertuples()]
+        return pd.DataFrame([(*r[:3], r[3][:9] if r[4] == "MAX_TOKENS" else r[3], *r[4:]) for r in rows], columns=["rec_id", "chunk_id", "part", "raw", "finish_reason", "error_code"])
+
+    written = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("judge-*")}
+    before = written()
+    decisions, failed = judging.judge(segments, model, batch_size=9, tasks=2)
+    assert Counter(n.rsplit("-", 1)[0] for n in written() - before) == {"judge-segments": 1, "judge-answers": 4, "judge-checked": 4}
+    assert sorted((r.seg_ord, r.start) for r in decisions.collect()) == [(i, float(i)) for i in range(9)] and failed.isEmpty()
