@@ -21,10 +21,11 @@ def spoken_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     recognised speech is grouped into turns.
     """
     columns = ["rec_id", "ord", "word", "start", "end", "speaker", "overlap_candidate"]
-    said = transcript.flag_overlaps(rows.filter("source = 'asr'").select(*columns))
+    said = materialise(transcript.flag_overlaps(rows.filter("source = 'asr'").select(*columns)), "said")
     turns = transcript.speaker_turns(said)
-    sentences = transcript.sentences(rows.filter("source <> 'asr'").select(*columns))
-    read = transcript.flag_overlaps(transcript.segments_as_words(sentences))
+    # Written, since flags read each sentence several times.
+    sentences = materialise(transcript.sentences(rows.filter("source <> 'asr'").select(*columns)), "sentences")
+    read = materialise(transcript.flag_overlaps(transcript.segments_as_words(sentences)), "read")
     sentences = transcript.flags_to_segments(sentences, read)
     return said.unionByName(read.select(*columns)), turns.unionByName(sentences.select(*turns.columns))
 

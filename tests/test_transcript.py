@@ -224,3 +224,16 @@ def test_arriving_caption_files(spark, tmp_path):
         streams.write_cues(files, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.word, r.start, r.speaker) for r in got.collect()) == [("one", 1.0, "B"), ("two words", 3.5, "SPEAKER")]
+
+
+def test_groups_come_whole_and_many_at_once():
+    import pyarrow as pa
+
+    rec, block = [1] * 5 + [1] * 3 + [2] * 4 + [None] * 2, [0] * 5 + [1] * 3 + [0] * 4 + [0] * 2
+    table = pa.table({"rec_id": pa.array(rec, pa.int64()), "block": pa.array(block, pa.int64()), "x": list(range(14))})
+    for size in (1, 2, 3, 6, 14):
+        got = list(transcript.whole_groups(iter(table.to_batches(max_chunksize=size))))
+        assert [x for t in got for x in t.column("x").to_pylist()] == list(range(14))
+        keys = [set(zip(t.column("rec_id").to_pylist(), t.column("block").to_pylist(), strict=True)) for t in got]
+        assert sum(map(len, keys)) == 4 and len(set().union(*keys)) == 4
+    assert len(list(transcript.whole_groups(iter(table.to_batches())))) == 2  # the last group may go on in another batch
