@@ -55,3 +55,12 @@ def test_share_removed_of_overlapping_spans(spark):
     ranges = spark.createDataFrame([(1, 0, 1.0, 2.0), (1, 1, 6.0, 12.0)], schemas.RANGES)
     got = {(r.rec_id, r.label): r.removed_share for r in reports.span_removed(spans, ranges).collect()}
     assert got == {(1, "a"): 0.5, (1, "b"): 0.5, (2, "a"): 1.0}
+
+
+def test_pairs_are_not_joined_again_for_their_offsets(spark):
+    words = spark.createDataFrame([(1, 0, "a", 1.0, 2.0, "A", False), (1, 1, "b", 6.0, 7.0, "A", False)], schemas.WORDS)
+    ranges = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 5.0, 8.0), (1, 2, 0.0, 9.0)], "rec_id long, range_ord long, start double, end double")
+    moved = transcript.remap_words_of_any(words, ranges)
+    assert sorted((r.ord, r.range_ord, r.start, r.end) for r in moved.collect()) == [(0, 0, 1.0, 2.0), (0, 2, 8.0, 9.0), (1, 1, 5.0, 6.0), (1, 2, 13.0, 14.0)]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(moved) == joins(transcript.words_in_ranges(words, ranges))
