@@ -54,7 +54,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    # In a stated order, so that reruns agree row by row.
+    return out.select("doc_id", "size", "source_size", "target", "taken").orderBy("doc_id", "size", "source_size", "taken")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
