@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from cueweave import schemas
-from cueweave.functions.storage import shared_dir
+from cueweave.functions.storage import materialise, shared_dir
 from cueweave.functions.text import three_decimals
 from cueweave.operators import intervals, judging
 from cueweave.sources import results
@@ -140,3 +140,25 @@ def test_waves_do_not_group_segments_again(spark):
     decisions, failed = judging.judge(segments, model, batch_size=9, tasks=2)
     assert Counter(n.rsplit("-", 1)[0] for n in written() - before) == {"judge-segments": 1, "judge-answers": 4, "judge-checked": 4}
     assert sorted((r.seg_ord, r.start) for r in decisions.collect()) == [(i, float(i)) for i in range(9)] and failed.isEmpty()
+
+
+def test_answers_meet_their_questions_without_a_join(spark, monkeypatch):
+    """Every wave's answers come with their segments; the first of several answers counts, foreign ones do not."""
+    segments = spark.createDataFrame([(rec, i, "A", float(i), i + 1.0, "t", False) for rec in range(3) for i in range(30)], schemas.SEGMENTS)
+    plans = []
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return materialise(df, label)
+
+    def model(frame):
+        answer = lambda r, decision: json.dumps([{"start": x["start"], "end": x["end"], "decision": decision} for x in json.loads(r.payload)])
+        rows = [(r.rec_id, r.chunk_id, r.part, answer(r, decision), "STOP", None) for r in frame.itertuples() if r.note or r.chunk_id % 2 for decision in ("keep", "remove")]
+        return pd.DataFrame([*rows, (99, 0, "", "[]", "STOP", None)], columns=["rec_id", "chunk_id", "part", "raw", "finish_reason", "error_code"])
+
+    monkeypatch.setattr(judging, "materialise", noted)
+    decisions, failed = judging.judge(segments, model, batch_size=4, tasks=2, batches_per_call=3, in_flight=2)
+    assert sorted((r.rec_id, r.seg_ord, r.start, r.decision) for r in decisions.collect()) == [(rec, i, float(i), "keep") for rec in range(3) for i in range(30)] and failed.isEmpty()
+    waves = [plan for label, plan in plans if label in ("judge-answers", "judge-checked")]
+    assert len(waves) == 4 and not any("SortMerge" in p or "Join LeftOuter" in p or "Aggregate" in p for p in waves)
+    assert max(p.count("JsonToStructs") + p.count("from_json") for p in waves) == 1
