@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cueweave.functions.storage import materialise
 from cueweave.operators import intervals, judging, reports, transcript
 from cueweave.sources.media import media_gate
-from cueweave.sources.subtitles import best_transcripts
+from cueweave.sources.subtitles import best_transcripts, without_transcript
 
 
 def spoken_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,12 +44,13 @@ def highlight_corpus(
     """
     if (keep is None) == (fn is None):
         raise ValueError("give either a rule or a model")
-    gate = media_gate(probes)
+    # Few rows that are read several times: what they are made from is read once.
+    jobs, gate = materialise(jobs.select("rec_id", "mode"), "wanted"), materialise(media_gate(probes).select("rec_id", "status", "reason", "duration"), "gate")
     _, unknown = judging.require_mode(jobs)
-    sound = jobs.select("rec_id", "mode").join(gate.filter("status = 'ok'").select("rec_id", "duration"), "rec_id").join(unknown.select("rec_id").distinct(), "rec_id", "left_anti")
+    sound = jobs.join(gate.filter("status = 'ok'").select("rec_id", "duration"), "rec_id").join(unknown.select("rec_id").distinct(), "rec_id", "left_anti")
     sound = materialise(sound, "jobs")
-    rows, silent = best_transcripts(sound, transcripts)
-    rows = materialise(rows, "transcripts")
+    rows = materialise(best_transcripts(sound, transcripts)[0], "transcripts")
+    silent = without_transcript(sound, rows.select("rec_id").distinct())
     words, segments = spoken_units(rows)
     words, segments = materialise(words, "words"), materialise(segments, "segments")
     if fn is None:

@@ -121,7 +121,8 @@ def build_edl(decisions: DataFrame, words: DataFrame, recordings: DataFrame, min
 def checked_edl(decisions: DataFrame, words: DataFrame, recordings: DataFrame, min_gap: float = MIN_GAP, min_duration: float = MIN_SEGMENT, bucket_seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(ranges, violations): the kept ranges of the recordings whose ranges are sound, and what
     is wrong with those of the others."""
-    ranges = build_edl(decisions, words, recordings, min_gap, min_duration, bucket_seconds)
+    # Written: they are read for what is sound, for what is not, and by whoever asks for either.
+    ranges = materialise(build_edl(decisions, words, recordings, min_gap, min_duration, bucket_seconds), "ranges")
     wrong = edl_violations(ranges, bucket_ranges=None if bucket_seconds is None else BUCKET_RANGES)
     return ranges.join(wrong.select("rec_id").distinct(), "rec_id", "left_anti"), wrong
 

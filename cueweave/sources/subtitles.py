@@ -142,7 +142,13 @@ def best_transcripts(wanted: DataFrame, transcripts: dict[str, DataFrame]) -> tu
     for source in SOURCES:
         if source in transcripts:
             own = transcripts[source].join(left, "rec_id", "left_semi").withColumn("source", F.lit(source))
-            left = left.join(own.select("rec_id").distinct(), "rec_id", "left_anti")
+            left = left.join(transcripts[source].select("rec_id").distinct(), "rec_id", "left_anti")
             parts.append(own)
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows, left.select("rec_id", F.lit("no transcript").alias("reason"))
+    return reduce(DataFrame.unionByName, parts), without_transcript(left)
+
+
+def without_transcript(wanted: DataFrame, heard: DataFrame | None = None) -> DataFrame:
+    """(rec_id, reason) of the wanted recordings that are not among the ``heard`` ones."""
+    left = wanted.select("rec_id").filter("rec_id is not null").distinct()
+    left = left if heard is None else left.join(heard, "rec_id", "left_anti")
+    return left.select("rec_id", F.lit("no transcript").alias("reason"))

@@ -106,3 +106,17 @@ def test_whole_job_by_a_model_that_fails_for_one(spark):
     status = {r.rec_id: (r.status, r.reason) for r in got["status"].collect()}
     assert status[2] == ("failed", "judgment: malformed") and status[1] == status[7] == ("done", None)
     assert {r.rec_id for r in got["clean"].collect()} == {r.rec_id for r in got["decisions"].collect()} == {1, 7}
+
+
+def test_steps_that_several_tables_share_are_made_once(spark, monkeypatch):
+    """Ranges, gate and jobs are written once; what reads them does not make them again."""
+    labels = []
+    for module in (highlights, highlights.intervals):
+        made = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, label, made=made: labels.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or made(df, label))
+    got = highlights.highlight_corpus(*corpus(spark), keep=~F.lower("text").contains("drop"))
+    plans = dict(labels)
+    assert [sum(label == x for label, _ in labels) for x in ("ranges", "gate", "wanted")] == [1, 1, 1]
+    assert "collect_list" in plans["ranges"] and not any("collect_list" in plans[x] or "Generate" in plans[x] for x in ("edl", "status"))
+    assert "from_json" in plans["gate"] and "from_json" not in plans["jobs"] + plans["status"] + plans["transcripts"]
+    assert {r.rec_id for r in got["violations"].collect()}.isdisjoint(r.rec_id for r in got["edl"].collect())
