@@ -51,14 +51,23 @@ BEGINNING = 4
 COMMON = 0.08
 BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
 BATCH_TEXTS, RARE_TEXTS = 64, 16
+#: The share of blocks left over from which all are scored in one product.
+DENSE = 0.15
 FLUSH_TERMS = 100_000
 MEMO_TERMS = 120_000
 _word = re.compile(r"[^\W\d_]+")
+_ascii_letters = "".join(c if c.isalpha() else " " for c in map(chr, range(128)))
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    low = (text or "").lower()
+    return low.translate(_ascii_letters).split() if low.isascii() else _word.findall(low)
 
 
 def text_terms(text: str | None) -> list[str]:
     """The words of a text and, marked with a hyphen, the beginnings of the longer ones."""
-    words = _word.findall((text or "").lower())
+    words = words_of(text)
     return words + [w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING]
 
 
@@ -77,23 +86,35 @@ class Vocabulary:
 
     def numbers(self, terms: Sequence[str]) -> list[int]:
         found = list(map(self.memo.get, terms))
-        new = [t for t, n in zip(terms, found, strict=True) if n is None]
-        if new:
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            new = [terms[i] for i in missing]
             if len(self.memo) + len(new) > MEMO_TERMS:
                 self.memo = {}
             own = term_hashes(new)
             at = np.searchsorted(self.hashes, own)
             held = self.padded[at] == own
-            made = dict(zip(new, np.where(held, at, -1 - own).tolist(), strict=True))
+            made = np.where(held, at, -1 - own).tolist()
             if len(new) <= MEMO_TERMS:
-                self.memo.update(made)
-            found = [made[t] if n is None else n for t, n in zip(terms, found, strict=True)]
+                self.memo.update(zip(new, made, strict=True))
+            for i, n in zip(missing, made, strict=True):
+                found[i] = n
         return found
 
+    def distinct(self, text: str | None) -> list[int]:
+        """The terms of a text, each once.  Beginnings are cut from distinct words."""
+        words = set(words_of(text))
+        return self.numbers([*words, *{w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING}])
+
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         """The terms of a text and how often each occurs."""
-        found = Counter(text_terms(text))
-        return self.numbers(list(found)), list(found.values())
+        times = Counter(words_of(text))
+        heads: dict[str, int] = {}
+        for word, n in times.items():
+            if len(word) > BEGINNING:
+                head = word[:BEGINNING] + "-"
+                heads[head] = heads.get(head, 0) + n
+        return self.numbers([*times, *heads]), [*times.values(), *heads.values()]
 
 
 class ExampleIndex:
@@ -161,10 +182,10 @@ class ExampleIndex:
 
     def weigh(self, terms: Sequence[int], times: Sequence[int]) -> tuple[np.ndarray, np.ndarray, float]:
         """(terms, weights of unit length, norm) of the terms of the examples in a text."""
-        found = np.array(terms, np.int64)
+        found = np.asarray(terms, np.int64)
         known = found >= 0
         found = found[known]
-        weights = (1 + np.log(np.array(times, np.float64)[known])) * self.factor[found]
+        weights = (1 + np.log(np.asarray(times, np.float64)[known])) * self.factor[found]
         norm = float(np.sqrt((weights**2).sum()))
         return (found, weights / norm, norm) if norm > 0 else (found[:0], weights[:0], 0.0)
 
@@ -203,19 +224,24 @@ class ExampleIndex:
         done = np.zeros((texts, self.blocks), bool)
 
         def finish(todo: np.ndarray) -> None:
-            for block in np.flatnonzero(todo.any(axis=0)):
-                who = np.flatnonzero(todo[:, block])
-                scores[who, block] += asked[who] @ self.common[:, block * BLOCK : (block + 1) * BLOCK]
+            if todo.mean() > DENSE:  # so many that one product costs less than one for each block
+                product = (asked @ self.common).reshape(scores.shape)
+                product[~todo] = 0
+                scores[...] += product
+            else:
+                for block in np.flatnonzero(todo.any(axis=0)):
+                    who = np.flatnonzero(todo[:, block])
+                    scores[who, block] += asked[who] @ self.common[:, block * BLOCK : (block + 1) * BLOCK]
             done[todo] = True
             if without is not None:
                 scores.reshape(texts, width)[np.arange(texts), without] = 0
 
         first = min(self.blocks, FIRST_BLOCKS + -(-k // BLOCK))
-        todo = np.zeros_like(done)
-        np.put_along_axis(todo, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        todo, best = np.zeros_like(done), np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        np.put_along_axis(todo, best, True, axis=1)
         finish(todo)
-        reached = np.where(done[:, :, None], scores, 0).reshape(texts, width)
-        floor = np.partition(reached, -k, axis=1)[:, -k] if k < width else np.zeros(texts)
+        reached = np.take_along_axis(scores, best[:, :, None], axis=1).reshape(texts, -1)
+        floor = np.partition(reached, -k, axis=1)[:, -k] if k < reached.shape[1] else np.zeros(texts)
         finish(~done & (bound >= floor[:, None] - 1e-9) & (bound > 0))
         return np.where(done[:, :, None], scores, 0).reshape(texts, width)[:, : len(self.ids)]
 
@@ -299,7 +325,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(vocabulary.numbers(list(set(text_terms(text.as_py())))))
+                seen.update(vocabulary.distinct(text.as_py()))
                 n += 1
                 if len(seen) >= FLUSH_TERMS:
                     yield told()
@@ -353,12 +379,13 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
                 which = [texts.setdefault(t, len(texts)) for t in batch.column(2).to_pylist()]
                 vectors, norms, hashes, times = [], [], [], []
                 for text in texts:
-                    terms, numbers = vocabulary.counts(text)
+                    terms, numbers = (np.array(x, np.int64) for x in vocabulary.counts(text))
                     found, weights, norm = examples.weigh(terms, numbers)
                     vectors.append((found, weights))
                     norms.append(norm)
-                    hashes.append([t for t in terms if t < 0])
-                    times.append([n for t, n in zip(terms, numbers, strict=True) if t < 0])
+                    other = terms < 0
+                    hashes.append(terms[other])
+                    times.append(numbers[other])
                 near = list(examples.nearest_of(vectors)) if len(examples.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
                 kinds = [pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 columns = [norms, [a for a, _ in near], [s for _, s in near], hashes, times]

@@ -541,3 +541,29 @@ def test_more_languages_than_fit_one_comparison(spark):
         told.append(sorted((r.doc_id or -1, r.lang_pred, round(r.score, 9)) for r in found))
     assert told[0] == told[1] == told[2] and len(told[0]) == len(rows)
     assert len(langid.identify(docs, langid.learn_profiles(docs, train_docs=4, max_languages=5)).collect()) == len(rows)
+
+
+def test_toxicity_terms_and_dense_blocks_give_what_the_plain_way_gives(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "a_b2c \x0b\x1cD\x7fe", "Straße ½ Ⅷ Kelvin ²x", *["".join(rng.choice("abcdeABCDE \t\n_-9.é٠一") for _ in range(rng.randrange(300))) for _ in range(200)]]
+    texts += [t.encode("ascii", "ignore").decode() for t in texts[4:]]
+    plain = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    words = toxicity.Vocabulary(np.sort(toxicity.term_hashes(["abcd-", "abcde", "a"])))
+    for t in texts:
+        assert toxicity.words_of(t) == plain(t)
+        want = Counter(toxicity.text_terms(t))
+        terms, times = words.counts(t)
+        assert dict(zip(terms, times, strict=True)) == dict(zip(words.numbers(list(want)), want.values(), strict=True))
+        assert sorted(words.distinct(t)) == sorted(terms)
+    n = 400
+    vectors = [(np.sort(np.array(rng.sample(range(60), 20))), np.full(20, 20**-0.5)) for _ in range(n)]
+    index = toxicity.ExampleIndex(np.arange(60), np.ones(60), list(range(n)), [i % 2 for i in range(n)], [(t, np.ones(20)) for t, _ in vectors])
+    got = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "DENSE", share)
+        got.append([(at.tolist(), sim.tolist()) for at, sim in index.nearest_of(vectors[:50])])
+    held = {i: set(t.tolist()) for i, (t, _) in enumerate(vectors)}
+    for (at, sims), mine in zip(got[0], list(held.values())[:50], strict=True):
+        best = sorted(((-len(mine & own) / 20, i) for i, own in held.items()))[: len(at)]
+        assert [int(index.ids[p]) for p in at] == [i for _, i in best] and np.allclose(sims, [-s for s, _ in best])
+    assert got[0] == got[1]
