@@ -2,7 +2,7 @@
 
 Terms are words (runs of letters, lower-cased) and their first four letters.  Every term
 of the labelled examples (a bounded sample) is indexed; none is dropped.  A term weighs
-(1 + log count) x inverse document frequency x (1 + r) ** 0.75, r being its
+(1 + log count) x inverse document frequency x (1 + r) ** 0.5, r being its
 log-likelihood ratio against the label, which is 0 for a term that no example holds.  Document frequencies are counted over all
 documents, and a text's norm covers all its terms: those outside the examples are
 looked up by a join on their 63-bit hash, because their number is not bounded.
