@@ -28,10 +28,9 @@ repeated results.  Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from copy import copy
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +52,35 @@ BLOCK, FIRST_BLOCKS, PIVOTS = 16, 4, 16
 BATCH_TEXTS, RARE_TEXTS = 64, 16
 #: The share of blocks left over from which all are scored in one product.
 DENSE = 0.15
-FLUSH_TERMS = 100_000
-MEMO_TERMS = 120_000
+#: So many characters of texts are cut into words at once (a longer text by itself).
+PORTION = 3_000_000
 _word = re.compile(r"[^\W\d_]+")
-_ascii_letters = "".join(c if c.isalpha() else " " for c in map(chr, range(128)))
+_ascii_letters = bytes(ord(c.lower()) if c.isalpha() and i < 128 else 32 for i, c in enumerate(map(chr, range(256))))
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    out = np.zeros(0x110000, bool)
+    for low in range(0, len(out), 1 << 16):
+        for run in _word.finditer("".join(map(chr, range(low, low + (1 << 16))))):
+            out[low + run.start() : low + run.end()] = True
+    return out
+
+
+def spaced(text: str | None) -> bytes:
+    """A text in lower case with a space for everything but letters."""
+    text = text or ""
+    if text.isascii():
+        return text.encode().translate(_ascii_letters)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(_letters()[points], points, np.uint32(32))
+    return points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
 def words_of(text: str | None) -> list[str]:
     """The runs of letters of a text, lower-cased."""
-    low = (text or "").lower()
-    return low.translate(_ascii_letters).split() if low.isascii() else _word.findall(low)
+    return spaced(text).decode("utf-8", "surrogatepass").split()
 
 
 def text_terms(text: str | None) -> list[str]:
@@ -71,50 +89,77 @@ def text_terms(text: str | None) -> list[str]:
     return words + [w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING]
 
 
-def term_hashes(terms: Iterable[str]) -> np.ndarray:
-    """63-bit hashes; terms are told apart by them."""
-    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in terms], np.int64)
+def term_hashes(terms: Iterable[str | bytes]) -> np.ndarray:
+    """63-bit hashes of terms or their UTF-8; terms are told apart by them."""
+    own = (t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in terms)
+    return (np.array(list(map(xxhash.xxh3_64_intdigest, own)), np.uint64) >> np.uint64(1)).astype(np.int64)
+
+
+def beginning(word: bytes) -> bytes:
+    """The first letters of a word in UTF-8, marked with a hyphen; nothing for a short word."""
+    if word.isascii():
+        return word[:BEGINNING] + b"-" if len(word) > BEGINNING else b""
+    letters = word.decode("utf-8", "surrogatepass")
+    return (letters[:BEGINNING] + "-").encode("utf-8", "surrogatepass") if len(letters) > BEGINNING else b""
+
+
+def portions(texts: Sequence[str | None]) -> Iterator[Sequence[str | None]]:
+    """The texts in order, PORTION characters at a time."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held > PORTION and i > low:
+            yield texts[low:i]
+            low, held = i, len(text or "")
+    if len(texts) > low:
+        yield texts[low:]
 
 
 class Vocabulary:
     """Numbers of terms: the place of a term of the examples among their sorted hashes, or
-    -1 - hash for any other.  Terms seen before are remembered up to a bound."""
+    -1 - hash for any other."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes, self.padded = hashes, np.append(hashes, -1)
-        self.memo: dict[str, int] = {}
-
-    def numbers(self, terms: Sequence[str]) -> list[int]:
-        found = list(map(self.memo.get, terms))
-        missing = [i for i, n in enumerate(found) if n is None]
-        if missing:
-            new = [terms[i] for i in missing]
-            if len(self.memo) + len(new) > MEMO_TERMS:
-                self.memo = {}
-            own = term_hashes(new)
-            at = np.searchsorted(self.hashes, own)
-            held = self.padded[at] == own
-            made = np.where(held, at, -1 - own).tolist()
-            if len(new) <= MEMO_TERMS:
-                self.memo.update(zip(new, made, strict=True))
-            for i, n in zip(missing, made, strict=True):
-                found[i] = n
-        return found
+
+    def numbers(self, terms: Iterable[str | bytes]) -> np.ndarray:
+        own = term_hashes(terms)
+        at = np.searchsorted(self.hashes, own)
+        return np.where(self.padded[at] == own, at, -1 - own)
+
+    def table(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the text, term, how often it occurs there) of many texts, ordered by text.
+        The texts' words are cut, told apart and counted together, so that Python
+        handles each different word once."""
+        joined = np.frombuffer(b"\n".join(map(spaced, texts)), np.uint8)
+        letter = joined > 32
+        edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))  # starts and ends of words
+        lengths, text = edge[1::2] - edge[::2], np.searchsorted(np.flatnonzero(joined == 10), edge[::2])
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(joined[letter])]).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = {b"": 0}
+        head = np.array([heads.setdefault(h, len(heads)) for h in map(beginning, words)], np.int64)
+        numbers = self.numbers([*words, *heads])
+        held, times = np.unique(text * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+        text, word = np.divmod(held, max(1, len(words)))
+        long = head[word] > 0
+        held, at = np.unique(text[long] * len(heads) + head[word[long]], return_inverse=True)
+        begun, start = np.divmod(held, len(heads))
+        text = np.concatenate([text, begun])
+        order = np.argsort(text, kind="stable")
+        terms = np.concatenate([numbers[word], numbers[len(words) + start]])
+        times = np.concatenate([times, np.bincount(at, times[long], len(held)).astype(np.int64)])
+        return text[order], terms[order], times[order]
 
     def distinct(self, text: str | None) -> list[int]:
-        """The terms of a text, each once.  Beginnings are cut from distinct words."""
-        words = set(words_of(text))
-        return self.numbers([*words, *{w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING}])
+        """The terms of a text, each once."""
+        return self.table([text])[1].tolist()
 
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         """The terms of a text and how often each occurs."""
-        times = Counter(words_of(text))
-        heads: dict[str, int] = {}
-        for word, n in times.items():
-            if len(word) > BEGINNING:
-                head = word[:BEGINNING] + "-"
-                heads[head] = heads.get(head, 0) + n
-        return self.numbers([*times, *heads]), [*times.values(), *heads.values()]
+        _, terms, times = self.table([text])
+        return terms.tolist(), times.tolist()
 
 
 class ExampleIndex:
@@ -194,16 +239,18 @@ class ExampleIndex:
         identifier.  ``without`` gives a place that is no candidate for each vector."""
         for low in range(0, len(vectors), BATCH_TEXTS):
             part = vectors[low : low + BATCH_TEXTS]
-            scores = self._scores(part, k, None if without is None else without[low : low + len(part)])
-            least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(len(part))
-            for sims, floor in zip(scores, least, strict=True):
+            scores, floors = self._scores(part, k, None if without is None else without[low : low + len(part)])
+            for sims, floor in zip(scores, floors, strict=True):
                 at = np.flatnonzero(sims >= max(floor - 1e-9, 1e-12))
+                if len(at) > 4 * k:
+                    at = at[sims[at] >= np.partition(sims[at], -k)[-k] - 1e-9]
                 sims = np.round(sims[at], 12)  # equal examples tie, whatever the order of sums
                 best = np.lexsort((self.ids[at], -sims))[:k]
                 yield at[best], sims[best]
 
-    def _scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> np.ndarray:
-        """Similarities of the vectors with the examples of all blocks that can matter; 0 elsewhere."""
+    def _scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities of the vectors with the examples of all blocks that can matter, 0 elsewhere;
+        and a bound that k examples reach, if so many are similar at all."""
         texts, width = len(vectors), self.blocks * BLOCK
         text = np.repeat(np.arange(texts), [len(t) for t, _ in vectors])
         terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
@@ -243,7 +290,8 @@ class ExampleIndex:
         reached = np.take_along_axis(scores, best[:, :, None], axis=1).reshape(texts, -1)
         floor = np.partition(reached, -k, axis=1)[:, -k] if k < reached.shape[1] else np.zeros(texts)
         finish(~done & (bound >= floor[:, None] - 1e-9) & (bound > 0))
-        return np.where(done[:, :, None], scores, 0).reshape(texts, width)[:, : len(self.ids)]
+        scores[~done] = 0
+        return scores.reshape(texts, width)[:, : len(self.ids)], floor
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         """Weighted share of toxic neighbours, drawn to the base rate when nothing is close."""
@@ -318,21 +366,23 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     @releasing
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen, n = Vocabulary(terms), Counter(), 0
+        vocabulary, known, n = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64()), pa.array([n] + [0] * (len(seen) - 1), pa.int64())], ["term", "n", "docs"])
+        def told(term: np.ndarray, times: np.ndarray, docs: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(times), pa.array([docs] + [0] * (len(term) - 1), pa.int64())], ["term", "n", "docs"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(vocabulary.distinct(text.as_py()))
-                n += 1
-                if len(seen) >= FLUSH_TERMS:
-                    yield told()
-                    seen, n = Counter(), 0
-        if n:
-            seen[0] += 0  # a row for the number of documents
-            yield told()
+            for texts in portions(batch.column(0).to_pylist()):
+                _, seen, _ = vocabulary.table(texts)
+                n += len(texts)
+                known += np.bincount(seen[seen >= 0], minlength=len(terms))
+                rest, times = np.unique(seen[seen < 0], return_counts=True)
+                if len(rest):
+                    yield told(rest, times, 0)
+        if n:  # the first row tells the number of documents, too
+            at = np.flatnonzero(known)
+            at = at if len(at) else np.zeros(1, np.int64)
+            yield told(at, known[at], n)
 
     known_df, total, other = np.zeros(len(terms)), 0, None
     if len(terms):
@@ -373,19 +423,21 @@ def score(docs: DataFrame, index: ExampleIndex, *, id_col: str = "doc_id", text_
         examples = copy(sent.value)  # what the search adds goes with the task
         vocabulary = Vocabulary(examples.terms)
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
                 texts: dict[str | None, int] = {}  # copies are searched once
                 which = [texts.setdefault(t, len(texts)) for t in batch.column(2).to_pylist()]
                 vectors, norms, hashes, times = [], [], [], []
-                for text in texts:
-                    terms, numbers = (np.array(x, np.int64) for x in vocabulary.counts(text))
-                    found, weights, norm = examples.weigh(terms, numbers)
-                    vectors.append((found, weights))
-                    norms.append(norm)
-                    other = terms < 0
-                    hashes.append(terms[other])
-                    times.append(numbers[other])
+                for part in portions(list(texts)):
+                    text, terms, numbers = vocabulary.table(part)
+                    ends = np.searchsorted(text, np.arange(len(part) + 1))
+                    for own in map(slice, ends[:-1], ends[1:]):
+                        found, weights, norm = examples.weigh(terms[own], numbers[own])
+                        vectors.append((found, weights))
+                        norms.append(norm)
+                        other = terms[own] < 0
+                        hashes.append(terms[own][other])
+                        times.append(numbers[own][other])
                 near = list(examples.nearest_of(vectors)) if len(examples.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
                 kinds = [pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 columns = [norms, [a for a, _ in near], [s for _, s in near], hashes, times]

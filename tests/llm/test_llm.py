@@ -5,6 +5,7 @@ import math
 import pickle
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -567,3 +568,29 @@ def test_toxicity_terms_and_dense_blocks_give_what_the_plain_way_gives(monkeypat
         best = sorted(((-len(mine & own) / 20, i) for i, own in held.items()))[: len(at)]
         assert [int(index.ids[p]) for p in at] == [i for _, i in best] and np.allclose(sims, [-s for s, _ in best])
     assert got[0] == got[1]
+
+
+def test_toxicity_terms_of_many_texts_are_counted_together(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéßΣ一") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    texts = [None, "", " 7 ", "İİ \u0345Σ Σ", *[" ".join(rng.choice(words) for _ in range(rng.randrange(800))) for _ in range(100)], None]
+    known = toxicity.Vocabulary(np.sort(toxicity.term_hashes(toxicity.text_terms(texts[5]))))
+    monkeypatch.setattr(toxicity, "PORTION", 20_000)
+    parts = list(toxicity.portions(texts))
+    assert len(parts) > 5 and [t for p in parts for t in p] == texts
+    calls = [0]
+
+    def seen(_frame, event, _arg):
+        calls[0] += event in ("call", "c_call")
+
+    for part in (texts, *parts, texts[:1]):
+        sys.setprofile(seen)
+        calls[0] = 0
+        text, terms, times = known.table(part)
+        sys.setprofile(None)
+        assert calls[0] < 300 + 40 * len(part) + 40 * len(words)  # texts hold 400 words each, which are not handled one by one
+        assert (np.diff(text) >= 0).all()
+        for i, t in enumerate(part):
+            want = Counter(toxicity.text_terms(t))
+            found = dict(zip(terms[text == i].tolist(), times[text == i].tolist(), strict=True))
+            assert found == dict(zip(known.numbers(list(want)).tolist(), want.values(), strict=True))
