@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueweave.functions.storage import materialise, spread
@@ -131,7 +131,7 @@ def differing_bits(first: np.ndarray, second: np.ndarray) -> int:
 
 # ---------------------------------------------------------------- the Spark job
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_digest, keys, bitmap); the last two for documents with an identifier."""
+    """(doc_id, n_shingles, set_digest, keys); the last two for documents with an identifier."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                sizes, digests, keys, maps, last = [], [], [], [], set()
+                sizes, digests, keys, last = [], [], [], set()
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     shingles = shingle_set(text.as_py(), words, memo)
                     sizes.append(len(shingles))
@@ -148,40 +148,42 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     digests.append(digest)
                     fresh = linked and digest not in last  # a copy in the same batch: its class has the rest already
                     keys.append(bands.keys(shingles).view(np.int64) if fresh else None)
-                    maps.append(bands.bitmap(shingles).tobytes() if fresh else None)
                     last.add(digest)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    ["doc_id", "n_shingles", "set_digest", "keys", "bitmap"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "set_digest", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, keys array<long>, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, keys array<long>")
 
 
-def _shingles(docs: DataFrame, ids: DataFrame, words: int, several: bool) -> DataFrame:
-    """(rep, shingles) of the representatives in ``ids``; other texts are not moved.
-    ``several``: identifiers may repeat, with one set or more."""
+def _shingles(docs: DataFrame, ids: DataFrame, words: int, percent: int, several: bool) -> DataFrame:
+    """(rep, n, bitmap, shingles) of the representatives in ``ids``; other texts are not moved.
+    ``several``: identifiers may repeat, with one set or more; empty ones link nothing."""
     ids = ids.withColumnRenamed("rep", "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, bands = WordHashes(), Bands(percent)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                sets = [shingle_set(t.as_py(), words, memo).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+                sets = [shingle_set(t.as_py(), words, memo) for t in part.column(1)]
+                filled = [len(x) > 0 for x in sets]
+                sets = [x for x in sets if len(x)]
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([bands.bitmap(x).tobytes() for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(filled, pa.bool_())), *columns], ["rep", "n", "bitmap", "shingles"])
 
     texts = docs.join(ids, docs["doc_id"] == ids["wanted"], "left_semi")
-    sets = texts.mapInArrow(run, "rep long, shingles array<long>")
+    sets = texts.mapInArrow(run, "rep long, n long, bitmap binary, shingles array<long>")
     return materialise(sets.distinct() if several else sets, "ngrams")
 
 
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def bounded(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bit counts allow a link."""
-    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
+    left = table.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+    right = table.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,7 @@ def _cluster_links(members: DataFrame, labels: DataFrame, table: DataFrame, perc
     units = open_units(members, labels, block)
     if units is None:
         return None
-    dealt = units.join(table, "rep").select("cluster", "rep", "component", "own", "shingles", F.explode("units").alias("u"))
+    dealt = units.join(table.select("rep", "shingles"), "rep").select("cluster", "rep", "component", "own", "shingles", F.explode("units").alias("u"))
     dealt = dealt.select("cluster", "u.across", "u.i", "u.j", "rep", "component", "own", "shingles")
 
     def test(unit: tuple, rows: pa.Table) -> pa.Table:
@@ -291,16 +293,17 @@ def linked_components(
     small_batches(docs.sparkSession)
     docs = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     sketch = materialise(sketches(docs, words, percent), "ngram-sketches")
-    classes = sketch.filter("set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("keys").alias("keys"), F.max("bitmap").alias("bitmap"))
-    classes = materialise(classes, "ngram-classes")
-    tiles = classes.select("rep", F.explode("keys").alias("key"))
-    shared = tiles.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other")
-    members = materialise(tiles.join(shared.select("key", "centre"), "key"), "tiles")
+    # Keys are written once, with the sketches, and move once to their class and once to their tile.
+    classed = sketch.filter("set_digest is not null").groupBy("set_digest")
+    tiles = classed.agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys")).select("rep", F.explode("keys").alias("key"))
+    tile = Window.partitionBy("key")
+    tiles = tiles.select("key", "rep", F.min("rep").over(tile).alias("centre"), F.max("rep").over(tile).alias("other"))
+    members = materialise(tiles.filter("centre <> other").select("key", "rep", "centre"), "tiles")
+    classes = materialise(classed.agg(F.min("doc_id").alias("rep")), "ngram-classes")
     several = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     several = not materialise(several, "repeated-ids").isEmpty()
 
-    signed = classes.select("rep", "n", "bitmap")
-    table = _shingles(docs, members.select("rep").distinct(), words, several)
+    table = _shingles(docs, members.select("rep").distinct(), words, percent, several)
     labels = None
     for turn in range(rounds):
         if turn == 0:
@@ -313,7 +316,7 @@ def linked_components(
             centres = open_.filter("component <> low").groupBy("key").agg(F.min(F.struct("component", "rep")).alias("c"))
             met = open_.join(centres, "key").filter("component <> c.component")
             pairs = met.select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
-        links = materialise(confirmed(materialise(bounded(pairs, signed, percent), "bounded"), table, percent), "links")
+        links = materialise(confirmed(materialise(bounded(pairs, table, percent), "bounded"), table, percent), "links")
         labels = star_components(links) if labels is None else _merge(labels, links)
     more = _cluster_links(members, labels, table, percent, block)
     if more is not None:

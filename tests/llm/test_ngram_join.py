@@ -117,3 +117,30 @@ def test_a_large_group_of_near_copies(spark):
 
 def test_empty(spark):
     assert ngram_join.linked_components(spark.createDataFrame([], KIND)).isEmpty()
+
+
+def test_keys_are_written_once_and_bitmaps_only_where_sets_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(60))) for i in range(120)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:20]] + [(2000 + i, t) for i, t in rows[:30]]
+    written, write = [], ngram_join.materialise
+
+    def seen(df, label, **options):
+        out = write(df, label, **options)
+        written.append((label, out, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", seen)
+    assert answer(spark.createDataFrame(rows, KIND).repartition(3)) == all_pairs(rows)
+    assert [label for label, df, _ in written if "keys" in df.columns] == ["ngram-sketches"]
+    assert [df.count() for _, df, _ in written if "bitmap" in df.columns] == [40]
+    (plan,) = [plan for label, _, plan in written if label == "tiles"]
+    assert plan.count("hashpartitioning(key") == 1
+
+
+def test_empty_rows_of_repeated_identifiers_link_nothing(spark):
+    base = [f"a{i}" for i in range(200)]
+    other = " ".join([*base[:90], *[f"b{i}" for i in range(16)], *base[106:]])  # shares tiles with the first, but is not linked
+    rows = [(5, " ".join(base)), (9, other), (5, ""), (9, None), (9, " ")]
+    assert len({c for _, _, c in all_pairs(rows)}) == 2
+    assert answer(spark.createDataFrame(rows, KIND)) == all_pairs(rows)
